@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import metrics
+from lodestrata.plans import corpus, graphs, metrics
 
-_MODULES = [metrics]
+_MODULES = [metrics, graphs, corpus]
 
 
 def queries() -> dict:
