@@ -10,7 +10,9 @@ Anchors are packed for each batch and bucket of the hash (6 bytes each), so that
 one class throughout: the class takes part once, its members are added at the end. An anchor held by more than ``WIDE``
 classes (boilerplate shorter than a span) emits no pairs: its texts are regrouped by windows extended around that
 anchor to nearly ``min_chars`` characters, one grouping for each way to lay out the rest to its left and right, and
-groupings with the same members are joined once. What is left pairs only texts that share almost a whole span.
+groupings with the same members are joined once. What is left pairs only texts that share almost a whole span. An
+anchor that is wide within one batch of a task goes that way at once and leaves only a mark in its bucket, so that no
+bucket gathers the texts of a hot anchor.
 
 Defined results: null, empty and shorter texts share nothing; equal texts of at least ``min_chars`` share all of
 their text; characters are Unicode code points, compared exactly; a text's repetition of itself doesn't count; an
@@ -19,6 +21,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +109,8 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 _TEXT = np.dtype([("same", "<i8"), ("id", "<i8"), ("n", "<u4")])
+#: Stands as a text's class and id in the entry of an anchor that is wide within a batch.
+MARK = -(1 << 63)
 
 
 def _used(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -113,13 +118,17 @@ def _used(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
     return used.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
 
 
-def anchor_index(used: DataFrame, min_chars: int, buckets: int) -> DataFrame:
-    """(bucket, texts, hashes): anchors packed for each batch and bucket, 6 bytes of hash each, in the order of ``texts``."""
+def anchor_index(used: DataFrame, min_chars: int, buckets: int, wide: int) -> DataFrame:
+    """(bucket, texts, hashes): anchors packed for each batch and bucket, 6 bytes of hash each, in the order of ``texts``.
+
+    Anchors held by more than ``wide`` texts of a batch are left out but for one entry of the text ``MARK``; they stand, packed
+    alike, in rows whose bucket is ``-1 - bucket``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover, seen = Cover(min_chars), set()
         for batch in batches:
-            ids, same = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, same = (np.append(batch.column(k).to_numpy(), MARK) for k in (0, 1))
             seen.clear()
             hashes, owners, block, chars, first = [], [], [], 0, 0
             texts = batch.column(2).to_pylist()
@@ -145,6 +154,15 @@ def anchor_index(used: DataFrame, min_chars: int, buckets: int) -> DataFrame:
             once = np.ones(len(h), bool)
             once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
             h, owner, bucket = h[once], owner[once], bucket[once]
+            _, inverse, size = np.unique(h, return_inverse=True, return_counts=True)
+            hot = size[inverse] > wide
+            if hot.any():
+                marked, at = np.unique(h[hot], return_index=True)
+                marks = bucket[hot][at]
+                bucket = np.concatenate([np.where(hot, -1 - bucket, bucket), marks])
+                h, owner = np.concatenate([h, marked]), np.concatenate([owner, np.full(len(marked), len(texts))])
+                order = np.lexsort((h, owner, bucket))
+                h, owner, bucket = h[order], owner[order], bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]])
             out_texts, out_hashes = [], []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -163,7 +181,7 @@ _PAIR_SCHEMA = "id_a bigint, same_a bigint, id_b bigint, same_b bigint"
 
 
 def group_anchors(texts: np.ndarray, key: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes that share a key held by at most ``wide`` classes; members (id, same, key) of wider keys."""
+    """Pairs of classes that share a key held by at most ``wide`` classes; members (id, same, key) of wider or marked keys."""
     order = np.lexsort((texts["id"], texts["same"], key))
     key, texts = key[order], texts[order]
     once = np.ones(len(key), bool)
@@ -171,40 +189,57 @@ def group_anchors(texts: np.ndarray, key: np.ndarray, wide: int) -> tuple[np.nda
     key, texts = key[once], texts[once]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(key)]]))
-    group = np.repeat(size, size)
+    # a mark comes first among its key's classes
+    group = np.repeat(np.where((texts["same"] == MARK)[first], wide + 1, size), size) if len(key) else size
     small = np.flatnonzero((group > 1) & (group <= wide))
     key_s, same_s, id_s = key[small], texts["same"][small], texts["id"][small]
     out = []
-    for step in range(1, min(int(size.max(initial=0)), wide)):
+    for step in range(1, wide):
         at = np.flatnonzero(key_s[step:] == key_s[:-step])
         if not len(at):
             break
         # classes stand in the order of ``same``
         out.append(np.unique(np.stack([id_s[at], same_s[at], id_s[at + step], same_s[at + step]], axis=1), axis=0))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
-    hot = np.flatnonzero(group > wide)
+    hot = np.flatnonzero((group > wide) & (texts["same"] != MARK))
     return pairs, np.stack([texts["id"][hot], texts["same"][hot], key[hot].astype(np.int64)], axis=1)
 
 
-def match_anchors(index: DataFrame, wide: int) -> DataFrame:
+def match_anchors(index: DataFrame, buckets: int, wide: int) -> DataFrame:
     """(id_a, same_a, id_b, same_b, key): pairs, with null key; or a class of a wide anchor as a, with the anchor's key."""
 
-    def match(rows: pa.Table) -> pa.Table:
+    def unpacked(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         texts, keys = [], []
-        for t, h in zip(rows.column("texts").to_pylist(), rows.column("hashes").to_pylist(), strict=True):
+        for t, h in rows:
             t = np.frombuffer(t, _TEXT)
             texts.append(np.repeat(t, t["n"]))
             eight = np.zeros((len(h) // 6, 8), np.uint8)
             eight[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
             keys.append(eight.reshape(-1).view(np.uint64))
-        pairs, hot = group_anchors(np.concatenate(texts), np.concatenate(keys), wide)
-        none = np.zeros(len(hot), bool)
-        flag = np.concatenate([np.ones(len(pairs), bool), none])
-        column = lambda k: np.concatenate([pairs[:, k], hot[:, k] if k < 2 else np.zeros(len(hot), np.int64)])
+        return np.concatenate(texts), np.concatenate(keys)
+
+    def table_of(pairs: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        both = np.concatenate([pairs, np.stack([hot[:, 0], hot[:, 1], np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64)], axis=1)])
         key = np.concatenate([np.zeros(len(pairs), np.int64), hot[:, 2]])
-        return pa.table({c: pa.array(column(k), pa.int64()) for k, c in enumerate(_PAIRS)} | {"key": pa.array(key, pa.int64(), mask=flag)})
+        return _batch({c: pa.array(both[:, k], pa.int64()) for k, c in enumerate(_PAIRS)} | {"key": pa.array(key, pa.int64(), mask=np.arange(len(both)) < len(pairs))})
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = defaultdict(list)
+        for batch in batches:
+            for bucket, t, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows[bucket].append((t, h))
+        for bucket in list(rows):
+            own = rows.pop(bucket)
+            if bucket >= 0:
+                yield table_of(*group_anchors(*unpacked(own), wide))
+                continue
+            for row in own:  # wide within a batch
+                texts, key = unpacked([row])
+                yield table_of(np.zeros((0, 4), np.int64), np.stack([texts["id"], texts["same"], key.astype(np.int64)], axis=1))
 
-    return index.groupBy("bucket").applyInArrow(match, _PAIR_SCHEMA + ", key bigint").distinct()
+    # a partition for each bucket; rows of wide anchors go anywhere
+    place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("texts", "hashes"), F.lit(buckets)))
+    return index.repartitionById(buckets, place).mapInArrow(match, _PAIR_SCHEMA + ", key bigint").distinct()
 
 
 def refine(hot: DataFrame, used: DataFrame, min_chars: int) -> DataFrame:
@@ -267,7 +302,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cover = Cover(min_chars)
     chars = used.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(parallelism(spark), chars * len(cover.d) // cover.v * 8 // BUCKET_BYTES)
-    matched = materialize(match_anchors(anchor_index(used, min_chars, buckets), wide), "anchors")
+    matched = materialize(match_anchors(anchor_index(used, min_chars, buckets, wide), buckets, wide), "anchors")
     pairs = matched.filter("key IS NULL").select(*_PAIRS)
     hot = matched.filter("key IS NOT NULL")
     if not hot.isEmpty():
