@@ -10,7 +10,9 @@ edited words or that blocks were moved beyond the band.
 
 The order is by a count of every segment in the corpus, added up in ``COUNTERS`` hashed counters: a table of fixed size,
 whatever the corpus. Texts that are equal word for word are one class; only classes are joined, members are
-added at the end. A segment never matches itself into pairs of one split: the join is evaluation against training.
+added at the end. A segment never matches itself into pairs of one split: the join is evaluation against training. A
+segment that more than ``WIDE`` texts of one batch chose is joined as rows, evaluation against training, which
+Spark splits where a key is skewed; only a mark of it stays in the packed bucket.
 
 Defined results: null and empty texts and texts of fewer than three words have no segment and no pair; a null or other
 split takes no part; letter case (ASCII) and everything between words is ignored; repeated rows pair each; ids that
@@ -19,6 +21,7 @@ occur in both splits don't pair with themselves; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +63,10 @@ def _used(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFram
 
 
 CHUNKS = 64
+#: Texts of a batch that may choose the same segment before it leaves the packed buckets.
+WIDE = 256
+#: Stands as a text's class in the entry of such a segment.
+MARK = -(1 << 63)
 
 
 def segment_counts(used: DataFrame) -> np.ndarray:
@@ -91,16 +98,19 @@ _ENTRY = np.dtype([("seg", "<u8"), ("text", "<u4"), ("place", "<u4")])
 BUCKET_BYTES = 16 << 20
 
 
-def segment_index(used: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, texts, entries): each text's k + 1 rarest segments with their places, packed for each batch and bucket."""
+def segment_index(used: DataFrame, counts: np.ndarray, buckets: int, wide: int = WIDE) -> DataFrame:
+    """(bucket, texts, entries): each text's k + 1 rarest segments with their places, packed for each batch and bucket.
+
+    Entries of segments that are wide within a batch stand, packed alike, in rows whose bucket is ``-1 - bucket``.
+    """
     sent = used.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts, entries = np.zeros(batch.num_rows, _TEXT), []
-            texts["same"], texts["id"] = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-            texts["held"] = batch.column(1).to_numpy(zero_copy_only=False)
+            texts, entries = np.zeros(batch.num_rows + 1, _TEXT), []
+            texts["same"], texts["id"] = (np.append(batch.column(k).to_numpy(), MARK) for k in (2, 0))
+            texts["held"] = np.append(batch.column(1).to_numpy(zero_copy_only=False), False)
             seen = set()
             for k, text in enumerate(batch.column(3).to_pylist()):
                 first = (texts["same"][k], texts["held"][k])
@@ -119,6 +129,12 @@ def segment_index(used: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
                 continue
             entries = np.concatenate(entries)
             bucket = (entries["seg"] % np.uint64(buckets)).astype(np.int64)
+            _, first, inverse, size = np.unique(entries["seg"], return_index=True, return_inverse=True, return_counts=True)
+            if (size > wide).any():
+                marks, mark_bucket = entries[first[size > wide]], bucket[first[size > wide]]
+                marks["text"] = batch.num_rows
+                bucket = np.concatenate([np.where(size[inverse] > wide, -1 - bucket, bucket), mark_bucket])
+                entries = np.concatenate([entries, marks])
             order = np.argsort(bucket, kind="stable")
             entries, bucket = entries[order], bucket[order]
             cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
@@ -136,14 +152,20 @@ def segment_index(used: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
 STEP_PAIRS = 2_000_000
 
 
-def match_bucket(texts: np.ndarray, seg: np.ndarray, place: np.ndarray, min_permille: int) -> np.ndarray:
-    """Index pairs (held out, train) of entries of the same segment whose sizes and places allow the overlap."""
+_ROW = ("seg", "id", "same", "n", "place", "held")
+
+
+def match_bucket(texts: np.ndarray, seg: np.ndarray, place: np.ndarray, min_permille: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (held out, train) of entries of the same segment whose sizes and places allow the overlap; rows of marked segments."""
     order = np.lexsort((texts["id"], texts["same"], texts["held"], seg))
     texts, seg, place = texts[order], seg[order], place[order]
     # equal texts of one side and segment: the smallest id stands for all
     new = np.ones(len(seg), bool)
     new[1:] = (seg[1:] != seg[:-1]) | (texts["held"][1:] != texts["held"][:-1]) | (texts["same"][1:] != texts["same"][:-1])
     texts, seg, place = texts[new], seg[new], place[new]
+    marked = np.isin(seg, seg[texts["same"] == MARK])
+    wide = rows_of(*(x[marked & (texts["same"] != MARK)] for x in (texts, seg, place)))
+    texts, seg, place = texts[~marked], seg[~marked], place[~marked]
     held = np.flatnonzero(texts["held"] == 1)
     train = np.flatnonzero(texts["held"] == 0)
     lo, hi = np.searchsorted(seg[train], seg[held], "left"), np.searchsorted(seg[train], seg[held], "right")
@@ -161,23 +183,55 @@ def match_bucket(texts: np.ndarray, seg: np.ndarray, place: np.ndarray, min_perm
         pairs = np.stack([texts["id"][a[ok]], texts["same"][a[ok]], texts["id"][b[ok]], texts["same"][b[ok]]], axis=1)
         out.append(np.unique(pairs, axis=0))
         start = end
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64), wide
+
+
+def rows_of(texts: np.ndarray, seg: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Entries as rows of ``_ROW``."""
+    return np.stack([seg.view(np.int64), texts["id"], texts["same"], texts["n"].astype(np.int64), place, texts["held"].astype(np.int64)], axis=1)
 
 
-def candidates(index: DataFrame, min_permille: int = MIN_PERMILLE) -> DataFrame:
+def candidates(index: DataFrame, buckets: int, min_permille: int = MIN_PERMILLE) -> DataFrame:
     """(id_a, same_a, id_b, same_b): evaluation and training text that share a segment at allowed positions."""
 
-    def match(rows: pa.Table) -> pa.Table:
-        texts, seg, place = [], [], []
-        for t, e in zip(rows.column("texts").to_pylist(), rows.column("entries").to_pylist(), strict=True):
-            e = np.frombuffer(e, _ENTRY)
-            texts.append(np.frombuffer(t, _TEXT)[e["text"]])
-            seg.append(e["seg"])
-            place.append(e["place"])
-        got = match_bucket(np.concatenate(texts), np.concatenate(seg), np.concatenate(place).astype(np.int64), min_permille)
-        return pa.table({k: pa.array(got[:, i], pa.int64()) for i, k in enumerate(("id_a", "same_a", "id_b", "same_b"))})
+    def unpacked(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        entries = [np.frombuffer(e, _ENTRY) for _, e in rows]
+        texts = [np.frombuffer(t, _TEXT)[e["text"]] for (t, _), e in zip(rows, entries, strict=True)]
+        entries = np.concatenate(entries)
+        return np.concatenate(texts), np.ascontiguousarray(entries["seg"]), entries["place"].astype(np.int64)
+
+    def table_of(pairs: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+        empty = np.arange(len(pairs) + len(wide)) < len(pairs)
+        columns = {k: pa.array(np.concatenate([pairs[:, i], np.zeros(len(wide), np.int64)]), pa.int64()) for i, k in enumerate(_PAIR)}
+        return _batch(columns | {k: pa.array(np.concatenate([np.zeros(len(pairs), np.int64), wide[:, i]]), pa.int64(), mask=empty) for i, k in enumerate(_ROW)})
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = defaultdict(list)
+        for batch in batches:
+            for bucket, t, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows[bucket].append((t, e))
+        for bucket in list(rows):
+            own = rows.pop(bucket)
+            if bucket >= 0:
+                yield table_of(*match_bucket(*unpacked(own), min_permille))
+                continue
+            for row in own:
+                yield table_of(np.zeros((0, 4), np.int64), rows_of(*unpacked([row])))
+
+    place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("texts", "entries"), F.lit(buckets)))
+    schema = ", ".join(f"{k} bigint" for k in (*_PAIR, *_ROW))
+    matched = materialize(index.repartitionById(buckets, place).mapInArrow(match, schema).distinct(), "matched")
+    pairs, wide = matched.filter("seg IS NULL").select(*_PAIR), matched.filter("seg IS NOT NULL")
+    if not wide.isEmpty():
+        one = wide.groupBy("seg", "same", "held").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("place").alias("place"))
+        side = lambda held, x: one.filter(F.col("held") == held).select("seg", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "same", "n", "place")])
+        need = F.ceil((F.col("n_a") + F.col("n_b")) * min_permille / (1000 + min_permille))
+        both = side(1, "a").join(side(0, "b"), "seg").filter(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
+        pairs = materialize(pairs.unionByName(both.select(*_PAIR)).distinct(), "candidates")
+    return pairs
+
 
-    return index.groupBy("bucket").applyInArrow(match, "id_a bigint, same_a bigint, id_b bigint, same_b bigint").distinct()
+_PAIR = ("id_a", "same_a", "id_b", "same_b")
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
@@ -205,7 +259,7 @@ def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     return d if d <= band else None
 
 
-def overlaps(df: DataFrame, id_col: str = "fn_id", text_col: str = "func", split_col: str = "split", min_permille: int = MIN_PERMILLE) -> DataFrame:
+def overlaps(df: DataFrame, id_col: str = "fn_id", text_col: str = "func", split_col: str = "split", min_permille: int = MIN_PERMILLE, wide: int = WIDE) -> DataFrame:
     """(id_a, same_a, id_b, same_b, shared, total, edits): one row for each pair of different texts, or of one text on both sides.
 
     ``id_a`` is held out, ``id_b`` in training, each the smallest id with that text in its side. ``shared`` of ``total``
@@ -217,7 +271,7 @@ def overlaps(df: DataFrame, id_col: str = "fn_id", text_col: str = "func", split
     counts = segment_counts(used)
     about = int(counts.sum()) * (1000 - min_permille) // 1000 * (_ENTRY.itemsize + _TEXT.itemsize)
     buckets = max(parallelism(spark), about // BUCKET_BYTES)
-    pairs = materialize(candidates(segment_index(used, counts, buckets), min_permille), "candidates")
+    pairs = candidates(segment_index(used, counts, buckets, wide), buckets, min_permille)
     needed = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct()
     texts = used.select("id", "held_out", "text").join(needed, "id", "left_semi")
     both = pairs.join(texts.filter("held_out").select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")

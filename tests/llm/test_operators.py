@@ -177,7 +177,8 @@ def segments(t):
     return {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
 
 
-def test_split_overlap(spark):
+@pytest.mark.parametrize("wide", [split_overlap.WIDE, 2])
+def test_split_overlap(spark, wide):
     rng = random.Random(7)
     base = [sentence(rng, rng.randint(8, 60)) for _ in range(25)]
     texts = list(base)
@@ -195,7 +196,7 @@ def test_split_overlap(spark):
     rows = [(i, t, rng.choice(["train", "val", "test", None]), 1) for i, t in enumerate(texts)]
     rows += [(900, base[0], "train", 1), (901, base[0], "test", 1), (902, base[0], "val", 1), (902, base[0], "val", 1)]
     df = spark.createDataFrame(rows, "fn_id bigint, func string, split string, same int")
-    found = split_overlap.overlaps(df)
+    found = split_overlap.overlaps(df, wide=wide)
     got = sorted(map(tuple, split_overlap.all_pairs(found, df).collect()))
     expected = set()
     for a, b in itertools.product(rows, rows):
