@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import corpus, graphs, metrics
+from lodestrata.plans import corpus, graphs, metrics, models
 
-_MODULES = [metrics, graphs, corpus]
+_MODULES = [metrics, graphs, corpus, models]
 
 
 def queries() -> dict:
