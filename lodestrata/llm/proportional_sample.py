@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.ranking import hash_cell, spread_rank
+from lodestrata.session import materialize
 
 MAX_CATEGORIES = 100_000
 
@@ -65,19 +66,22 @@ def seats(categories: list[tuple], total: int) -> list[int]:
     return out
 
 
-def plan_sample(rows: DataFrame, targets: DataFrame, one_in: int = 10) -> tuple[DataFrame, DataFrame, int]:
-    """The usable rows (fn_id, project, target), the report per category, and the sample's size.
+def plan_sample(rows: DataFrame, targets: DataFrame, one_in: int = 10, seed: str = "sample") -> tuple[DataFrame, DataFrame, int]:
+    """The usable rows of the wanted categories with their ranks (fn_id, project, target, rank), the report per category, and the sample's size.
 
-    Report: (project, target, share_permille, min_rows, usable, needed, seats, met).
+    Report: (project, target, share_permille, min_rows, usable, needed, seats, met). A category's usable rows are its largest rank.
     """
     spark = rows.sparkSession
+    wanted = targets.select("project", "target", "share_permille", "min_rows").limit(MAX_CATEGORIES + 1)
+    if wanted.count() > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories")
     usable = rows.filter(F.col("func").rlike(r"(?U)\S") & F.col("target").isNotNull()).select("fn_id", clean_project(F.col("project")).alias("project"), "target")
+    usable = usable.join(wanted.select("project", "target"), ["project", "target"], "left_semi")
+    hashed = usable.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("fn_id").cast("string"))))
+    ranked = materialize(spread_rank(hashed, ["project", "target"], ["h", "fn_id"], hash_cell("h")).select("fn_id", "project", "target", F.col("rank").cast("bigint").alias("rank")), "ranked")
     total = rows.count() // one_in
-    counted = usable.groupBy("project", "target").agg(F.count(F.lit(1)).alias("usable"))
-    wanted = targets.select("project", "target", "share_permille", "min_rows")
-    report = wanted.join(counted, ["project", "target"], "left").fillna(0, ["usable"]).limit(MAX_CATEGORIES + 1).collect()
-    if len(report) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories")
+    counted = ranked.groupBy("project", "target").agg(F.max("rank").alias("usable"))
+    report = wanted.join(counted, ["project", "target"], "left").fillna(0, ["usable"]).collect()
     report = sorted(report, key=lambda r: (r["project"], r["target"]))
     got = seats([(r["share_permille"], r["min_rows"], r["usable"]) for r in report], total)
     out = []
@@ -85,13 +89,12 @@ def plan_sample(rows: DataFrame, targets: DataFrame, one_in: int = 10) -> tuple[
         needed = max(-(-r["share_permille"] * total // 1000), r["min_rows"])
         out.append((r["project"], r["target"], r["share_permille"], r["min_rows"], r["usable"], needed, s, r["usable"] >= needed))
     schema = "project string, target int, share_permille int, min_rows int, usable bigint, needed bigint, seats bigint, met boolean"
-    return usable, spark.createDataFrame(out, schema), total
+    return ranked, spark.createDataFrame(out, schema), total
 
 
-def draw(usable: DataFrame, report: DataFrame, seed: str = "sample") -> DataFrame:
-    """(fn_id, project, target, rank, priority) of the drawn rows; ``report`` as of ``plan_sample``."""
+def draw(ranked: DataFrame, report: DataFrame) -> DataFrame:
+    """(fn_id, project, target, rank, priority) of the rows of smallest priority; both arguments as of ``plan_sample``."""
     quota = F.broadcast(report.filter("seats > 0").select("project", "target", "share_permille", "min_rows", "seats"))  # at most MAX_CATEGORIES rows
-    rows = usable.join(quota, ["project", "target"]).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("fn_id").cast("string"))))
-    ranked = spread_rank(rows, ["project", "target"], ["h", "fn_id"], hash_cell("h")).filter("rank <= seats")
+    drawn = ranked.join(quota, ["project", "target"]).filter("rank <= seats")
     priority = F.when(F.col("rank") <= F.col("min_rows"), F.lit(0.0)).otherwise((F.col("rank") - 0.5) / F.col("share_permille"))
-    return ranked.select("fn_id", "project", "target", F.col("rank").cast("bigint").alias("rank"), priority.alias("priority"))
+    return drawn.select("fn_id", "project", "target", "rank", priority.alias("priority"))
