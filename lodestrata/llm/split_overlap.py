@@ -236,10 +236,19 @@ _PAIR = ("id_a", "same_a", "id_b", "same_b")
 
 def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     """Word edit distance, or None if it is more than ``band``: only cells within the band around the diagonal are filled."""
-    n, m = len(a), len(b)
-    if abs(n - m) > band:
+    if abs(len(a) - len(b)) > band:
         return None
-    far = n + m + 1
+    # what both begin or end with costs nothing
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    a, b, short = a[head:], b[head:], short - head
+    differ = np.flatnonzero(a[len(a) - short :][::-1] != b[len(b) - short :][::-1])
+    tail = int(differ[0]) if len(differ) else short
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    n, m = len(a), len(b)
+    band = min(band, max(n, m))
+    far = n + m + 2
     offsets = np.arange(-band, band + 1)  # column less row
     row = np.where((offsets >= 0) & (offsets <= m), offsets, far)
     for i in range(1, n + 1):
