@@ -35,5 +35,5 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], cell: Column,
 
 
 def hash_cell(hex_hash: str, ranges: int = RANGES) -> Column:
-    """Leading 8 bits of a lower-case hexadecimal hash column, as the cell of ``spread_rank``."""
-    return F.conv(F.substring(hex_hash, 1, 2), 16, 10).cast("int") % F.lit(ranges)
+    """Leading 8 bits of a lower-case hexadecimal hash column, as the cell of ``spread_rank``; a null hash comes first."""
+    return F.coalesce(F.conv(F.substring(hex_hash, 1, 2), 16, 10).cast("int") % F.lit(ranges), F.lit(0))

@@ -50,38 +50,39 @@ def next_token_edges(nodes: DataFrame) -> DataFrame:
 
 
 def identifiers(nodes: DataFrame) -> DataFrame:
-    """(fn_id, node_id, code, start_byte, parent, role, target): identifiers with their role (P12); ``target`` where one is set directly.
+    """(fn_id, node_id, code, start_byte, role, target_end): identifiers with their role (P12); ``target_end`` is the end
+    of the assignment or initialiser that sets the identifier directly, null elsewhere.
 
-    A declarator of a pointer or array passes the question on to its own parent, so the chain of such wrappers is
-    followed among the wrappers alone, whose links double their reach with each join.
+    A node's first child is the next one in pre-order. A declarator of a pointer or array passes the question on to its
+    own parent, so the chain of such wrappers is followed among the wrappers alone, whose links double their reach
+    with each join. Identifiers meet their parents in one join, and their wrappers in another.
     """
-    up = nodes.select("fn_id", F.col("node_id").alias("pid"), F.col("type").alias("ptype"), F.col("parent").alias("pparent"))
-    first_child = nodes.filter("parent IS NOT NULL").groupBy("fn_id", F.col("parent").alias("pid")).agg(F.min("node_id").alias("first"))
-    up = up.join(first_child, ["fn_id", "pid"], "left")
-    wrapper = F.col("type").isin("pointer_declarator", "array_declarator")
-    # (wf, wid, wtop, wparent): each wrapper with the outermost one of its chain, by doubling the reach of the links
-    wraps = nodes.filter(wrapper).select(F.col("fn_id").alias("wf"), F.col("node_id").alias("wid"), F.col("node_id").alias("wtop"), F.col("parent").alias("wparent"))
+    holders = nodes.filter(F.col("type").isin(*SETTERS, *DECLARERS, *WRAPPERS)).select(F.col("fn_id").alias("pf"), F.col("node_id").alias("pid"), F.col("type").alias("ptype"), F.col("subtree_end").alias("pend"))
+    asked = nodes.filter(F.col("type").isin("identifier", *WRAPPERS)).select("fn_id", "node_id", "type", "code", "start_byte", "parent")
+    asked = asked.join(holders, (F.col("fn_id") == F.col("pf")) & (F.col("parent") == F.col("pid")), "left").drop("pf", "pid")
+    # (wf, wid, wtop, wparent, wptype): each wrapper with the outermost one of its chain, and that one's parent
+    wraps = asked.filter(F.col("type") != "identifier").select(F.col("fn_id").alias("wf"), F.col("node_id").alias("wid"), F.col("node_id").alias("wtop"), F.col("parent").alias("wparent"), F.col("ptype").alias("wptype"))
     for _ in range(WRAPPER_DOUBLINGS):
-        further = wraps.select(F.col("wf").alias("xf"), F.col("wid").alias("xid"), F.col("wtop").alias("xtop"), F.col("wparent").alias("xparent"))
-        step = wraps.join(further, (F.col("wf") == F.col("xf")) & (F.col("wparent") == F.col("xid")), "left")
-        on = F.col("xid").isNotNull()
-        wraps = step.select("wf", "wid", F.coalesce("xtop", "wtop").alias("wtop"), F.when(on, F.col("xparent")).otherwise(F.col("wparent")).alias("wparent"))
-    ident = nodes.filter("type = 'identifier'").select("fn_id", "node_id", "code", "start_byte", "parent")
-    ident = ident.join(wraps, (F.col("fn_id") == F.col("wf")) & (F.col("parent") == F.col("wid")), "left")
-    ident = ident.withColumn("top", F.coalesce("wtop", "node_id")).withColumn("above", F.when(F.col("wid").isNotNull(), F.col("wparent")).otherwise(F.col("parent"))).drop("wf", "wid", "wtop", "wparent")
-    own = up.select("fn_id", F.col("pid").alias("parent"), F.col("ptype").alias("direct"), F.col("first").alias("direct_first"))
-    ident = ident.join(own, ["fn_id", "parent"], "left").join(up.select("fn_id", F.col("pid").alias("above"), "ptype", "first"), ["fn_id", "above"], "left")
-    t, wrapped = F.col("ptype"), F.col("top") != F.col("node_id")
+        further = wraps.select(*[F.col(c).alias(f"x{c}") for c in wraps.columns])
+        step = wraps.join(further, (F.col("wf") == F.col("xwf")) & (F.col("wparent") == F.col("xwid")), "left")
+        on = F.col("xwid").isNotNull()
+        wraps = step.select("wf", "wid", *[F.when(on, F.col(f"x{c}")).otherwise(F.col(c)).alias(c) for c in ("wtop", "wparent", "wptype")])
+    ident = asked.filter("type = 'identifier'").join(wraps, (F.col("fn_id") == F.col("wf")) & (F.col("parent") == F.col("wid")), "left")
+    wrapped = F.col("wid").isNotNull()
+    top, above, kind = (F.when(wrapped, F.col(w)).otherwise(F.col(o)) for w, o in (("wtop", "node_id"), ("wparent", "parent"), ("wptype", "ptype")))
     role = (
-        F.when(F.col("above").isNull(), F.when(wrapped, "write").otherwise("read"))
-        .when(t.isin("init_declarator", "assignment_expression"), F.when(F.col("first") == F.col("top"), "write").otherwise("read"))
-        .when(t.isin("update_expression", "parameter_declaration", "declaration"), "write")
+        F.when(above.isNull(), F.when(wrapped, "write").otherwise("read"))
+        .when(kind.isin(*SETTERS), F.when(top == above + 1, "write").otherwise("read"))
+        .when(kind.isin(*DECLARERS), "write")
         .otherwise("read")
     )
-    target = F.col("direct").isin("init_declarator", "assignment_expression") & (F.col("direct_first") == F.col("node_id"))
-    return ident.select("fn_id", "node_id", "code", "start_byte", "parent", role.alias("role"), F.coalesce(target, F.lit(False)).alias("target"))
+    target = F.when(F.col("ptype").isin(*SETTERS) & (F.col("node_id") == F.col("parent") + 1), F.col("pend"))
+    return ident.select("fn_id", "node_id", "code", "start_byte", role.alias("role"), target.alias("target_end"))
 
 
+SETTERS = ["init_declarator", "assignment_expression"]
+DECLARERS = ["update_expression", "parameter_declaration", "declaration"]
+WRAPPERS = ["pointer_declarator", "array_declarator"]
 #: Pointers to arrays to pointers ... in one declarator are followed to a depth of two to this power.
 WRAPPER_DOUBLINGS = 3
 
@@ -95,11 +96,10 @@ def data_flow_edges(nodes: DataFrame) -> DataFrame:
     reads = ident.filter("code IS NOT NULL").withColumn("r", last("read")).withColumn("w", last("write")).filter("role = 'read'")
     pair = F.explode(F.array(F.struct(F.lit("DFG_R").alias("etype"), F.col("r").alias("dst")), F.struct(F.lit("DFG_W").alias("etype"), F.col("w").alias("dst"))))
     back = reads.select("fn_id", F.col("node_id").alias("src"), pair.alias("e")).select("fn_id", "e.etype", "src", "e.dst").filter("dst IS NOT NULL")
-    # right-hand sides: the rest of the parent's subtree after its first child, which is the leaf itself
-    ends = nodes.select("fn_id", F.col("node_id").alias("parent"), "subtree_end")
-    targets = ident.filter("target").join(ends, ["fn_id", "parent"]).select("fn_id", F.col("node_id").alias("src"), "subtree_end")
+    # right-hand sides: what follows the identifier in the subtree of what sets it
+    targets = ident.filter("target_end IS NOT NULL").select("fn_id", F.col("node_id").alias("src"), "target_end")
     inner = ident.select(F.col("fn_id").alias("f"), F.col("node_id").alias("dst"))
-    right = targets.join(inner, (F.col("fn_id") == F.col("f")) & (F.col("dst") > F.col("src")) & (F.col("dst") <= F.col("subtree_end")))
+    right = targets.join(inner, (F.col("fn_id") == F.col("f")) & (F.col("dst") > F.col("src")) & (F.col("dst") <= F.col("target_end")))
     return back.unionByName(right.select("fn_id", F.lit("DFG_C").alias("etype"), "src", "dst"))
 
 

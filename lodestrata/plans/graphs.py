@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import splits, trees
-from lodestrata.session import table
+from lodestrata.session import materialize, table
 
 MAX_TOKENS = 500
 MIN_COUNT = 3
@@ -16,6 +16,11 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.clean(table(spark, sf_dir, "ast_nodes"))
 
 
+def _kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a written table, for plans that read it many times."""
+    return materialize(_nodes(spark, sf_dir), "nodes")
+
+
 def ast_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent-child edges, both ways."""
     return trees.ast_edges(_nodes(spark, sf_dir))
@@ -28,12 +33,12 @@ def ncs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identifier_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each identifier is read or written."""
-    return trees.identifiers(_nodes(spark, sf_dir)).select("fn_id", "node_id", "role")
+    return trees.identifiers(_kept_nodes(spark, sf_dir)).select("fn_id", "node_id", "role")
 
 
 def dfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data-flow edges."""
-    return trees.data_flow_edges(_nodes(spark, sf_dir))
+    return trees.data_flow_edges(_kept_nodes(spark, sf_dir))
 
 
 def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +48,13 @@ def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of each function and type, zero where there are none."""
-    nodes = _nodes(spark, sf_dir)
+    nodes = _kept_nodes(spark, sf_dir)
     return trees.edge_counts(trees.all_edges(nodes), nodes)
 
 
 def edge_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct syntax, token and data-flow edges with self-loops, and their norms."""
-    nodes = trees.sized(_nodes(spark, sf_dir))
+    nodes = materialize(trees.sized(_nodes(spark, sf_dir)), "nodes")
     edges = trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes)).unionByName(trees.data_flow_edges(nodes))
     return trees.edge_weights(edges, nodes)
 
@@ -57,7 +62,7 @@ def edge_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ablated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a chosen set of types, renumbered in that order."""
     chosen = ["AST", "NCS", "DFG_W"]
-    nodes = _nodes(spark, sf_dir)
+    nodes = _kept_nodes(spark, sf_dir)
     edges = trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes)).unionByName(trees.data_flow_edges(nodes)).filter(F.col("etype").isin(chosen))
     ids = F.array_position(F.array(*[F.lit(t) for t in chosen]), F.col("etype")) - 1
     return trees.distinct_edges(edges).select("fn_id", ids.cast("int").alias("etype_id"), "src", "dst")
@@ -77,7 +82,7 @@ def max_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def function_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 metrics of each function (A10)."""
-    nodes = _nodes(spark, sf_dir)
+    nodes = _kept_nodes(spark, sf_dir)
     return trees.function_metrics(nodes, trees.all_edges(nodes))
 
 

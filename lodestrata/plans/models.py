@@ -20,7 +20,7 @@ def step_weights() -> dict:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.sized(trees.clean(table(spark, sf_dir, "ast_nodes")))
+    return materialize(trees.sized(trees.clean(table(spark, sf_dir, "ast_nodes"))), "nodes")
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,7 @@ def node_features_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _message_step(combine: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes = trees.clean(table(spark, sf_dir, "ast_nodes"))
+        nodes = materialize(trees.clean(table(spark, sf_dir, "ast_nodes")), "nodes")
         state = nodes.select("fn_id", "node_id", F.array(F.when(F.col("is_leaf"), 1.0).otherwise(0.0), (F.col("node_id") % 7) / 7.0).alias("h"))
         edges = trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes))
         out = features.message_step(state, edges, step_weights(), combine)
@@ -167,7 +167,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = table(spark, sf_dir, "scored").filter("prob IS NOT NULL")
     best = classifier_metrics.best_threshold(scored.filter("split = 'val'"), ["project"])
     decided = classifier_metrics.apply_threshold(scored, best, ["project"]).select("fn_id", "prob", "threshold", "predicted")
-    nodes = trees.clean(table(spark, sf_dir, "ast_nodes"))
+    nodes = materialize(trees.clean(table(spark, sf_dir, "ast_nodes")), "nodes")
     counts = trees.edge_counts(trees.all_edges(nodes), nodes).groupBy("fn_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("etype", "n")))).alias("edges"))
     sizes = nodes.groupBy("fn_id").agg(F.count(F.lit(1)).alias("num_nodes"))
     joined = decided.join(sizes, "fn_id").join(counts, "fn_id")

@@ -28,11 +28,23 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far by this process; results that still read them must be stored before."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/lodestrata-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -85,7 +85,7 @@ E, RET, BRK, CONT, COND = "expression_statement", "return_statement", "break_sta
         ([("for_statement", ["for", E]), E], [(2, 4), (2, 5), (4, 2)]),
         ([("for_statement", ["for"]), E], []),
         ([("do_statement", ["do", ("compound_statement", [E, CONT]), "while", COND]), E], [(5, 6), (6, 8), (8, 5), (8, 9)]),
-        ([("switch_statement", ["switch", COND, ("compound_statement", [("case_statement", ["case", "number_literal", E]), ("case_statement", ["default", E, BRK])])]), E], [(4, 8), (4, 11), (8, 11), (11, 12), (12, 13)]),
+        ([("switch_statement", ["switch", COND, ("compound_statement", [("case_statement", ["case", "number_literal", E]), ("case_statement", ["default", E, BRK])])]), E], [(4, 9), (4, 12), (9, 12), (12, 13), (13, 14)]),
         ([("switch_statement", ["switch", COND, ("compound_statement", [])]), E], [(4, 6)]),
         ([("labeled_statement", [("statement_identifier", "again"), E]), ("goto_statement", ["goto", ("statement_identifier", "again")]), E], [(2, 4), (4, 5), (5, 2)]),
         ([("goto_statement", ["goto", ("statement_identifier", "nowhere")]), E], []),
