@@ -10,7 +10,7 @@ row in ``HEAVY`` (at most ``HEAVY`` of them), which are placed one by one where
 into the remaining shares.
 
 Defined results: a null or blank value, or one without a run of 12 to 40 hexadecimal digits, names nothing, and its
-record is a group of its own. A shorter run names the one known 40-digit commit that starts with it; if none or
+record is a group of its own (records with a null id together form one). A shorter run names the one known 40-digit commit that starts with it; if none or
 several do, it names nothing. Repeated rows change nothing; an empty table gives empty results.
 """
 
@@ -86,7 +86,7 @@ def assign_splits(df: DataFrame, groups: DataFrame, targets: DataFrame, id_col:
     """(id, group_key, split) for every row; records without entity have the key 'fn:<id>'."""
     shares = sorted((r["split"], r["share_permille"]) for r in targets.select("split", "share_permille").limit(1000).collect())
     keyed = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).join(groups, "id", "left")
-    keyed = keyed.withColumn("group_key", F.coalesce("group_key", F.concat(F.lit("fn:"), F.col("id").cast("string"))))
+    keyed = keyed.withColumn("group_key", F.coalesce("group_key", F.concat(F.lit("fn:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
     keyed = materialize(keyed, "keyed")
     total = keyed.count()
     positive = F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos")

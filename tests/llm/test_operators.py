@@ -129,6 +129,9 @@ def test_sample_nulls_and_empty(spark):
     drawn = proportional_sample.draw(usable, report).collect()
     assert len(drawn) == total == sum(r["seats"] for r in by.values())
     assert len({r["fn_id"] for r in drawn}) == total and all(rows[r["fn_id"]][1] in ("x", "y") for r in drawn)
+    odd = spark.createDataFrame([(None, "x", 0, "a", 0, 0)] * 20 + [(7, "x", 0, "a", 0, 0)] * 20, schema)
+    usable, report, total = proportional_sample.plan_sample(odd, targets)
+    assert total == 4 and proportional_sample.draw(usable, report).count() == 4
     usable, report, total = proportional_sample.plan_sample(spark.createDataFrame([], schema), targets)
     assert total == 0 and proportional_sample.draw(usable, report).count() == 0 and report.filter("NOT met").count() == 4
 
@@ -253,6 +256,8 @@ def test_group_splits(spark):
     groups = group_splits.entity_groups(group_splits.named_commits(df))
     assert {r["id"]: r["group_key"] for r in group_splits.tied_records(groups).collect()} == {i: k for i, k in keys.items() if sizes[k] > 1}
     targets = spark.createDataFrame([("train", 750), ("val", 125), ("test", 125)], "split string, share_permille int")
+    odd = spark.createDataFrame([(None, None, 1, "k"), (None, commits[0], None, "k")], df.schema)
+    assert len({r["split"] for r in group_splits.assign_splits(odd, group_splits.entity_groups(group_splits.named_commits(odd)), targets).collect()}) == 1
     got = group_splits.assign_splits(df, groups, targets).collect()
     assert len(got) == len(rows)
     of = defaultdict(set)
