@@ -45,7 +45,7 @@ def confusion(scored: DataFrame, keys: list[str], threshold: float | Column = 0.
 
 
 def project_metrics(scored: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
-    """All counts and rates for each project and for all rows together, from one pass (grouping sets)."""
+    """All counts and rates, to six digits, for each project and for all rows together, from one pass (grouping sets)."""
     rows = usable(scored).withColumn("hit", F.col("prob") >= threshold).withColumn("yes", F.col("label") == 1)
     hit, yes = F.col("hit"), F.col("yes")
     counts = rows.rollup("project").agg(
@@ -53,7 +53,7 @@ def project_metrics(scored: DataFrame, threshold: float | Column = 0.5) -> DataF
         F.count_if(hit & yes).alias("tp"), F.count_if(~hit & ~yes).alias("tn"), F.count_if(hit & ~yes).alias("fp"), F.count_if(~hit & yes).alias("fn"),
     )
     counts = counts.withColumn("project", F.when(F.col("all_rows") == 1, F.lit(COMBINED)).otherwise(F.col("project"))).drop("all_rows")
-    return counts.select("*", *[c.alias(k) for k, c in rates(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn")).items()])
+    return counts.select("*", *[F.round(c, 6).alias(k) for k, c in rates(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn")).items()])
 
 
 def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,7 +107,7 @@ def best_threshold(scored: DataFrame, keys: list[str], objective: str = "f1_guar
         floor = F.max(F.when(F.col("threshold") == 0.5, F.col("accuracy"))).over(w)
         sweep = sweep.withColumn("floor", floor).filter(F.col("accuracy") + 1e-9 >= F.col("floor"))
     score = "f1" if objective == "f1_guarded" else objective
-    best = sweep.groupBy(*keys).agg(F.max_by(F.struct("threshold", score), F.struct(F.col(score), -F.col("threshold"))).alias("b"), F.max(F.col("tp") + F.col("fn")).alias("pos"), F.max(F.col("tn") + F.col("fp")).alias("neg"))
+    best = sweep.groupBy(*keys).agg(F.max_by(F.struct("threshold", score), F.struct(F.round(score, 9), -F.col("threshold"))).alias("b"), F.max(F.col("tp") + F.col("fn")).alias("pos"), F.max(F.col("tn") + F.col("fp")).alias("neg"))
     one = (F.col("pos") == 0) | (F.col("neg") == 0)
     return best.select(*keys, F.when(one, F.lit(0.5)).otherwise(F.col("b.threshold")).alias("threshold"), F.when(one, F.lit(0.0)).otherwise(F.col(f"b.{score}")).alias("score"))
 

@@ -128,7 +128,7 @@ SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (preci
 
 def _by_project(rows: str, hit: str) -> str:
     source = f"SELECT CASE WHEN grouping(project) = 1 THEN 'Combined' ELSE project END AS project, {_counts(hit)} FROM ({rows}) GROUP BY GROUPING SETS ((project), ())"
-    return _rates(source, "project")
+    return "SELECT project, tp, tn, fp, fn, " + ", ".join(f"round({k}, 6) AS {k}" for k in ("accuracy", "precision", "recall", "mcc", "f1")) + f" FROM ({_rates(source, 'project')})"
 
 
 def _auc(key: str) -> str:
