@@ -127,8 +127,8 @@ def propagate(h: np.ndarray, edges: np.ndarray, weights: dict, steps: int) -> np
     return h
 
 
-def graph_vectors(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, weights: dict | None = None) -> DataFrame:
-    """(fn_id, nodes, vector): sum and maximum over nodes of [state after ``steps`` updates, first state].
+def graph_states(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, weights: dict | None = None, pooled: bool = False) -> DataFrame:
+    """(fn_id, nodes, vector): the nodes' [state after ``steps`` updates, first state], one after another.
 
     ``state`` and ``edges`` must come from size-limited graphs; one graph's rows are one group.
     """
@@ -147,9 +147,15 @@ def graph_vectors(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6,
                 rows = [(t, place[a], place[b]) for t, a, b in zip(k or [], src or [], dst or [], strict=True) if a in place and b in place]
                 last = propagate(first, np.array(rows, np.int64).reshape(-1, 3), weights, steps)
                 both = np.concatenate([last, first], axis=1)
+                vector = np.concatenate([both.sum(axis=0), both.max(axis=0)]) if pooled else both.ravel()
                 ids.append(fn)
                 sizes.append(len(nodes))
-                vectors.append(np.concatenate([both.sum(axis=0), both.max(axis=0)]).tolist())
+                vectors.append(vector.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(vectors, pa.list_(pa.float64()))], names=["fn_id", "nodes", "vector"])
 
     return graphs.mapInArrow(run, "fn_id bigint, nodes int, vector array<double>")
+
+
+def graph_vectors(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, weights: dict | None = None) -> DataFrame:
+    """(fn_id, nodes, vector): sum and maximum over the nodes of ``graph_states``."""
+    return graph_states(state, edges, dim, steps, weights, pooled=True)

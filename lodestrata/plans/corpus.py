@@ -199,6 +199,19 @@ FROM holdout h LEFT JOIN (SELECT fn_id, prob FROM scored WHERE prob IS NOT NULL)
     "commit_leakage": f"""
 WITH {_CLEAN}, seen AS (SELECT DISTINCT commit_id FROM clean WHERE split = 'train' AND commit_id <> '')
 SELECT split, count(*) AS functions, count(s.commit_id) AS leaked FROM clean c LEFT JOIN seen s ON s.commit_id = c.commit_id WHERE split IN ('val', 'test') GROUP BY split""",
+    "leakage_gap": f"""
+WITH {_CLEAN}, seen AS (SELECT DISTINCT commit_id FROM clean WHERE split = 'train' AND commit_id <> ''), held AS (
+    SELECT c.fn_id, s.commit_id IS NOT NULL AS seen FROM clean c LEFT JOIN seen s ON s.commit_id = c.commit_id WHERE split IN ('val', 'test')
+), counts AS (
+    SELECT seen, count(*) FILTER (WHERE prob >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE prob >= 0.5 AND label <> 1) AS fp, count(*) FILTER (WHERE prob < 0.5 AND label = 1) AS fn, count(*) AS n,
+           count(*) FILTER (WHERE (prob >= 0.5) = (label = 1)) AS good
+    FROM scored s JOIN held h ON h.fn_id = s.fn_id WHERE label IS NOT NULL AND prob IS NOT NULL AND NOT isnan(prob) GROUP BY seen
+), rated AS (
+    SELECT seen, good * 100.0::DOUBLE / n AS accuracy, CASE WHEN 2 * tp + fp + fn > 0 THEN 200.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM counts
+), sides AS (
+    SELECT max(CASE WHEN seen THEN accuracy END) AS a, max(CASE WHEN NOT seen THEN accuracy END) AS b, max(CASE WHEN seen THEN f1 END) AS c, max(CASE WHEN NOT seen THEN f1 END) AS d FROM rated
+)
+SELECT round(a, 2) AS accuracy_seen, round(c, 2) AS f1_seen, round(a - b, 2) AS accuracy_gap, round(c - d, 2) AS f1_gap FROM sides""",
     "analyser_flags": f"WITH {_CLEAN}, {_FLAGS} SELECT fn_id, risky_call, memory_flaw FROM flags",
     "analyser_metrics": f"WITH {_CLEAN}, {_FLAGS} {_analyser('risky_call')} UNION ALL {_analyser('memory_flaw')}",
     "project_ranks": f"WITH {_CLEAN} SELECT project, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS place FROM clean GROUP BY project",

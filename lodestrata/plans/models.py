@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import classifier_metrics, features, trees
+from lodestrata.operators import classifier_metrics, features, training, trees
 from lodestrata.plans import graphs
 from lodestrata.session import materialize, table
 
@@ -57,12 +59,12 @@ def _message_step(combine: str):
     return run
 
 
-def _graph_vectors(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
+def _graph_vectors(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, pooled: bool = True) -> DataFrame:
     code = features.node_features(nodes, vectors, DIM, "zero")
     kinds = trees.vocabulary(nodes, "type", ["fn_id", "node_id"], 1, "type_id").withColumnRenamed("term", "type")
     type_ids = nodes.join(F.broadcast(kinds), "type", "left").select("fn_id", "node_id", F.coalesce("type_id", F.lit(0)).alias("type_id"))  # the grammar's types
     embedding = np.random.default_rng(3).normal(0, 0.5, (200, DIM))
-    return features.graph_vectors(features.node_init(code, type_ids, embedding), edges, 2 * DIM)
+    return features.graph_states(features.node_init(code, type_ids, embedding), edges, 2 * DIM, pooled=pooled)
 
 
 def graph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +129,21 @@ def graph_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit_and_score(_graph_rows(spark, sf_dir, trees.EDGE_TYPES), _logistic())
 
 
+def _readout_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, vectors = _hashed(spark, sf_dir)
+    got = _graph_vectors(nodes, trees.all_edges(nodes), vectors, pooled=False)
+    return materialize(_labelled(got.select("fn_id", F.col("vector").alias("states")), spark, sf_dir), "states")
+
+
+def readout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A perceptron summed over the propagated nodes, trained with early stopping on val, scored on val and test."""
+    rows = _readout_graphs(spark, sf_dir)
+    settings = training.Settings(epochs=8)
+    flat, _ = training.train(rows, 4 * DIM, settings)
+    held = rows.filter("split <> 'train'")
+    return training.predict(held, flat, 4 * DIM, settings).join(held.select("fn_id", "project", "label", "split"), "fn_id").select("fn_id", "project", "label", "split", "prob")
+
+
 def token_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic model over hashed token runs of each function, the sequence baseline, scored on val and test."""
     from pyspark.ml import Pipeline
@@ -149,8 +166,8 @@ def _measured(scored: DataFrame, model: str) -> DataFrame:
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test metrics of the classifiers, for each project and combined."""
-    parts = [_measured(f(spark, sf_dir), name) for name, f in (("metrics", metrics_classifier_scores), ("graph", graph_classifier_scores), ("tokens", token_classifier_scores))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [_measured(f(spark, sf_dir), name) for name, f in (("metrics", metrics_classifier_scores), ("graph", graph_classifier_scores), ("readout", readout_scores), ("tokens", token_classifier_scores))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def edge_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +191,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("fn_id", "prob", "threshold", "predicted", "num_nodes", *[F.col("edges")[k].alias(k.lower()) for k in trees.EDGE_TYPES])
 
 
-QUERIES = {f.__name__: f for f in (word_vectors, node_features_zero, node_features_mean, graph_vectors, metrics_classifier_scores, graph_classifier_scores, token_classifier_scores, model_table, edge_ablation, predictions)} | {
+QUERIES = {f.__name__: f for f in (word_vectors, node_features_zero, node_features_mean, graph_vectors, metrics_classifier_scores, graph_classifier_scores, readout_scores, token_classifier_scores, model_table, edge_ablation, predictions)} | {
     "message_step": _message_step("sum"), "message_step_mean": _message_step("mean"), "message_step_max": _message_step("max"), "message_step_concat": _message_step("concat"),
 }
 
