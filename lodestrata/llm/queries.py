@@ -279,6 +279,19 @@ SELECT term, n, count(*) AS occurrences, count(DISTINCT fn_id) AS functions FROM
     "p3_report": _P3_ROWS
     + """SELECT d.project, d.target, d.share_permille, d.min_rows, d.usable, d.needed, count(s.fn_id) AS seats, d.usable >= d.needed AS met
 FROM need d LEFT JOIN sample s ON s.project = d.project AND s.target = d.target GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY d.project, d.target, d.share_permille, d.min_rows, d.usable, d.needed"),
+    "p8_found": r"""
+WITH items AS (
+    SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM eval_items
+), sized AS (
+    SELECT item_id, w, least(12, len(w)) AS n FROM items WHERE len(w) > 0
+), passages AS (
+    SELECT DISTINCT item_id, n, hash(array_to_string(w[i:i + n - 1], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
+), docs AS (
+    SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL
+), windows AS (
+    SELECT doc_id, n, hash(array_to_string(w[i:i + n - 1], ' ')) AS h FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM passages))
+)
+SELECT DISTINCT doc_id, item_id FROM windows JOIN passages USING (n, h)""",
     "p6_found": r"""
 WITH RECURSIVE named AS (
     SELECT DISTINCT fn_id, unnest(list_filter(regexp_extract_all(lower(commit_id), '[0-9a-f]+'), lambda x: len(x) BETWEEN 12 AND 40)) AS name FROM raw_functions
