@@ -67,6 +67,12 @@ def ship_package(spark: SparkSession) -> None:
     sc._lodestrata_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: small tables often come as one file, thus one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
