@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestrata.session import ship_package
+from lodestrata.session import ship_package, spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 MAX_MERGES = 500_000
@@ -297,4 +297,4 @@ def encode_table(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "by
                 start = end
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

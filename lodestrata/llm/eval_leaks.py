@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.words import FOLDED, words_of
-from lodestrata.session import ship_package
+from lodestrata.session import ship_package, spread
 
 RUN = 12
 SEED_WORDS = 4
@@ -172,6 +172,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col:
 
 def _leaks_of_block(docs: DataFrame, items: Items) -> DataFrame:
     spark = docs.sparkSession
+    docs = spread(docs)
     grams = items.grams()
     sent_vocab = spark.sparkContext.broadcast((items.vocab, grams))
 

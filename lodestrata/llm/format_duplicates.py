@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import materialize, ship_package
+from lodestrata.session import materialize, ship_package, spread
 
 #: Bytes of one bucket's distinct strings that a task holds as a trie.
 BUCKET_BYTES = 8 << 20
@@ -201,7 +201,7 @@ def format_groups(records: DataFrame, bucket_bytes: int = BUCKET_BYTES, first_by
     Groups: (origin, digest, keep_id, copies), one row for each distinct record. Members: (origin, canon, digest, ids).
     """
     ship_package(records.sparkSession)
-    keyed = records.select("origin", "id", canonical(F.col("func"), F.col("label")).alias("canon")).filter(F.col("canon").isNotNull() & F.col("id").isNotNull())
+    keyed = spread(records).select("origin", "id", canonical(F.col("func"), F.col("label")).alias("canon")).filter(F.col("canon").isNotNull() & F.col("id").isNotNull())
     keyed = keyed.withColumn("digest", F.unhex(F.substring(F.sha2("canon", 256), 1, 32)))
     members = materialize(combine_batches(keyed), "canon")
     groups = materialize(count_in_tries(radix_buckets(members, bucket_bytes, first_bytes)), "copies")

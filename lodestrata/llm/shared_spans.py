@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.words import BASE, mix
-from lodestrata.session import materialize, parallelism, ship_package
+from lodestrata.session import materialize, parallelism, ship_package, spread
 
 MIN_CHARS = 300
 #: Perfect difference sets by their period; fixed values.
@@ -173,7 +173,7 @@ def anchor_index(used: DataFrame, min_chars: int, buckets: int, wide: int) -> Da
                 out_hashes.append(np.ascontiguousarray(h[i:j].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
             yield _batch({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "texts": pa.array(out_texts, pa.binary()), "hashes": pa.array(out_hashes, pa.binary())})
 
-    return used.mapInArrow(run, "bucket int, texts binary, hashes binary")
+    return spread(used).mapInArrow(run, "bucket int, texts binary, hashes binary")
 
 
 _PAIRS = ("id_a", "same_a", "id_b", "same_b")

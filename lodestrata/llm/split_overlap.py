@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.words import FOLDED, WordHashes, gram_hashes, words_of
-from lodestrata.session import materialize, parallelism, ship_package
+from lodestrata.session import materialize, parallelism, ship_package, spread
 
 SEGMENT = 3
 MIN_PERMILLE = 700
@@ -85,7 +85,7 @@ def segment_counts(used: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist())
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = used.select("text").mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    parts = spread(used.select("text")).mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
     out = np.zeros(COUNTERS, np.int64)
     for r in parts:
         out.reshape(CHUNKS, -1)[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
@@ -145,7 +145,7 @@ def segment_index(used: DataFrame, counts: np.ndarray, buckets: int, wide: int =
                 out_entries.append(part.tobytes())
             yield _batch({"bucket": pa.array(bucket[np.concatenate([[0], cuts]).astype(np.int64)], pa.int32()), "texts": pa.array(out_texts, pa.binary()), "entries": pa.array(out_entries, pa.binary())})
 
-    return used.mapInArrow(run, "bucket int, texts binary, entries binary")
+    return spread(used).mapInArrow(run, "bucket int, texts binary, entries binary")
 
 
 #: Pairs looked at in one step of a bucket.

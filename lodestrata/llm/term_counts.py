@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.words import KEPT, words_of
-from lodestrata.session import ship_package
+from lodestrata.session import ship_package, spread
 
 RARE_BELOW = 3
 COMMON_PERMILLE = 400
@@ -113,7 +113,7 @@ def count_words(df: DataFrame, text_col: str, max_n: int = 1) -> DataFrame:
                     parts, size = [], 0
         yield from _rows(parts, max_n)
 
-    return _total(df.select(text_col).mapInArrow(run, _COUNTED))
+    return _total(spread(df.select(text_col)).mapInArrow(run, _COUNTED))
 
 
 def count_values(df: DataFrame, record_col: str, order_col: str, value_col: str, max_n: int = 1) -> DataFrame:
