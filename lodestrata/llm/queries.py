@@ -254,7 +254,26 @@ WITH words AS (
 )
 """
 
+_P9_WINDOWS = r"""
+WITH windows AS (
+    SELECT doc_id, i, hash(substring(text, i, 300)) AS h
+    FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)
+)
+"""
+
 ORACLE_SQL = {
+    "p9_found": _P9_WINDOWS
+    + """, once AS (SELECT DISTINCT doc_id, h FROM windows)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM once a JOIN once b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_shared": _P9_WINDOWS
+    + """, elsewhere AS (
+    SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+), places AS (
+    SELECT doc_id, least(300, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300)) AS n FROM windows SEMI JOIN elsewhere USING (h)
+), covered AS (
+    SELECT doc_id, sum(n) AS n FROM places GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars FROM documents LEFT JOIN covered USING (doc_id)""",
     "p5_found": _P5_PAIRS + "SELECT least(x, y) AS fn_id_a, greatest(x, y) AS fn_id_b FROM pairs",
     "p5_report": _P5_PAIRS
     + rf"""SELECT w.split, lower(regexp_replace(regexp_replace(project, '^{_SPACE}+', ''), '{_SPACE}+$', '')) AS project, count(*) AS pairs, count(DISTINCT x) AS functions
