@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import classifier_metrics, features, training, trees
+from lodestrata.operators import classifier_metrics, features, readout, training, trees
 from lodestrata.plans import graphs
 from lodestrata.session import materialize, table
 
@@ -59,6 +59,26 @@ def _message_step(combine: str):
     return run
 
 
+def conv_weights(axis: str) -> dict:
+    """Fixed weights of the convolutional readout over one step's messages."""
+    return readout.readout_weights(2 if axis == "nodes" else 4, 2, axis=axis)
+
+
+def _conv_readout(axis: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = materialize(trees.clean(table(spark, sf_dir, "ast_nodes")), "nodes")
+        first = nodes.select("fn_id", "node_id", F.array(F.when(F.col("is_leaf"), 1.0).otherwise(0.0), (F.col("node_id") % 7) / 7.0).alias("h"))
+        edges = trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes))
+        got = features.message_step(first, edges, step_weights(), "sum")
+        both = first.withColumnRenamed("h", "x").join(got, ["fn_id", "node_id"], "left")
+        h = F.coalesce("m", F.array(F.lit(0.0), F.lit(0.0)))
+        states = both.select("fn_id", "node_id", (h if axis == "nodes" else F.concat(h, "x")).alias("h"), "x")
+        return readout.conv_readout(states, conv_weights(axis), axis).select("fn_id", F.round("logit", 6).alias("logit"))
+
+    run.__doc__ = f"Logit of each function by the convolutional readout along {axis} (M8, M9)."
+    return run
+
+
 def _graph_vectors(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, pooled: bool = True) -> DataFrame:
     code = features.node_features(nodes, vectors, DIM, "zero")
     kinds = trees.vocabulary(nodes, "type", ["fn_id", "node_id"], 1, "type_id").withColumnRenamed("term", "type")
@@ -135,6 +155,22 @@ def _readout_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(_labelled(got.select("fn_id", F.col("vector").alias("states")), spark, sf_dir), "states")
 
 
+def conv_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic model over the responses of convolution filters along the propagated nodes, scored on val and test (M8, M9)."""
+    from pyspark.ml.functions import array_to_vector
+
+    nodes, vectors = _hashed(spark, sf_dir)
+    state = 2 * DIM
+    got = materialize(_graph_vectors(nodes, trees.all_edges(nodes), vectors, pooled=False), "states")
+    one = got.select("fn_id", F.explode(F.sequence(F.lit(0), F.col("nodes") - 1)).alias("node_id"), "vector")
+    one = one.select("fn_id", "node_id", F.slice("vector", F.col("node_id") * (2 * state) + 1, 2 * state).alias("v"))
+    weights = readout.readout_weights(state, state, channels=8)
+    both = readout.conv_over_nodes(one, 2 * state, weights["both"])
+    last = readout.conv_over_nodes(one.withColumn("v", F.slice("v", 1, state)), state, weights["last"])
+    rows = both.join(last.withColumnRenamed("z", "y"), "fn_id").select("fn_id", array_to_vector(F.concat("z", "y")).alias("raw"))
+    return _fit_and_score(_labelled(rows, spark, sf_dir), _logistic())
+
+
 def readout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A perceptron summed over the propagated nodes, trained with early stopping on val, scored on val and test."""
     rows = _readout_graphs(spark, sf_dir)
@@ -166,7 +202,7 @@ def _measured(scored: DataFrame, model: str) -> DataFrame:
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test metrics of the classifiers, for each project and combined."""
-    parts = [_measured(f(spark, sf_dir), name) for name, f in (("metrics", metrics_classifier_scores), ("graph", graph_classifier_scores), ("readout", readout_scores), ("tokens", token_classifier_scores))]
+    parts = [_measured(f(spark, sf_dir), name) for name, f in (("metrics", metrics_classifier_scores), ("graph", graph_classifier_scores), ("convolution", conv_classifier_scores), ("readout", readout_scores), ("tokens", token_classifier_scores))]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -191,7 +227,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("fn_id", "prob", "threshold", "predicted", "num_nodes", *[F.col("edges")[k].alias(k.lower()) for k in trees.EDGE_TYPES])
 
 
-QUERIES = {f.__name__: f for f in (word_vectors, node_features_zero, node_features_mean, graph_vectors, metrics_classifier_scores, graph_classifier_scores, readout_scores, token_classifier_scores, model_table, edge_ablation, predictions)} | {
+QUERIES = {f.__name__: f for f in (word_vectors, node_features_zero, node_features_mean, graph_vectors, metrics_classifier_scores, graph_classifier_scores, conv_classifier_scores, readout_scores, token_classifier_scores, model_table, edge_ablation, predictions)} | {
+    "conv_readout": _conv_readout("nodes"), "conv_readout_features": _conv_readout("features"),
     "message_step": _message_step("sum"), "message_step_mean": _message_step("mean"), "message_step_max": _message_step("max"), "message_step_concat": _message_step("concat"),
 }
 
@@ -202,14 +239,55 @@ _HASHED = f"""{graphs._SIZED}, all_leaves AS (
 )"""
 
 
-def _step_sql(combine: str) -> str:
+def _dense_sql(inputs: list[str], weights: np.ndarray, bias: np.ndarray, relu: bool = True) -> list[str]:
+    sums = [" + ".join([f"({float(b)!r})", *[f"{x} * ({float(v)!r})" for x, v in zip(inputs, row, strict=True)]]) for row, b in zip(weights, bias, strict=True)]
+    return [f"greatest({x}, 0.0)" if relu else x for x in sums]
+
+
+def _named(cells: list[str], name: str) -> str:
+    return ", ".join(f"CAST({c} AS DOUBLE) AS {name}{k}" for k, c in enumerate(cells))
+
+
+def _conv_sql(axis: str) -> str:
+    weights, steps = conv_weights(axis), _step_sql("sum", digits=None)
+    cells = ["coalesce(m[1], 0)", "coalesce(m[2], 0)", "h0", "h1"]
+    own = {"both": cells, "last": cells[:2]} if axis == "nodes" else {"both": [*cells, *cells[2:]], "last": cells}
+    head, _, tail = steps.rpartition("SELECT fn_id, node_id, [")
+    sql = f"{head.rstrip()}, got AS (SELECT fn_id, node_id, [{tail}), states AS (SELECT s.fn_id, s.node_id, h0, h1, m FROM state s LEFT JOIN got g ON g.fn_id = s.fn_id AND g.node_id = s.node_id)"
+    for name, w in weights.items():
+        n, channels = w["width"], len(w["b1"])
+        sql += f", v_{name} AS (SELECT fn_id, node_id, {_named(own[name], 'v')} FROM states)"
+        if axis == "nodes":
+            near = ", ".join([f"lag(v{k}, 1, 0) OVER w AS p{k}, v{k}, lead(v{k}, 1, 0) OVER w AS q{k}" for k in range(n)])
+            sql += f", near_{name} AS (SELECT fn_id, node_id, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY fn_id) AS n, {near} FROM v_{name} WINDOW w AS (PARTITION BY fn_id ORDER BY node_id))"
+            first = _dense_sql([f"{c}{k}" for c in "pvq" for k in range(n)], w["first"], w["b1"])
+            sql += f", first_{name} AS (SELECT fn_id, place, n, {_named(first, 'a')} FROM near_{name})"
+            three = ", ".join(f"max(a{k}) OVER w AS a{k}" for k in range(channels))
+            sql += f", pool_{name} AS (SELECT fn_id, place, n, {three} FROM first_{name} WINDOW w AS (PARTITION BY fn_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))"
+            second = [f"max({c})" for c in _dense_sql([f"a{k}" for k in range(channels)], w["second"], w["b2"])]
+            sql += f", z_{name} AS (SELECT fn_id, {_named(second, 'z')} FROM pool_{name} WHERE place % 2 = 0 AND place < greatest(n, 4) - 1 GROUP BY fn_id)"
+        else:
+            padded = ["0.0", *[f"v{k}" for k in range(n)], "0.0"]
+            first = [c for j in range(n) for c in _dense_sql(padded[j : j + 3], w["first"], w["b1"])]
+            sql += f", first_{name} AS (SELECT fn_id, {_named(first, 'a')} FROM v_{name})"
+            windows = [[j for j in range(s, s + 3) if j < n] for s in range(0, n, 2) if s == 0 or s < n - 1]
+            second = [_dense_sql([f"greatest({', '.join(f'a{j * channels + k}' for j in js)})" for k in range(channels)], w["second"], w["b2"]) for js in windows]
+            pairs = [second[s : s + 2] for s in range(0, len(second), 2)]
+            sql += f", z_{name} AS (SELECT fn_id, {_named([f'max(greatest({chr(44).join(place[k] for place in pair)}))' for k in range(channels) for pair in pairs], 'z')} FROM first_{name} GROUP BY fn_id)"
+        hidden = _dense_sql([f"z{k}" for k in range(w["m1"].shape[1])], w["m1"], w["c1"])
+        sql += f", y_{name} AS (SELECT fn_id, {_named(hidden, 'y')} FROM z_{name}), o_{name} AS (SELECT fn_id, {_named(_dense_sql([f'y{k}' for k in range(len(hidden))], w['m2'], w['c2'], relu=False), 'o')} FROM y_{name})"
+    n = len(weights["both"]["c2"])
+    return f"{sql} SELECT b.fn_id, round(({' + '.join(f'b.o{k} * l.o{k}' for k in range(n))}) / {n}, 6) AS logit FROM o_both b JOIN o_last l ON l.fn_id = b.fn_id"
+
+
+def _step_sql(combine: str, digits: int | None = 6) -> str:
     w = step_weights()
 
     def product(j: int) -> str:
         return "CASE etype " + " ".join(f"WHEN '{k}' THEN w * ({b[j]!r}) + x0 * ({m[j, 0]!r}) + x1 * ({m[j, 1]!r})" for k, (m, b) in ((k, (m.astype(object), b.astype(object))) for k, (m, b) in w.items())) + " END"
 
     cells = {
-        "sum": [f"round(sum(m{j}), 6)" for j in range(2)],
+        "sum": [f"round(sum(m{j}), {digits})" if digits else f"sum(m{j})" for j in range(2)],
         "mean": [f"round(sum(m{j}) / 3, 6)" for j in range(2)],
         "max": [f"round(CASE WHEN count(*) < 3 THEN greatest(max(m{j}), 0) ELSE max(m{j}) END, 6)" for j in range(2)],
         "concat": [f"round(coalesce(sum(CASE WHEN etype = '{k}' THEN m{j} END), 0), 6)" for k in STEP_TYPES for j in range(2)],
@@ -226,6 +304,8 @@ SELECT fn_id, node_id, [{", ".join(cells)}] AS m FROM typed GROUP BY fn_id, node
 
 
 ORACLE_SQL = {f"message_step{'' if c == 'sum' else '_' + c}": _step_sql(c) for c in ("sum", "mean", "max", "concat")} | {
+    "conv_readout": _conv_sql("nodes"),
+    "conv_readout_features": _conv_sql("features"),
     "node_features_zero": f"WITH {_HASHED} SELECT fn_id, node_id, coalesce(vector, [0.0::DOUBLE, 0, 0, 0]) AS code_feat FROM nodes LEFT JOIN vectors ON is_leaf AND token = code",
     "node_features_mean": f"""
 WITH {_HASHED}, below AS (

@@ -13,7 +13,7 @@ import pytest
 
 from lodestrata import registry
 from lodestrata.functions import patterns
-from lodestrata.operators import classifier_metrics, features, ranking, splits, training, trees
+from lodestrata.operators import classifier_metrics, features, ranking, readout, splits, training, trees
 from lodestrata.sources import records
 from pyspark.sql import functions as F
 
@@ -259,3 +259,34 @@ def test_message_forms_agree(spark):
     again = np.empty_like(h)
     again[order] = h
     assert np.allclose(features.propagate(again, moved, w, 3)[order], features.propagate(h, np.array(edges), w, 3))
+
+
+def conv_by_hand(v, w):
+    """The responses of one graph's node vectors, by loops."""
+    n, width = v.shape
+    v = np.concatenate([np.zeros((1, width)), v, np.zeros((1, width))])
+    first = [np.maximum(w["first"] @ v[i : i + 3].ravel() + w["b1"], 0) for i in range(n)]
+    pooled = [np.max(first[i : i + 3], axis=0) for i in range(0, n, 2) if i + 1 < max(n, 4)]
+    return np.max([np.maximum(w["second"] @ p + w["b2"], 0) for p in pooled], axis=0)
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_convolution_along_nodes(spark, width):
+    rng = np.random.default_rng(2)
+    graphs = {n: rng.normal(0, 1, (n, width)) for n in range(1, 9)}
+    w = readout.branch_weights(width, 3, rng)
+    rows = [(n, k * 10, v.tolist(), "x") for n, vs in graphs.items() for k, v in enumerate(vs)]
+    states = spark.createDataFrame(rows, "fn_id long, node_id int, v array<double>, place string")
+    got = {r["fn_id"]: r["z"] for r in readout.conv_over_nodes(states, width, w).collect()}
+    assert set(got) == set(graphs)
+    for n, v in graphs.items():
+        assert np.allclose(got[n], conv_by_hand(v, w))
+    assert readout.conv_over_nodes(states.limit(0), width, w).count() == 0
+
+
+def test_convolution_reads_null_vectors_as_zeros(spark):
+    w = readout.branch_weights(3, 2, np.random.default_rng(4))
+    rows = [(1, 0, [1.0, -1.0, 2.0]), (1, 1, None), (2, 0, [1.0, -1.0, 2.0]), (2, 1, [0.0, 0.0, 0.0])]
+    for f in (readout.conv_over_nodes, readout.conv_over_features):
+        got = {r["fn_id"]: r["z"] for r in f(spark.createDataFrame(rows, "fn_id long, node_id int, v array<double>"), 3, w | ({"first": w["first"][:, :3]} if f is readout.conv_over_features else {})).collect()}
+        assert got[1] == got[2]
