@@ -5,7 +5,8 @@ block's term sequence (to ``max_n`` terms), and the lengths of common prefixes o
 array into intervals: an interval of common prefix n is an n-gram, its length the number of occurrences. With an
 interval's suffixes in the order of their records, the number of records is its length less the adjacencies of
 equal record. Blocks then add up: since no record spans two blocks, record counts are exact. Hot terms leave a block
-as one row, whatever their number of occurrences.
+as one row, whatever their number of occurrences. Records of more than ``LONG_RECORD`` rows of a value column belong to no block:
+their places are numbered in ranges and their n-grams grouped as rows, so that no task holds such a record.
 
 Defined results: null or empty texts hold no term but count as records where ``records`` says so; null terms are no
 terms; a repeated record counts as a further record unless it has the same id; an empty table gives no rows.
@@ -22,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.words import KEPT, words_of
-from lodestrata.session import ship_package, spread
+from lodestrata.operators.ranking import RANGES, spread_rank
+from lodestrata.session import materialize, ship_package, spread
 
 RARE_BELOW = 3
 COMMON_PERMILLE = 400
 #: Terms in one suffix array; a longer record has a block of its own.
 BLOCK_TERMS = 400_000
+#: Rows of one record beyond which it isn't gathered in a task.
+LONG_RECORD = 400_000
 
 
 def suffix_intervals(tokens: np.ndarray, record: np.ndarray, max_n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -116,13 +120,34 @@ def count_words(df: DataFrame, text_col: str, max_n: int = 1) -> DataFrame:
     return _total(spread(df.select(text_col)).mapInArrow(run, _COUNTED))
 
 
-def count_values(df: DataFrame, record_col: str, order_col: str, value_col: str, max_n: int = 1) -> DataFrame:
+def count_long_records(rows: DataFrame, max_n: int) -> DataFrame:
+    """The counts of records (r, o, v) of any length, with nothing gathered beyond one n-gram; ``o`` must be a number or a timestamp."""
+    own = rows.groupBy("r", "o").agg(F.min("v").alias("v")).filter(F.col("v").isNotNull())
+    if max_n > 1:
+        place = F.col("o").cast("double")
+        lo, hi = own.agg(F.min(place), F.max(place)).first()
+        cell = F.coalesce(F.floor((place - F.lit(lo)) / F.lit((hi - lo + 1) if lo is not None else 1.0) * RANGES).cast("int"), F.lit(0))
+        own = spread_rank(own, ["r"], ["o"], cell)
+        # each row stands in the n-grams that start at its place and at the max_n - 1 places before
+        own = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max_n - 1)))).withColumn("start", F.col("rank") - F.col("k")).filter("start > 0")
+        own = own.groupBy("r", "start").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("g"))
+        own = own.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("g")))).withColumn("v", F.array_join(F.slice("g.v", F.lit(1), F.col("n")), " "))
+    else:
+        own = own.withColumn("n", F.lit(1))
+    return own.groupBy("r", F.col("v").alias("term"), "n").agg(F.count(F.lit(1)).alias("occurrences")).select("term", "n", "occurrences", F.lit(1).cast("bigint").alias("records"))
+
+
+def count_values(df: DataFrame, record_col: str, order_col: str, value_col: str, max_n: int = 1, long_record: int = LONG_RECORD) -> DataFrame:
     """(term, n, occurrences, records) of a value column; rows of one ``record_col`` form a record, in the order of ``order_col``.
 
-    Rows of the same record and place are one delivery. Where ``max_n`` is 1 a record's hot value needs no order.
+    Rows of the same record and place are one delivery.
     """
     ship_package(df.sparkSession)
     one = df.filter(F.col(record_col).isNotNull()).select(F.col(record_col).alias("r"), F.col(order_col).alias("o"), F.col(value_col).cast("string").alias("v"))
+    long, counted = materialize(one.groupBy("r").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > long_record).select("r"), "long"), None
+    if not long.isEmpty():
+        counted = count_long_records(one.join(long, "r", "left_semi"), max_n)
+        one = one.join(long, "r", "left_anti")
     one = one.repartition("r").groupBy("r", "o").agg(F.min("v").alias("v")).filter(F.col("v").isNotNull()).sortWithinPartitions("r", "o")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +169,8 @@ def count_values(df: DataFrame, record_col: str, order_col: str, value_col: str,
                 size += j - i
         yield from _rows(parts, max_n)
 
-    return _total(one.select("r", "v").mapInArrow(run, _COUNTED))
+    short = one.select("r", "v").mapInArrow(run, _COUNTED)
+    return _total(short if counted is None else short.unionByName(counted))
 
 
 def mark(records: Column, total: Column) -> Column:

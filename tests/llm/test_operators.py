@@ -378,3 +378,12 @@ def test_shared_spans_empty(spark):
 def test_covers(period):
     d = shared_spans.COVERS[period]
     assert {(a - b) % period for a in d for b in d} == set(range(period))
+
+
+@pytest.mark.parametrize("max_n", [1, 3])
+def test_long_records_count_alike(spark, max_n):
+    rng = random.Random(5)
+    rows = [(r, o, rng.choice(["a", "b", "c", None])) for r, n in ((1, 40), (2, 3), (3, 11), (4, 1)) for o in rng.sample(range(100), n)]
+    df = spark.createDataFrame([*rows, *rows[:20], (None, 1, "a"), (5, None, "b")], "r bigint, o int, v string")
+    whole, split, all_long = ({tuple(x) for x in term_counts.count_values(df, "r", "o", "v", max_n, k).select("term", "n", "occurrences", "records").collect()} for k in (1000, 10, 0))
+    assert whole == split == all_long and len(whole) >= 3
