@@ -10,7 +10,8 @@ Anchors are packed for each batch and bucket of the hash (6 bytes each), so that
 one class throughout: the class takes part once, its members are added at the end. An anchor held by more than ``WIDE``
 classes (boilerplate shorter than a span) emits no pairs: its texts are regrouped by windows extended around that
 anchor to nearly ``min_chars`` characters, one grouping for each way to lay out the rest to its left and right, and
-groupings with the same members are joined once. What is left pairs only texts that share almost a whole span. An
+groupings with the same members are joined once. A grouping that is wide even so is laid out again, to whole spans, so
+that only texts that share one are paired. An
 anchor that is wide within one batch of a task goes that way at once and leaves only a mark in its bucket, so that no
 bucket gathers the texts of a hot anchor.
 
@@ -242,38 +243,64 @@ def match_anchors(index: DataFrame, buckets: int, wide: int) -> DataFrame:
     return index.repartitionById(buckets, place).mapInArrow(match, _PAIR_SCHEMA + ", key bigint").distinct()
 
 
-def refine(hot: DataFrame, used: DataFrame, min_chars: int) -> DataFrame:
-    """Pairs of classes that share a window of nearly ``min_chars`` characters around a wide anchor."""
-    keys = hot.groupBy(F.col("id_a").alias("id"), F.col("same_a").alias("same")).agg(F.collect_set("key").alias("keys"))  # at most one text's anchors
-    rows = keys.join(used.select("id", "text"), "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cover = Cover(min_chars)
-        slack = cover.v - 1
-        step = -(-(slack + 1) // LAYOUTS)
-        for batch in batches:
-            for doc, same, wanted, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, _, place = anchors_of([text], cover)
-                at = place[np.isin((h & np.uint64((1 << 48) - 1)).astype(np.int64), np.array(wanted, np.int64))]
-                sums, out = cover.sums(code_points(text)), []
-                for i in range(LAYOUTS):
-                    left, right = min(i * step, slack), max(0, slack - (i + 1) * step + 1)
-                    ok = at[(at >= left) & (at + cover.w + right <= len(text))]
-                    out.append(cover.hashes(sums, ok - left, ok + cover.w + right) + np.uint64(i))
-                got = np.unique(np.concatenate(out)).view(np.int64)
-                yield _batch({"id": pa.array(np.full(len(got), doc), pa.int64()), "same": pa.array(np.full(len(got), same), pa.int64()), "key": pa.array(got, pa.int64())})
-
-    members = rows.select("id", "same", "keys", "text").mapInArrow(run, "id bigint, same bigint, key bigint")
-    members = materialize(members.groupBy("key", "same").agg(F.min("id").alias("id")), "refined")
-    # keys with the same members give the same pairs: one of them stays
+def _members(windows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of (id, same, key): the classes of each key, and each key's number and digests of classes where there are several."""
+    members = materialize(windows.groupBy("key", "same").agg(F.min("id").alias("id")), name)
     digest = [F.sum(F.xxhash64("same", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
-    kinds = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *digest).filter("n > 1")
-    chosen = kinds.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key")
-    m = members.join(chosen, "key")
+    return members, materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *digest).filter("n > 1"), f"{name}-kinds")
+
+
+def _pairs_within(members: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Pairs of classes of a key; of keys with the same members, which give the same pairs, one stays."""
+    m = members.join(kinds.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key")
     a, b = (m.select("key", F.col("id").alias(f"id_{x}"), F.col("same").alias(f"same_{x}")) for x in "ab")
     return a.join(b, "key").filter("same_a < same_b").select(*_PAIRS).distinct()
 
 
+def refine(hot: DataFrame, used: DataFrame, min_chars: int, wide: int) -> DataFrame:
+    """Pairs of classes that share a window of nearly ``min_chars`` characters around a wide anchor.
+
+    Windows that are wide as well are laid out once more, to all windows of ``min_chars`` characters around them; what shares
+    one of those is a pair of the result, so that texts with a common head just too short make no pairs.
+    """
+    keys = hot.groupBy(F.col("id_a").alias("id"), F.col("same_a").alias("same")).agg(F.collect_set("key").alias("keys"))  # at most one text's anchors
+    texts = used.select("id", "text")
+
+    def windows(rows: DataFrame, exact: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cover = Cover(min_chars)
+            slack = cover.v - 1
+            step = -(-(slack + 1) // LAYOUTS)
+            for batch in batches:
+                for doc, same, wanted, within, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    h, _, place = anchors_of([text], cover)
+                    at = place[np.isin((h & np.uint64((1 << 48) - 1)).astype(np.int64), np.array(wanted, np.int64))]
+                    sums, out = cover.sums(code_points(text)), [np.zeros(0, np.uint64)]
+                    for i in range(LAYOUTS):
+                        left, right = min(i * step, slack), max(0, slack - (i + 1) * step + 1)
+                        ok = at[(at >= left) & (at + cover.w + right <= len(text))]
+                        key = cover.hashes(sums, ok - left, ok + cover.w + right) + np.uint64(i)
+                        if not exact:
+                            out.append(key)
+                            continue
+                        ok, rest = ok[np.isin(key.view(np.int64), np.array(within, np.int64))], slack - left - right
+                        for j in range(rest + 1):
+                            fits = ok[(ok >= left + j) & (ok + cover.w + right + rest - j <= len(text))]
+                            out.append(cover.hashes(sums, fits - left - j, fits + cover.w + right + rest - j))
+                    got = np.unique(np.concatenate(out)).view(np.int64)
+                    yield _batch({"id": pa.array(np.full(len(got), doc), pa.int64()), "same": pa.array(np.full(len(got), same), pa.int64()), "key": pa.array(got, pa.int64())})
+
+        return rows.select("id", "same", "keys", "within", "text").mapInArrow(run, "id bigint, same bigint, key bigint")
+
+    members, kinds = _members(windows(keys.withColumn("within", F.lit(None).cast("array<bigint>")).join(texts, "id"), False), "refined")
+    pairs = _pairs_within(members, kinds.filter(F.col("n") <= wide))
+    still = kinds.filter(F.col("n") > wide).select("key")
+    if still.isEmpty():
+        return pairs
+    within = members.join(still, "key").groupBy("id", "same").agg(F.collect_set("key").alias("within"))  # likewise
+    return pairs.unionByName(_pairs_within(*_members(windows(keys.join(within, ["id", "same"]).join(texts, "id"), True), "exact")))
+
+
 def common_spans(a: str, b: str, cover: Cover) -> list[tuple[int, int, int]]:
     """Maximal common spans (start in a, start in b, length) of at least ``min_chars`` characters."""
     ha, _, pa_ = anchors_of([a], cover)
@@ -306,7 +333,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = matched.filter("key IS NULL").select(*_PAIRS)
     hot = matched.filter("key IS NOT NULL")
     if not hot.isEmpty():
-        pairs = materialize(pairs.unionByName(refine(hot, used, min_chars)).distinct(), "pairs")
+        pairs = materialize(pairs.unionByName(refine(hot, used, min_chars, wide)).distinct(), "pairs")
     needed = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct()
     texts = used.select("id", "text").join(needed, "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")

@@ -387,3 +387,17 @@ def test_long_records_count_alike(spark, max_n):
     df = spark.createDataFrame([*rows, *rows[:20], (None, 1, "a"), (5, None, "b")], "r bigint, o int, v string")
     whole, split, all_long = ({tuple(x) for x in term_counts.count_values(df, "r", "o", "v", max_n, k).select("term", "n", "occurrences", "records").collect()} for k in (1000, 10, 0))
     assert whole == split == all_long and len(whole) >= 3
+
+
+def test_head_just_too_short_makes_no_pairs(spark):
+    """A head of one character less than a span in all texts: no candidates; with one character more in some, just those."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    head = letters(299)
+    rows = [(i, head + chr(0x100 + i) + letters(200)) for i in range(12)] + [(50 + i, head + "zz" + letters(200)) for i in range(3)]
+    used = shared_spans._used(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", 300)
+    matched = shared_spans.match_anchors(shared_spans.anchor_index(used, 300, 2, 3), 2, 3)
+    hot = matched.filter("key IS NOT NULL")
+    assert not hot.isEmpty()
+    got = {tuple(sorted((r["id_a"], r["id_b"]))) for r in shared_spans.refine(hot, used, 300, 3).collect()}
+    assert got == {(50, 51), (50, 52), (51, 52)}
