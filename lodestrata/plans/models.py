@@ -216,15 +216,16 @@ def edge_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each scored function: probability, threshold, verdict, nodes and edges of each type."""
+    """For each scored function: probability, threshold, verdict, nodes and edges of each type; an error where it has no graph."""
     scored = table(spark, sf_dir, "scored").filter("prob IS NOT NULL")
     best = classifier_metrics.best_threshold(scored.filter("split = 'val'"), ["project"])
     decided = classifier_metrics.apply_threshold(scored, best, ["project"]).select("fn_id", "prob", "threshold", "predicted")
     nodes = materialize(trees.clean(table(spark, sf_dir, "ast_nodes")), "nodes")
     counts = trees.edge_counts(trees.all_edges(nodes), nodes).groupBy("fn_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("etype", "n")))).alias("edges"))
     sizes = nodes.groupBy("fn_id").agg(F.count(F.lit(1)).alias("num_nodes"))
-    joined = decided.join(sizes, "fn_id").join(counts, "fn_id")
-    return joined.select("fn_id", "prob", "threshold", "predicted", "num_nodes", *[F.col("edges")[k].alias(k.lower()) for k in trees.EDGE_TYPES])
+    joined = decided.join(sizes, "fn_id", "left").join(counts, "fn_id", "left")
+    error = F.when(F.col("num_nodes").isNull(), F.lit("no graph")).alias("error")
+    return joined.select("fn_id", "prob", "threshold", "predicted", "num_nodes", *[F.col("edges")[k].alias(k.lower()) for k in trees.EDGE_TYPES], error)
 
 
 QUERIES = {f.__name__: f for f in (word_vectors, node_features_zero, node_features_mean, graph_vectors, metrics_classifier_scores, graph_classifier_scores, conv_classifier_scores, readout_scores, token_classifier_scores, model_table, edge_ablation, predictions)} | {
