@@ -6,6 +6,12 @@ becomes a seed; so any passage that holds the window holds its seed, and no true
 corpus is read twice: once to count the items' n-grams in all documents, once to find seeds. Around each seed the
 passage is aligned with the item, word by word; the longest run of equal words on a diagonal decides ``p8_found``.
 
+An edit breaks every n-gram across it, so for edited copies (``p8_scores``) all n-grams of an item are seeds and the
+corpus is read once. A copy of an item of n words with k words changed, left out or put in keeps an n-gram of
+``SEED_WORDS`` words wherever n >= SEED_WORDS * (k + 1): up to (n - 4) / 4 edits in any places are found, more where they
+leave four words together. The score is that of the best alignment that holds a seed; the passage around a seed
+reaches as far as such an alignment can.
+
 Items are few against the corpus: their words, n-grams and seeds go to the tasks below ``MAX_ITEM_WORDS`` words in all;
 more items are worked off in blocks of that size, each a pass of its own.
 
@@ -28,6 +34,8 @@ from lodestrata.session import ship_package, spread
 RUN = 12
 SEED_WORDS = 4
 MAX_ITEM_WORDS = 2_000_000
+#: Words of passages that wait to be aligned in a task, and of those aligned at once.
+MAX_WAITING, MAX_CELLS = 2_000_000, 200_000
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -56,6 +64,15 @@ class Items:
                 out.setdefault(tuple(item[k : k + w].tolist()), len(out))
         return out
 
+    def all_seeds(self) -> dict[tuple, list[tuple[int, int]]]:
+        """Every n-gram: n-gram -> [(item, place)]."""
+        out: dict[tuple, list] = {}
+        for item_id, item in self.items.items():
+            w = self.width(item)
+            for k in range(len(item) - w + 1):
+                out.setdefault(tuple(item[k : k + w].tolist()), []).append((item_id, k))
+        return out
+
     def seeds(self, grams: dict[tuple, int], count: dict[int, int]) -> dict[tuple, list[tuple[int, int]]]:
         """The rarest n-gram of each window: n-gram -> [(item, place)]."""
         out: dict[tuple, list] = {}
@@ -117,20 +134,29 @@ class GramFinder:
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """(Smith-Waterman score, longest run of equal words in sequence) of an item and a passage."""
-    score, best = np.zeros(len(passage) + 1, np.int64), 0
-    run, longest = np.zeros(len(passage) + 1, np.int64), 0
-    steps = np.arange(len(passage) + 1)
+    best, longest = align_many(item, [passage])
+    return int(best[0]), int(longest[0])
+
+
+def align_many(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many passages at once, as one padded table."""
+    width = max(len(p) for p in passages)
+    table = np.full((len(passages), width), -1, np.int32)  # no word's number
+    for row, p in zip(table, passages, strict=True):
+        row[: len(p)] = p
+    score, best = np.zeros((len(passages), width + 1), np.int32), np.zeros(len(passages), np.int32)
+    run, longest = np.zeros_like(score), np.zeros_like(best)
+    steps = np.arange(width + 1, dtype=np.int32)
     for w in item:
-        same = passage == w
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        longest = max(longest, int(run.max()))
+        same = table == w
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        np.maximum(longest, run.max(axis=1), out=longest)
         new = np.zeros_like(score)
-        new[1:] = np.maximum(score[:-1] + np.where(same, MATCH, MISMATCH), score[1:] + GAP)
+        new[:, 1:] = np.maximum(score[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), score[:, 1:] + GAP)
         np.maximum(new, 0, out=new)
         # gaps along the passage: the best earlier score less one for each step
-        new = np.maximum.accumulate(new - GAP * steps) + GAP * steps
-        score = new
-        best = max(best, int(score.max()))
+        score = np.maximum.accumulate(new - GAP * steps, axis=1) + GAP * steps
+        np.maximum(best, score.max(axis=1), out=best)
     return best, longest
 
 
@@ -143,12 +169,12 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocab: dict[bytes, int]) -> It
                 yield doc, np.fromiter((number(w, 0) for w in words), np.int64, len(words))
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", run: int = RUN, seed_words: int = SEED_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", run: int = RUN, seed_words: int = SEED_WORDS, edited: bool = False) -> DataFrame:
     """(doc_id, item_id, score_permille, longest_run, item_words) of every document and item that share a seed.
 
     ``score_permille`` is the alignment's score against that of a full copy. ``longest_run`` is exact: the largest
     number of consecutive words of the item that the document holds in sequence, wherever it is at least ``run`` (or the
-    item's length).
+    item's length). With ``edited`` every n-gram of an item is a seed, so edited copies come out too.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -165,14 +191,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col:
     blocks.append(block)
     out = None
     for block in blocks:
-        one = _leaks_of_block(docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), Items(block, run, seed_words))
+        one = _leaks_of_block(docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), Items(block, run, seed_words), edited)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _leaks_of_block(docs: DataFrame, items: Items) -> DataFrame:
+def _rarest(docs: DataFrame, items: Items) -> dict[tuple, list[tuple[int, int]]]:
+    """Seeds by the n-grams' counts in all documents."""
     spark = docs.sparkSession
-    docs = spread(docs)
     grams = items.grams()
     sent_vocab = spark.sparkContext.broadcast((items.vocab, grams))
 
@@ -186,43 +212,69 @@ def _leaks_of_block(docs: DataFrame, items: Items) -> DataFrame:
 
     # one row for each n-gram of the items
     counted = {r["gram"]: r["n"] for r in docs.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()} if grams else {}
-    seeds = items.seeds(grams, counted)
+    return items.seeds(grams, counted)
+
+
+def _leaks_of_block(docs: DataFrame, items: Items, edited: bool) -> DataFrame:
+    spark = docs.sparkSession
+    docs = spread(docs)
+    seeds = items.all_seeds() if edited else _rarest(docs, items)
     numbers = {g: k for k, g in enumerate(seeds)}
     sent = spark.sparkContext.broadcast((items.vocab, items.items, numbers, list(seeds.values())))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, texts, numbers, places = sent.value
         finder = GramFinder(numbers)
-        rows = []
+        wait: dict[int, list[tuple[int, list[np.ndarray]]]] = {}  # item -> documents and their passages
+        cells = 0
         for doc, seq in _sequences(batches, vocab):
             at, number = finder.find(seq)
-            spans: dict[int, list[tuple[int, int]]] = {}
+            spans: dict[int, set[tuple[int, int]]] = {}
             for a, k in zip(at.tolist(), number.tolist(), strict=True):
                 for item_id, place in places[k]:
                     lo = a - place
-                    spans.setdefault(item_id, []).append((lo, lo + len(texts[item_id])))
+                    spans.setdefault(item_id, set()).add((lo, lo + len(texts[item_id])))
             for item_id, found in spans.items():
-                item, best, longest, upto = texts[item_id], 0, 0, None
-                slack = len(item) // 2
+                # a word that matches pays for two gaps, so an alignment that holds the seed ends within this
+                slack = len(texts[item_id]) * MATCH // -GAP
                 merged: list[list[int]] = []
-                for lo, hi in sorted(set(found)):
+                for lo, hi in sorted(found):
                     lo, hi = max(0, lo - slack), min(len(seq), hi + slack)
                     if merged and lo <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], hi)
                     else:
                         merged.append([lo, hi])
-                for lo, hi in merged:
-                    s, r = align(item, seq[lo:hi])
-                    best, longest = max(best, s), max(longest, r)
-                rows.append((doc, item_id, best * 1000 // (MATCH * len(item)), longest, len(item)))
-            if len(rows) > 5000:
-                yield _leak_batch(rows)
-                rows = []
-        yield _leak_batch(rows)
+                wait.setdefault(item_id, []).append((doc, [seq[lo:hi] for lo, hi in merged]))
+                cells += sum(hi - lo for lo, hi in merged)
+            if cells > MAX_WAITING:
+                yield _leak_batch(_scored(texts, wait))
+                wait, cells = {}, 0
+        yield _leak_batch(_scored(texts, wait))
 
     return docs.mapInArrow(find, "doc_id bigint, item_id bigint, score_permille bigint, longest_run bigint, item_words bigint").distinct()
 
 
+def _scored(texts: dict[int, np.ndarray], wait: dict[int, list[tuple[int, list[np.ndarray]]]]) -> list[tuple]:
+    """Rows of the documents that wait for each item; passages of like length are aligned together."""
+    rows = []
+    for item_id, docs in wait.items():
+        item = texts[item_id]
+        best, longest = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+        order = sorted(((len(p), k, j) for k, (_, passages) in enumerate(docs) for j, p in enumerate(passages)))
+        start = 0
+        while start < len(order):
+            end = start + 1
+            while end < len(order) and order[end][0] <= 2 * order[start][0] and order[end][0] * (end + 1 - start) <= MAX_CELLS:
+                end += 1
+            score, run = align_many(item, [docs[k][1][j] for _, k, j in order[start:end]])
+            owner = [k for _, k, _ in order[start:end]]
+            np.maximum.at(best, owner, score)
+            np.maximum.at(longest, owner, run)
+            start = end
+        rows += [(doc, item_id, int(b) * 1000 // (MATCH * len(item)), int(r), len(item)) for (doc, _), b, r in zip(docs, best, longest, strict=True)]
+    return rows
+
+
 def _leak_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "score_permille", "longest_run", "item_words"])

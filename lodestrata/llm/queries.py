@@ -129,8 +129,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eval_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+def _p8_leaks(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    return eval_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=edited)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +138,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of every document and item that share a seed, edited copies included."""
-    return _p8_leaks(spark, sf_dir)
+    """Alignment of every document and item that share four words in sequence, edited copies included."""
+    return _p8_leaks(spark, sf_dir, edited=True)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
