@@ -19,11 +19,14 @@ from lodestrata.session import ship_package
 
 
 def word_vectors(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int = 3, epochs: int = 10, seed: int = 1) -> DataFrame:
-    """(token, vector ARRAY<DOUBLE>) by skip-gram over a column ``tokens`` (M2)."""
+    """(token, vector ARRAY<DOUBLE>) by skip-gram over a column ``tokens`` (M2).
+
+    Each epoch trains on as many parts of the sentences as the session has cores and brings their vectors together.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, inputCol="tokens", outputCol="v").fit(sentences)
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=sentences.sparkSession.sparkContext.defaultParallelism, inputCol="tokens", outputCol="v").fit(sentences)
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
 
 

@@ -32,8 +32,8 @@ def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skip-gram vectors of the leaf tokens."""
-    return features.word_vectors(trees.leaf_tokens(_nodes(spark, sf_dir)), dim=32, epochs=1)
+    """Skip-gram vectors of the leaf tokens: 100 numbers, ten epochs."""
+    return features.word_vectors(trees.leaf_tokens(_nodes(spark, sf_dir)))
 
 
 def node_features_zero(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.ml.feature import Word2Vec
+
 from lodestrata.llm import eval_leaks
 from lodestrata.operators import trees
 from lodestrata.plans import models
@@ -59,3 +61,19 @@ def test_edited_copies_are_aligned(spark):
     found = eval_leaks.leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string"), edited=True)
     got = {(r["doc_id"], r["item_id"]): r["score_permille"] for r in found.collect()}
     assert got == expected
+
+
+def test_word_vectors_are_trained_in_full(spark, monkeypatch):
+    asked, fit = {}, Word2Vec.fit
+
+    def recorded(self, *args):
+        asked.update({p.name: v for p, v in self.extractParamMap().items()})
+        return fit(self, *args)
+
+    monkeypatch.setattr(Word2Vec, "fit", recorded)
+    rows = {r["token"]: r["vector"] for r in models.word_vectors(spark, DATA).collect()}
+    nodes = trees.sized(trees.clean(spark.read.parquet(f"{DATA}/ast_nodes.parquet")))
+    counts = Counter(r["code"] for r in nodes.filter("is_leaf AND code IS NOT NULL").collect())
+    assert set(rows) == {t for t, n in counts.items() if n >= 3}
+    assert {len(v) for v in rows.values()} == {100}
+    assert (asked["maxIter"], asked["windowSize"], asked["numPartitions"]) == (10, 5, spark.sparkContext.defaultParallelism)
