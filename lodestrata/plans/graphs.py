@@ -59,6 +59,12 @@ def edge_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.edge_weights(edges, nodes)
 
 
+def edge_norms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct edges of all seven types with self-loops, and their norms; has no SQL, as control flow has none."""
+    nodes = materialize(trees.sized(_nodes(spark, sf_dir)), "nodes")
+    return trees.edge_weights(trees.all_edges(nodes), nodes)
+
+
 def ablated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a chosen set of types, renumbered in that order."""
     chosen = ["AST", "NCS", "DFG_W"]
@@ -164,7 +170,7 @@ def size_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ast_edges, ncs_edges, identifier_roles, dfg_edges, cfg_edges, edge_counts, edge_norms, ablated_edges, edge_bounds, max_nesting, function_metrics,
+    ast_edges, ncs_edges, identifier_roles, dfg_edges, cfg_edges, edge_counts, edge_norms, edge_norms_all, ablated_edges, edge_bounds, max_nesting, function_metrics,
     type_vocabulary, node_type_ids, token_vocabulary, token_counts, token_sequences, token_sentences, drop_reasons, parse_quality, size_batches,
 )}
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import Word2Vec
 
 from lodestrata.llm import eval_leaks
 from lodestrata.operators import trees
-from lodestrata.plans import models
+from lodestrata.plans import graphs, models
 
 DATA = "/root/testdata/sf0.001"
 
@@ -77,3 +77,13 @@ def test_word_vectors_are_trained_in_full(spark, monkeypatch):
     assert set(rows) == {t for t, n in counts.items() if n >= 3}
     assert {len(v) for v in rows.values()} == {100}
     assert (asked["maxIter"], asked["windowSize"], asked["numPartitions"]) == (10, 5, spark.sparkContext.defaultParallelism)
+
+
+def test_norms_of_all_edge_types(spark):
+    nodes = trees.sized(trees.clean(spark.read.parquet(f"{DATA}/ast_nodes.parquet")))
+    edges = {tuple(r) for r in trees.all_edges(nodes).select("fn_id", "etype", "src", "dst").collect()}
+    edges |= {(r["fn_id"], k, r["node_id"], r["node_id"]) for r in nodes.collect() for k in trees.EDGE_TYPES}
+    out = Counter((f, k, a) for f, k, a, _ in edges)
+    got = {(r["fn_id"], r["etype"], r["src"], r["dst"]): r["norm"] for r in graphs.edge_norms_all(spark, DATA).collect()}
+    assert got == {(f, k, a, b): 1 / out[f, k, a] for f, k, a, b in edges}
+    assert any(k == "CFG" and a != b and norm < 1 for (_, k, a, b), norm in got.items())
