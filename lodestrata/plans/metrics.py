@@ -63,13 +63,17 @@ def imbalanced_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.project_metrics(scored.withColumn("prob", F.col("predicted").cast("double")))
 
 
-def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """'accuracy/f1' of each split as one row, one column for each of the largest four projects' names and all."""
+def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """'accuracy/f1' of each split for every project and all rows, one row each."""
     rows = _scored(spark, sf_dir)
     parts = [m.project_metrics(rows.filter(F.col("split") == s)).withColumn("method", F.lit(s)) for s in ("val", "test")]
     cell = F.format_string("%.2f/%.2f", F.col("accuracy"), F.col("f1"))
-    named = parts[0].unionByName(parts[1]).withColumn("cell", cell)
-    return named.groupBy("method").pivot("project", [m.COMBINED, "quillnet", "moltenvm", "emberkern", "vastframe"]).agg(F.coalesce(F.first("cell"), F.lit("-")))
+    return parts[0].unionByName(parts[1]).select("method", "project", cell.alias("cell"))
+
+
+def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """'accuracy/f1' of each split as one row, one column for each of four named projects and all (E13, E14); ``result_cells`` has every project."""
+    return result_cells(spark, sf_dir).groupBy("method").pivot("project", [m.COMBINED, "quillnet", "moltenvm", "emberkern", "vastframe"]).agg(F.coalesce(F.first("cell"), F.lit("-")))
 
 
 def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +104,7 @@ QUERIES = {
     "threshold_accuracy": _best("accuracy"),
     "tuned_test_metrics": tuned_test_metrics,
     "imbalanced_metrics": imbalanced_metrics,
+    "result_cells": result_cells,
     "result_table": result_table,
     "metric_deltas": metric_deltas,
     "class_weight": class_weight,
@@ -195,6 +200,7 @@ ORACLE_SQL = {
 WITH v AS ({_by_project(_USABLE + " AND split = 'val'", "prob >= 0.5")}), t AS ({_by_project(_USABLE + " AND split = 'test'", "prob >= 0.5")})
 SELECT v.project, printf('%+.2f', round(t.accuracy - v.accuracy, 2)) AS accuracy_gap, round(t.f1 - v.f1, 2) AS f1_gap FROM v LEFT JOIN t ON v.project IS NOT DISTINCT FROM t.project""",
     "class_weight": "SELECT project, CASE WHEN count(*) FILTER (WHERE label = 1) > 0 THEN count(*) FILTER (WHERE label <> 1) / count(*) FILTER (WHERE label = 1) ELSE 1 END AS weight FROM scored WHERE label IS NOT NULL GROUP BY project",
+    "result_cells": " UNION ALL ".join(f"SELECT '{s}' AS method, project, printf('%.2f/%.2f', accuracy, f1) AS cell FROM ({_by_project(_USABLE + f" AND split = '{s}'", 'prob >= 0.5')})" for s in ("val", "test")),
     "result_table": f"""
 WITH r AS (SELECT 'val' AS method, * FROM ({_by_project(_USABLE + " AND split = 'val'", "prob >= 0.5")}) UNION ALL SELECT 'test', * FROM ({_by_project(_USABLE + " AND split = 'test'", "prob >= 0.5")}))
 SELECT method, {", ".join(f"coalesce(max(CASE WHEN project = '{p}' THEN printf('%.2f/%.2f', accuracy, f1) END), '-') AS {p}" for p in ("Combined", "quillnet", "moltenvm", "emberkern", "vastframe"))} FROM r GROUP BY method""",

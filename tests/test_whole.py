@@ -9,7 +9,7 @@ from pyspark.ml.feature import Word2Vec
 
 from lodestrata.llm import eval_leaks
 from lodestrata.operators import trees
-from lodestrata.plans import graphs, models
+from lodestrata.plans import graphs, metrics, models
 
 DATA = "/root/testdata/sf0.001"
 
@@ -87,3 +87,13 @@ def test_norms_of_all_edge_types(spark):
     got = {(r["fn_id"], r["etype"], r["src"], r["dst"]): r["norm"] for r in graphs.edge_norms_all(spark, DATA).collect()}
     assert got == {(f, k, a, b): 1 / out[f, k, a] for f, k, a, b in edges}
     assert any(k == "CFG" and a != b and norm < 1 for (_, k, a, b), norm in got.items())
+
+
+def test_result_cells_hold_every_project(spark, tmp_path):
+    rows = [(i, f"project{i % 7}", i % 2, i % 3 / 2, "test" if i % 5 else "val") for i in range(200)]
+    spark.createDataFrame(rows, "fn_id bigint, project string, label int, prob double, split string").write.parquet(str(tmp_path / "scored.parquet"))
+    got = {(r["method"], r["project"]): r["cell"] for r in metrics.result_cells(spark, str(tmp_path)).collect()}
+    assert set(got) == {(s, p) for s in ("val", "test") for p in ["Combined", *[f"project{k}" for k in range(7)]]}
+    own = [(y, x >= 0.5) for _, p, y, x, s in rows if s == "test" and p == "project3"]
+    tp, wrong = sum(y == 1 and hit for y, hit in own), sum((y == 1) != hit for y, hit in own)
+    assert got["test", "project3"] == f"{100 * (len(own) - wrong) / len(own):.2f}/{200 * tp / (2 * tp + wrong):.2f}"
