@@ -83,6 +83,11 @@ def p4_type_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.count_values(table(spark, sf_dir, "ast_nodes"), "fn_id", "node_id", "type", max_n=3).withColumnRenamed("records", "functions")
 
 
+def p4_func_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and functions of every run of up to three words of the functions' texts."""
+    return term_counts.count_words(table(spark, sf_dir, "raw_functions"), "func", max_n=3).withColumnRenamed("records", "functions")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     functions = table(spark, sf_dir, "raw_functions")
     return split_overlap.all_pairs(split_overlap.overlaps(functions), functions)
@@ -165,6 +170,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p4_type_grams": p4_type_grams,
+    "p4_func_grams": p4_func_grams,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p5_report": p5_report,

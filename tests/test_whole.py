@@ -7,7 +7,8 @@ from collections import Counter
 
 from pyspark.ml.feature import Word2Vec
 
-from lodestrata.llm import eval_leaks
+from lodestrata.llm import eval_leaks, queries
+from lodestrata.llm.words import KEPT, words_of
 from lodestrata.operators import trees
 from lodestrata.plans import graphs, metrics, models
 
@@ -97,3 +98,14 @@ def test_result_cells_hold_every_project(spark, tmp_path):
     own = [(y, x >= 0.5) for _, p, y, x, s in rows if s == "test" and p == "project3"]
     tp, wrong = sum(y == 1 and hit for y, hit in own), sum((y == 1) != hit for y, hit in own)
     assert got["test", "project3"] == f"{100 * (len(own) - wrong) / len(own):.2f}/{200 * tp / (2 * tp + wrong):.2f}"
+
+
+def test_runs_of_words_of_functions(spark):
+    occurrences, functions = Counter(), Counter()
+    for r in spark.read.parquet(f"{DATA}/raw_functions.parquet").select("func").collect():
+        words = [w.decode() if isinstance(w, bytes) else w for w in words_of(r["func"], KEPT)]
+        runs = [(" ".join(words[k : k + n]), n) for n in (1, 2, 3) for k in range(len(words) - n + 1)]
+        occurrences.update(runs)
+        functions.update(set(runs))
+    got = {(r["term"], r["n"]): (r["occurrences"], r["functions"]) for r in queries.p4_func_grams(spark, DATA).collect()}
+    assert got == {t: (occurrences[t], functions[t]) for t in occurrences}
