@@ -1,13 +1,17 @@
 """Splits that keep related records together.
 
 Method: connected components over records that share an entity (here: a commit named in ``commit_id``), by alternating
-large-star and small-star, then a hash of the component's identifier into ranges as long as the splits' shares.
+large-star and small-star, then a hash of the component's identifier into ranges in the splits' proportions.
 
 The graph holds entities only: a record that names one entity adds no edge, one that names several ties them together,
 so an entity with a third of all rows is one node. All steps are joins and grouped minima with written tables between
-rounds; nothing is collected but one checksum a round, the few split shares, and the components that hold more than one
-row in ``HEAVY`` (at most ``HEAVY`` of them), which are placed one by one where most room is left before the rest is hashed
-into the remaining shares.
+rounds; nothing is collected but one checksum a round, the few split shares, and one row for each of the ``RANGES`` ranges
+of the hash.
+
+Components differ in size, so ranges of equal length hold different numbers of rows. The hash is therefore cut into
+``RANGES`` ranges, and each split gets as many of them as fill its share of the rows and of the positive labels: ranges are
+dealt out from the fullest to the emptiest, each to the split whose open room has the largest dot product with it. One
+rule holds for components of every size.
 
 Defined results: a null or blank value, or one without a run of 12 to 40 hexadecimal digits, names nothing, and its
 record is a group of its own (records with a null id together form one). A shorter run names the one known 40-digit commit that starts with it; if none or
@@ -21,9 +25,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import materialize
 
-HEAVY = 200
-#: Ranges of the hash are cut in units of 1 / HASH_UNITS.
-HASH_UNITS = 1_000_000
+#: Ranges of the hash of a component; one row each reaches the driver.
+RANGES = 4096
+#: More splits than these are an error.
+MAX_SPLITS = 1000
 MAX_ROUNDS = 60
 
 
@@ -82,37 +87,34 @@ def tied_records(groups: DataFrame) -> DataFrame:
     return groups.join(several, "group_key").select("id", "group_key")
 
 
+def deal_ranges(ranges: list[tuple[int, int, int]], shares: list[tuple[str, int]]) -> list[tuple[int, str]]:
+    """(range, split) for ranges (number, rows, positives), so that splits hold rows and positives in proportion to their shares."""
+    rows, positive = sum(n for _, n, _ in ranges) or 1, sum(p for *_, p in ranges) or 1
+    weight = sum(w for _, w in shares) or 1
+    room = {s: [w / weight, w / weight] for s, w in shares}  # in parts of all rows and of all positives
+    out = []
+    for k, n, p in sorted(ranges, key=lambda r: (-r[1], -r[2], r[0])):
+        n, p = n / rows, p / positive
+        best = max(room, key=lambda s: (n * room[s][0] + p * room[s][1], s))
+        room[best][0] -= n
+        room[best][1] -= p
+        out.append((k, best))
+    return out
+
+
 def assign_splits(df: DataFrame, groups: DataFrame, targets: DataFrame, id_col: str = "fn_id", label_col: str = "target") -> DataFrame:
-    """(id, group_key, split) for every row; records without entity have the key 'fn:<id>'."""
-    shares = sorted((r["split"], r["share_permille"]) for r in targets.select("split", "share_permille").limit(1000).collect())
+    """(id, group_key, split, label) for every row; records without entity have the key 'fn:<id>'.
+
+    Raises an error where ``targets`` has no split or more than ``MAX_SPLITS``.
+    """
+    shares = sorted((r["split"], r["share_permille"]) for r in targets.select("split", "share_permille").limit(MAX_SPLITS + 1).collect())
+    if not 0 < len(shares) <= MAX_SPLITS:
+        raise ValueError(f"1 to {MAX_SPLITS} splits, not {len(shares)} or more")
     keyed = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).join(groups, "id", "left")
     keyed = keyed.withColumn("group_key", F.coalesce("group_key", F.concat(F.lit("fn:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
-    keyed = materialize(keyed, "keyed")
-    total = keyed.count()
-    positive = F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos")
-    heavy = keyed.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), positive).filter(F.col("n") * HEAVY > total).collect()
-    all_pos = (keyed.agg(positive).first()["pos"] or 0) if heavy else 0
-    weight = sum(s for _, s in shares) or 1
-    room = {s: [total * w / weight, all_pos * w / weight] for s, w in shares}
-    fixed = []
-    for r in sorted(heavy, key=lambda r: (-r["n"], r["group_key"])):
-        # the split that is left with least overshoot, then with most room; the label's share counts as well
-        best = max(room, key=lambda s: (min(0.0, room[s][0] - r["n"]), min(0.0, room[s][1] - r["pos"]), room[s][0], s))
-        room[best][0] -= r["n"]
-        room[best][1] -= r["pos"]
-        fixed.append((r["group_key"], best))
-    left = {s: max(0.0, v[0]) for s, v in room.items()}
-    whole = sum(left.values()) or 1.0
-    unit = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("split:"), F.col("group_key"))), 1, 12), 16, 10).cast("bigint"), F.lit(HASH_UNITS))
-    split, upto = F.lit(shares[-1][0] if shares else None), HASH_UNITS
-    for s, _ in reversed(shares):
-        upto_s = upto
-        split = F.when(F.lit(upto_s) > F.col("unit"), F.lit(s)).otherwise(split)
-        upto -= round(left[s] / whole * HASH_UNITS)
-    placed = keyed.withColumn("unit", unit)
-    if fixed:
-        known = F.broadcast(df.sparkSession.createDataFrame(fixed, "group_key string, fixed string"))  # at most HEAVY rows
-        placed = placed.join(known, "group_key", "left")
-    else:
-        placed = placed.withColumn("fixed", F.lit(None).cast("string"))
-    return placed.select("id", "group_key", F.coalesce("fixed", split).alias("split"), "label")
+    cell = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("split:"), F.col("group_key"))), 1, 12), 16, 10).cast("bigint"), F.lit(RANGES)).cast("int")
+    keyed = materialize(keyed.withColumn("cell", cell), "keyed")
+    positive = F.sum(F.when(F.col("label") == 1, 1).otherwise(0))
+    ranges = [tuple(r) for r in keyed.groupBy("cell").agg(F.count(F.lit(1)), positive).collect()]  # at most RANGES rows
+    dealt = df.sparkSession.createDataFrame(deal_ranges(ranges, shares), "cell int, split string")
+    return keyed.join(F.broadcast(dealt), "cell").select("id", "group_key", "split", "label")
