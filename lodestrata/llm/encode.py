@@ -2,8 +2,10 @@
 
 Method: inside each task the distinct words are handed to an in-process DuckDB. A recursive query joins the pairs of
 neighbouring tokens of each word with the merge table and contracts the leftmost pair of least rank, until no pair of
-the word stands in the merge table. An ordered aggregation gives the ids of each word; texts are then put together
-from their words in order.
+the word stands in the merge table. Further places of that pair to the right, which would come next, are contracted in
+the same step wherever no pair with the merged token has a lower rank, so a word of any length takes as many steps
+as it has different ranks. An ordered aggregation gives the ids of each word; texts are then put together from their words
+in order. A task finds words it knows by a hash and compares their characters, so a chance collision changes nothing.
 
 No shuffle: the only thing that travels to the executors is the merge table, whose size is fixed by the tokenizer
 (about 50,000 rows, asserted below ``MAX_MERGES``).
@@ -32,8 +34,6 @@ TOKENIZER_DIR = "/opt/tokenizers"
 MAX_MERGES = 500_000
 #: Words kept between tasks of one Python worker; beyond that the memory of words starts afresh (results don't change).
 CACHE_WORDS = 300_000
-#: Words of more bytes go through the set-at-a-time query, whose work doesn't grow with the square of the length.
-LONG_BYTES = 96
 #: Letters, numbers, white space and all other code points, as the tokenizer's word pattern tells them apart.
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Code points of white space; fixed values.
@@ -116,45 +116,42 @@ def read_merges(path: str) -> dict[str, np.ndarray]:
     }
 
 
-#: One leftmost contraction per word and step; the key of the recursion is the word, so only its last state is kept.
-SHORT_SQL = """
+#: Each step contracts the least pair of every word, from the left; the key of the recursion is the word, so only its last state is kept.
+#: Hits of a pair of equal tokens may overlap: of neighbouring places (one ``run``) every second one is taken.
+WORD_SQL = """
 WITH RECURSIVE state(w, toks) USING KEY (w) AS (
     SELECT w, toks FROM words
     UNION
-    SELECT w, toks[:p - 1] || [merged] || toks[p + 2:]
-    FROM (
-        SELECT c.w, any_value(c.toks) AS toks, arg_min(c.p, c.rank * 65536 + c.p) AS p, arg_min(c.merged, c.rank * 65536 + c.p) AS merged
+    SELECT s.w, flatten(list_transform(range(0, len(c.at) + 1), lambda i:
+        s.toks[CASE WHEN i = 0 THEN 1 ELSE c.at[i] + 2 END : CASE WHEN i = len(c.at) THEN len(s.toks) ELSE c.at[i + 1] - 1 END]
+        || CASE WHEN i = len(c.at) THEN CAST([] AS INTEGER[]) ELSE [c.merged] END))
+    FROM state s JOIN (
+        SELECT w, any_value(merged) AS merged, list(p ORDER BY p) AS at
         FROM (
-            SELECT s.w, s.toks, s.p, m.rank, m.merged
-            FROM (SELECT w, toks, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, unnest(range(1, len(toks))) AS p FROM state WHERE len(toks) > 1) s
-            JOIN merges m ON m.l = s.l AND m.r = s.r
-        ) c
-        GROUP BY c.w
-    )
+            SELECT w, p, k, merged, alone, row_number() OVER (PARTITION BY w, p - k ORDER BY p) AS in_run
+            FROM (
+                SELECT w, p, merged, alone, row_number() OVER (PARTITION BY w ORDER BY p) AS k
+                FROM (SELECT t.w, t.p, m.merged, m.rank, m.alone, min(m.rank) OVER (PARTITION BY t.w) AS least
+                      FROM (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, unnest(range(1, len(toks))) AS p FROM state WHERE len(toks) > 1) t
+                      JOIN merges m ON m.l = t.l AND m.r = t.r)
+                WHERE rank = least
+            )
+        )
+        WHERE CASE WHEN alone THEN k = 1 ELSE in_run % 2 = 1 END
+        GROUP BY w
+    ) c ON c.w = s.w
 )
 SELECT w, toks FROM state ORDER BY w
 """
 
-#: One step for very long words: every pair of the word's least rank, taken from the left without overlap.
-LONG_STEP_SQL = """
-CREATE OR REPLACE TEMP TABLE long_state AS
-WITH pairs AS (
-    SELECT t.w, t.pos, t.tok, lead(t.tok) OVER (PARTITION BY t.w ORDER BY t.pos) AS nxt FROM long_state t
-), ranked AS (
-    SELECT p.w, p.pos, p.tok, m.rank, m.merged, min(m.rank) OVER (PARTITION BY p.w) AS least
-    FROM pairs p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
-), hits AS (
-    SELECT w, pos, tok, merged, coalesce(rank = least, false) AS hit,
-           row_number() OVER (PARTITION BY w ORDER BY pos) AS k FROM ranked
-), runs AS (
-    SELECT *, k - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS run FROM hits
-), taken AS (
-    SELECT w, pos, tok, merged, hit AND row_number() OVER (PARTITION BY w, hit, run ORDER BY pos) % 2 = 1 AS take FROM runs
-), kept AS (
-    SELECT w, pos, CASE WHEN take THEN merged ELSE tok END AS tok, coalesce(lag(take) OVER (PARTITION BY w ORDER BY pos), false) AS gone FROM taken
-)
-SELECT w, pos, tok FROM kept WHERE NOT gone
-"""
+
+def lone_merges(left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> np.ndarray:
+    """Which merges make a token that a merge of lower rank takes up, so that only one place is contracted at a time."""
+    first = np.full(int(max(left.max(initial=0), right.max(initial=0), merged.max(initial=0))) + 1, len(merged), np.int64)
+    rank = np.arange(len(merged))
+    np.minimum.at(first, left, rank)
+    np.minimum.at(first, right, rank)
+    return first[merged] < rank
 
 
 class WordEncoder:
@@ -168,13 +165,15 @@ class WordEncoder:
         self.power = np.zeros(0, np.uint64)
         self.forget()
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        table = pa.table({"l": merges["left"], "r": merges["right"], "merged": merges["merged"], "rank": np.arange(len(merges["left"]), dtype=np.int64)})
+        table = pa.table({"l": merges["left"], "r": merges["right"], "merged": merges["merged"], "rank": np.arange(len(merges["left"]), dtype=np.int64), "alone": lone_merges(merges["left"], merges["right"], merges["merged"])})
         self.db.register("merge_rows", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.unregister("merge_rows")
 
     def forget(self) -> None:
-        self.keys, self.starts, self.lens, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.flat, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.starts, self.lens, self.code_starts, self.code_lens = (np.zeros(0, np.int64) for _ in range(4))
+        self.others: dict[str, list[int]] = {}  # words whose hash another word has
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Powers of the hash's base and of its inverse modulo 2^64."""
@@ -184,52 +183,41 @@ class WordEncoder:
         return self.power[:n], self.inverse
 
     def learn(self, words: list[str]) -> list[list[int]]:
-        """The ids of words, by recursive queries."""
-        known: dict[int, list[int]] = {}
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        short = [k for k, b in enumerate(raw) if len(b) <= LONG_BYTES]
-        if short:
-            toks = [self.byte_id[np.frombuffer(raw[k], np.uint8)] for k in short]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
-            table = pa.table({"w": np.array(short, np.int64), "toks": pa.ListArray.from_arrays(offsets, np.concatenate(toks))})
-            self.db.register("words", table)
-            got = self.db.execute(SHORT_SQL).fetchall()
-            self.db.unregister("words")
-            for w, ids in got:
-                known[w] = ids
-        long = [k for k, b in enumerate(raw) if len(b) > LONG_BYTES]
-        if long:
-            sizes = [len(raw[k]) for k in long]
-            table = pa.table({
-                "w": np.repeat(np.array(long, np.int64), sizes),
-                "pos": np.concatenate([np.arange(n, dtype=np.int64) for n in sizes]),
-                "tok": np.concatenate([self.byte_id[np.frombuffer(raw[k], np.uint8)] for k in long]),
-            })
-            self.db.register("long_rows", table)
-            self.db.execute("CREATE OR REPLACE TEMP TABLE long_state AS SELECT * FROM long_rows")
-            self.db.unregister("long_rows")
-            left = sum(sizes)
-            while True:
-                self.db.execute(LONG_STEP_SQL)
-                now = self.db.execute("SELECT count(*) FROM long_state").fetchall()[0][0]
-                if now == left:
-                    break
-                left = now
-            known.update(self.db.execute("SELECT w, list(tok ORDER BY pos) FROM long_state GROUP BY w").fetchall())
-        return [known[k] for k in range(len(words))]
+        """The ids of words, by a recursive query."""
+        toks = [self.byte_id[np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)] for w in words]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
+        table = pa.table({"w": np.arange(len(words)), "toks": pa.ListArray.from_arrays(offsets, np.concatenate(toks))})
+        self.db.register("words", table)
+        got = self.db.execute(WORD_SQL).fetchall()
+        self.db.unregister("words")
+        return [ids for _, ids in got]
 
     def remember(self, keys: np.ndarray, words: list[str]) -> None:
         """Add new words, given with their hashes, to the sorted table of known ones."""
         ids = self.learn(words)
-        lens = np.array([len(x) for x in ids], np.int64)
-        starts = np.cumsum(lens) - lens + len(self.flat)
+        lens, code_lens = np.array([len(x) for x in ids], np.int64), np.array([len(w) for w in words], np.int64)
+        starts, code_starts = np.cumsum(lens) - lens + len(self.flat), np.cumsum(code_lens) - code_lens + len(self.codes)
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))])
-        keys, starts, lens = np.concatenate([self.keys, keys]), np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+        self.codes = np.concatenate([self.codes, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)])
+        keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys)
-        self.keys, self.starts, self.lens = keys[order], starts[order], lens[order]
+        self.keys = keys[order]
+        for name, own in (("starts", starts), ("lens", lens), ("code_starts", code_starts), ("code_lens", code_lens)):
+            setattr(self, name, np.concatenate([getattr(self, name), own])[order])
+
+    def mistaken(self, code: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the words (from ``left`` to ``right`` of ``code``, one after another) that differ from the known word of the same hash."""
+        same = self.code_lens[at] == right - left
+        n = np.where(same, right - left, 0)
+        place = np.repeat(self.code_starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        own = code if same.all() else code[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        differ = np.flatnonzero(self.codes[place] != own)
+        wrong = ~same
+        wrong[np.searchsorted(np.cumsum(n), differ, "right")] = True
+        return np.flatnonzero(wrong)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets of each text's ids, and the ids of all texts. Words are told apart by a 64-bit hash of their code points."""
+        """Offsets of each text's ids, and the ids of all texts. Words are found by a 64-bit hash of their code points, which are then compared."""
         joined = "".join(texts)
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) for t in texts])
@@ -250,9 +238,19 @@ class WordEncoder:
             where = missing[where]
             self.remember(new, [joined[i:j] for i, j in zip(left[where].tolist(), right[where].tolist(), strict=True)])
             at = np.searchsorted(self.keys, key)
-        lens = self.lens[at]
+        starts, lens, flat = self.starts[at], self.lens[at], self.flat
+        wrong = self.mistaken(code, left, right, at)
+        if len(wrong):
+            words = [joined[i:j] for i, j in zip(left[wrong].tolist(), right[wrong].tolist(), strict=True)]
+            new = [w for w in dict.fromkeys(words) if w not in self.others]
+            if new:
+                self.others.update(zip(new, self.learn(new), strict=True))
+            own = [self.others[w] for w in words]
+            lens[wrong] = [len(x) for x in own]
+            starts[wrong] = len(flat) + np.cumsum(lens[wrong]) - lens[wrong]
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(own), np.int32)])
         reach = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.flat[np.repeat(self.starts[at] - reach[:-1], lens) + np.arange(reach[-1])]
+        ids = flat[np.repeat(starts - reach[:-1], lens) + np.arange(reach[-1])]
         per_text = np.searchsorted(bounds, np.concatenate([[0], ends]))
         return reach[per_text].astype(np.int32), ids
 

@@ -294,6 +294,47 @@ def test_encoding_equals_the_library(spark):
     assert encode.encode_table(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_words_of_equal_hash_keep_their_own_ids():
+    """The two Thue-Morse words of 2,048 letters have the same polynomial hash modulo 2^64."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    merges = encode.read_merges(f"{encode.TOKENIZER_DIR}/byte_bpe_50k.json")
+    alone = [encode.WordEncoder(merges).encode([w])[1].tolist() for w in (a, b)]
+    assert alone[0] != alone[1]
+    both = encode.WordEncoder(merges)
+    for _ in range(2):  # learnt, then known
+        offsets, ids = both.encode([a, "x " + b + " y", b])
+        got = [ids[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:])]
+        assert got[0] == alone[0] and got[2] == alone[1]
+        assert got[1] == encode.WordEncoder(merges).encode(["x " + b + " y"])[1].tolist()
+
+
+def test_merges_that_are_contracted_one_at_a_time():
+    """Against one leftmost contraction after another, with merge tables in which a token has several sources."""
+    rng = random.Random(14)
+    for _ in range(40):
+        pairs, names = [], ["a", "b", "c"]
+        for _ in range(12):
+            x, y = rng.choice(names), rng.choice(names)
+            if (x, y) not in pairs:
+                pairs.append((x, y))
+                names += [x + y] if x + y not in names else []
+        rng.shuffle(pairs)
+        number = {t: k for k, t in enumerate(names)}
+        byte_id = np.zeros(256, np.int32)
+        for c in "abc":
+            byte_id[ord(c)] = number[c]
+        arrays = [np.array([number[f(p)] for p in pairs], np.int32) for f in (lambda p: p[0], lambda p: p[1], lambda p: p[0] + p[1])]
+        encoder = encode.WordEncoder(dict(zip(("left", "right", "merged"), arrays, strict=True)) | {"byte_id": byte_id, "classes": encode.char_classes()})
+        words = ["".join(rng.choice("aab" if k % 2 else "abc") for _ in range(rng.randint(1, 30))) for k in range(20)]
+        for word, got in zip(words, encoder.learn(words), strict=True):
+            toks = list(word)
+            while found := [(pairs.index(p), k) for k, p in enumerate(zip(toks, toks[1:])) if p in pairs]:
+                k = min(found)[1]
+                toks[k : k + 2] = [toks[k] + toks[k + 1]]
+            assert got == [number[t] for t in toks]
+
+
 # 8: leaks
 
 
