@@ -4,13 +4,18 @@ Method: rare n-gram seeds join passages to test items, then Smith-Waterman align
 window of ``run`` consecutive words of an item (the whole item if it is shorter) the n-gram that is rarest in the corpus
 becomes a seed; so any passage that holds the window holds its seed, and no true case is lost, whatever is common. The
 corpus is read twice: once to count the items' n-grams in all documents, once to find seeds. Around each seed the
-passage is aligned with the item, word by word; the longest run of equal words on a diagonal decides ``p8_found``.
+passage is aligned with the item, word by word, and the alignment's score decides: a document leaks an item if it reaches
+the score of ``run`` equal words in sequence (of all words of a shorter item). Since such a run alone has that score, no
+document that holds one is lost. ``p8_found`` wants the words in sequence without edits, so among the documents that the
+score accepts an exact check follows: the longest run on a diagonal of the same table.
 
 An edit breaks every n-gram across it, so for edited copies (``p8_scores``) all n-grams of an item are seeds and the
 corpus is read once. A copy of an item of n words with k words changed, left out or put in keeps an n-gram of
 ``SEED_WORDS`` words wherever n >= SEED_WORDS * (k + 1): up to (n - 4) / 4 edits in any places are found, more where they
 leave four words together. The score is that of the best alignment that holds a seed; the passage around a seed
-reaches as far as such an alignment can.
+reaches as far as such an alignment can. ``edited_copies`` accepts what scores at least ``EDITED_PERMILLE`` of a whole copy:
+one edit costs at most three words' worth (a changed word: its own match and a mismatch), so of n >= 9 words up to 2 n / 15
+may be changed at any places.
 
 Items are few against the corpus: their words, n-grams and seeds go to the tasks below ``MAX_ITEM_WORDS`` words in all;
 more items are worked off in blocks of that size, each a pass of its own.
@@ -38,6 +43,8 @@ MAX_ITEM_WORDS = 2_000_000
 MAX_WAITING, MAX_CELLS = 2_000_000, 200_000
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Score against a whole copy's from which a document counts as an edited copy of an item.
+EDITED_PERMILLE = 800
 
 
 class Items:
@@ -75,7 +82,7 @@ class Items:
 
     def seeds(self, grams: dict[tuple, int], count: dict[int, int]) -> dict[tuple, list[tuple[int, int]]]:
         """The rarest n-gram of each window: n-gram -> [(item, place)]."""
-        out: dict[tuple, list] = {}
+        out: dict[tuple, dict] = {}
         for item_id, item in self.items.items():
             w = self.width(item)
             all_grams = [tuple(item[k : k + w].tolist()) for k in range(len(item) - w + 1)]
@@ -83,10 +90,8 @@ class Items:
             per_window = min(self.run, len(item)) - w + 1
             for i in range(len(all_grams) - per_window + 1):
                 k = min(rank[i : i + per_window])[2]
-                places = out.setdefault(all_grams[k], [])
-                if (item_id, k) not in places:
-                    places.append((item_id, k))
-        return out
+                out.setdefault(all_grams[k], {})[item_id, k] = None
+        return {g: list(places) for g, places in out.items()}
 
 
 class GramFinder:
@@ -170,9 +175,9 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocab: dict[bytes, int]) -> It
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", run: int = RUN, seed_words: int = SEED_WORDS, edited: bool = False) -> DataFrame:
-    """(doc_id, item_id, score_permille, longest_run, item_words) of every document and item that share a seed.
+    """(doc_id, item_id, score, score_permille, longest_run, item_words) of every document and item that share a seed.
 
-    ``score_permille`` is the alignment's score against that of a full copy. ``longest_run`` is exact: the largest
+    ``score`` is the best alignment's, ``score_permille`` its part of a full copy's. ``longest_run`` is exact: the largest
     number of consecutive words of the item that the document holds in sequence, wherever it is at least ``run`` (or the
     item's length). With ``edited`` every n-gram of an item is a seed, so edited copies come out too.
     """
@@ -251,7 +256,7 @@ def _leaks_of_block(docs: DataFrame, items: Items, edited: bool) -> DataFrame:
                 wait, cells = {}, 0
         yield _leak_batch(_scored(texts, wait))
 
-    return docs.mapInArrow(find, "doc_id bigint, item_id bigint, score_permille bigint, longest_run bigint, item_words bigint").distinct()
+    return docs.mapInArrow(find, "doc_id bigint, item_id bigint, score bigint, score_permille bigint, longest_run bigint, item_words bigint").distinct()
 
 
 def _scored(texts: dict[int, np.ndarray], wait: dict[int, list[tuple[int, list[np.ndarray]]]]) -> list[tuple]:
@@ -271,15 +276,25 @@ def _scored(texts: dict[int, np.ndarray], wait: dict[int, list[tuple[int, list[n
             np.maximum.at(best, owner, score)
             np.maximum.at(longest, owner, run)
             start = end
-        rows += [(doc, item_id, int(b) * 1000 // (MATCH * len(item)), int(r), len(item)) for (doc, _), b, r in zip(docs, best, longest, strict=True)]
+        rows += [(doc, item_id, int(b), int(b) * 1000 // (MATCH * len(item)), int(r), len(item)) for (doc, _), b, r in zip(docs, best, longest, strict=True)]
     return rows
 
 
 def _leak_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "score_permille", "longest_run", "item_words"])
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "score", "score_permille", "longest_run", "item_words"])
+
+
+def accepted(found: DataFrame, run: int = RUN) -> DataFrame:
+    """Rows whose alignment scores at least as much as ``run`` words in sequence, or all words of a shorter item."""
+    return found.filter(F.col("score") >= MATCH * F.least(F.lit(run), F.col("item_words")))
 
 
 def leaked(found: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, item_id) of the documents that hold ``run`` consecutive words of an item, or all of a shorter one."""
-    return found.filter(F.col("longest_run") >= F.least(F.lit(run), F.col("item_words"))).select("doc_id", "item_id")
+    """(doc_id, item_id) that the alignment accepts and that hold those words in sequence without edits."""
+    return accepted(found, run).filter(F.col("longest_run") >= F.least(F.lit(run), F.col("item_words"))).select("doc_id", "item_id")
+
+
+def edited_copies(found: DataFrame, permille: int = EDITED_PERMILLE) -> DataFrame:
+    """(doc_id, item_id, score_permille) of documents that hold an item wholly, edited or not, by the score of the alignment."""
+    return found.filter(F.col("score_permille") >= permille).select("doc_id", "item_id", "score_permille")

@@ -144,7 +144,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of every document and item that share four words in sequence, edited copies included."""
-    return _p8_leaks(spark, sf_dir, edited=True)
+    return _p8_leaks(spark, sf_dir, edited=True).drop("score")
+
+
+def p8_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item wholly, edited or not, accepted by the alignment's score."""
+    return eval_leaks.edited_copies(_p8_leaks(spark, sf_dir, edited=True))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +185,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
+    "p8_edited": p8_edited,
     "p9_found": p9_found,
     "p9_shared": p9_shared,
 }

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import encode, eval_leaks, format_duplicates, group_splits, packing, proportional_sample, shared_spans, split_overlap, term_counts
+from lodestrata.llm import encode, eval_leaks, format_duplicates, group_splits, packing, proportional_sample, queries, shared_spans, split_overlap, term_counts
 
 NAMES = "head emit port digest trunk arena entry budget lock page table chunk".split()
 
@@ -172,6 +172,17 @@ def test_value_counts(spark):
     assert term_counts.count_values(spark.createDataFrame([], "r bigint, o int, v string"), "r", "o", "v").count() == 0
 
 
+def test_runs_of_words_of_functions(spark):
+    occurrences, functions = Counter(), Counter()
+    for r in spark.read.parquet("/root/testdata/sf0.001/raw_functions.parquet").select("func").collect():
+        words = re.findall("[A-Za-z0-9_]+", r["func"] or "")
+        runs = [(" ".join(words[k : k + n]), n) for n in (1, 2, 3) for k in range(len(words) - n + 1)]
+        occurrences.update(runs)
+        functions.update(set(runs))
+    got = {(r["term"], r["n"]): (r["occurrences"], r["functions"]) for r in queries.p4_func_grams(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {t: (occurrences[t], functions[t]) for t in occurrences}
+
+
 # 5: overlap across splits
 
 
@@ -367,6 +378,66 @@ def test_eval_leaks(spark):
     assert eval_leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, item_id int"), none).count() == 0
 
 
+def smith_waterman(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_edited_copies_are_aligned(spark):
+    rng = random.Random(12)
+    items = {i: [f"w{i}x{k}" for k in range(n)] for i, n in enumerate([40, 12, 12, 24, 9, 3])} | {6: ["again", "and"] * 10}
+    noise = lambda n: [f"n{rng.randrange(500)}" for _ in range(n)]
+    copies = [(0, [w if k % 8 else "changed" for k, w in enumerate(items[0])]), (1, [*items[1][:-1], "changed"])]
+    for _ in range(120):
+        i = rng.randrange(6)
+        copy = list(items[i])
+        for _ in range(rng.randint(0, max(0, (len(copy) - 4) // 4))):
+            k = rng.randrange(len(copy))
+            copy[k : k + 1] = rng.choice([["changed"], [], [copy[k], "put", "in"][: rng.choice([2, 3])]]) if copy else []
+        copies.append((i, copy))
+    docs = [(d, noise(rng.randrange(90)) + copy + noise(rng.randrange(90))) for d, (_, copy) in enumerate(copies)] + [(900, ["again"] * 60 + ["and", "again", "and", "again"] * 20), (901, noise(50))]
+    expected = {}
+    for d, doc in docs:
+        for i, item in items.items():
+            w = min(4, len(item))
+            grams = {tuple(item[k : k + w]) for k in range(len(item) - w + 1)}
+            if any(tuple(doc[k : k + w]) in grams for k in range(len(doc) - w + 1)):
+                expected[d, i] = smith_waterman(item, doc)
+    assert {(d, i) for d, (i, _) in enumerate(copies)} <= set(expected)
+    found = eval_leaks.leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string"), edited=True)
+    rows = found.collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in rows} == expected
+    assert all(r["score_permille"] == r["score"] * 1000 // (2 * len(items[r["item_id"]])) for r in rows)
+    # the score alone accepts: nothing without an alignment worth twelve words, no exact run is lost by it
+    kept = {(r["doc_id"], r["item_id"]) for r in eval_leaks.accepted(found).collect()}
+    assert kept == {k for k, v in expected.items() if v >= 2 * min(12, len(items[k[1]]))}
+    assert {tuple(r) for r in eval_leaks.leaked(found).collect()} <= kept
+
+
+def test_few_changed_words_keep_an_item_found(spark):
+    """All copies with up to 2 n / 15 changed words come out; texts that share only loose words don't."""
+    rng = random.Random(15)
+    items = {i: [f"w{i}x{k}" for k in range(rng.randint(15, 60))] for i in range(30)}
+    docs, copies = [], set()
+    for d in range(200):
+        i = rng.randrange(30)
+        copy = list(items[i])
+        for k in rng.sample(range(len(copy)), rng.randint(0, 2 * len(copy) // 15)):
+            copy[k] = f"changed{d}"
+        if d % 4 == 0:
+            rng.shuffle(copy)  # no copy
+        else:
+            copies.add((d, i))
+        docs.append((d, " ".join(["before"] * rng.randrange(20) + copy + ["after"] * rng.randrange(20))))
+    found = eval_leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string"), edited=True)
+    assert {(r["doc_id"], r["item_id"]) for r in eval_leaks.edited_copies(found).collect()} == copies
+
+
 def test_alignment_scores():
     rng = random.Random(11)
     for _ in range(100):
