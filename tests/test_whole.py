@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import random
 from collections import Counter
 
 from pyspark.ml.feature import Word2Vec
 
-from lodestrata.llm import eval_leaks, queries
-from lodestrata.llm.words import KEPT, words_of
 from lodestrata.operators import trees
 from lodestrata.plans import graphs, metrics, models
 
@@ -28,42 +25,6 @@ def test_every_scored_function_has_a_prediction(spark):
         assert n is None or r["ast"] == r["rev_ast"] == n - 1
 
 
-def smith_waterman(a, b):
-    row, best = [0] * (len(b) + 1), 0
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
-        row, best = new, max(best, *new)
-    return best
-
-
-def test_edited_copies_are_aligned(spark):
-    rng = random.Random(12)
-    items = {i: [f"w{i}x{k}" for k in range(n)] for i, n in enumerate([40, 12, 12, 24, 9, 3])} | {6: ["again", "and"] * 10}
-    noise = lambda n: [f"n{rng.randrange(500)}" for _ in range(n)]
-    copies = [(0, [w if k % 8 else "changed" for k, w in enumerate(items[0])]), (1, [*items[1][:-1], "changed"])]
-    for _ in range(120):
-        i = rng.randrange(6)
-        copy = list(items[i])
-        for _ in range(rng.randint(0, max(0, (len(copy) - 4) // 4))):
-            k = rng.randrange(len(copy))
-            copy[k : k + 1] = rng.choice([["changed"], [], [copy[k], "put", "in"][: rng.choice([2, 3])]]) if copy else []
-        copies.append((i, copy))
-    docs = [(d, noise(rng.randrange(90)) + copy + noise(rng.randrange(90))) for d, (_, copy) in enumerate(copies)] + [(900, ["again"] * 60 + ["and", "again", "and", "again"] * 20), (901, noise(50))]
-    expected = {}
-    for d, doc in docs:
-        for i, item in items.items():
-            w = min(4, len(item))
-            grams = {tuple(item[k : k + w]) for k in range(len(item) - w + 1)}
-            if any(tuple(doc[k : k + w]) in grams for k in range(len(doc) - w + 1)):
-                expected[d, i] = smith_waterman(item, doc) * 1000 // (2 * len(item))
-    assert {(d, i) for d, (i, _) in enumerate(copies)} <= set(expected)
-    found = eval_leaks.leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string"), edited=True)
-    got = {(r["doc_id"], r["item_id"]): r["score_permille"] for r in found.collect()}
-    assert got == expected
-
-
 def test_word_vectors_are_trained_in_full(spark, monkeypatch):
     asked, fit = {}, Word2Vec.fit
 
@@ -98,14 +59,3 @@ def test_result_cells_hold_every_project(spark, tmp_path):
     own = [(y, x >= 0.5) for _, p, y, x, s in rows if s == "test" and p == "project3"]
     tp, wrong = sum(y == 1 and hit for y, hit in own), sum((y == 1) != hit for y, hit in own)
     assert got["test", "project3"] == f"{100 * (len(own) - wrong) / len(own):.2f}/{200 * tp / (2 * tp + wrong):.2f}"
-
-
-def test_runs_of_words_of_functions(spark):
-    occurrences, functions = Counter(), Counter()
-    for r in spark.read.parquet(f"{DATA}/raw_functions.parquet").select("func").collect():
-        words = [w.decode() if isinstance(w, bytes) else w for w in words_of(r["func"], KEPT)]
-        runs = [(" ".join(words[k : k + n]), n) for n in (1, 2, 3) for k in range(len(words) - n + 1)]
-        occurrences.update(runs)
-        functions.update(set(runs))
-    got = {(r["term"], r["n"]): (r["occurrences"], r["functions"]) for r in queries.p4_func_grams(spark, DATA).collect()}
-    assert got == {t: (occurrences[t], functions[t]) for t in occurrences}
