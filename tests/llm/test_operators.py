@@ -158,6 +158,31 @@ def test_word_counts(spark, max_n, monkeypatch):
     assert got == brute_terms([re.findall("[A-Za-z0-9_]+", t or "") for t in texts], max_n)
 
 
+def test_suffix_array_is_sorted():
+    rng = random.Random(3)
+    for _ in range(100):
+        symbols = np.array([rng.randint(1, 3) for _ in range(rng.randint(1, 40))], np.uint64)
+        start = np.array(sorted(rng.sample(range(len(symbols)), rng.randint(1, len(symbols)))))
+        depth = np.array([rng.randint(1, len(symbols) - s) for s in start.tolist()])
+        texts = [tuple(symbols[s : s + d].tolist()) for s, d in zip(start.tolist(), depth.tolist())]
+        order, common = term_counts.suffix_array(symbols, start, depth)
+        assert [int(k) for k in order] == sorted(range(len(texts)), key=lambda k: (texts[k], k))
+        for i in range(1, len(order)):
+            a, b = texts[order[i - 1]], texts[order[i]]
+            same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert common[i] == same if a != b else common[i] >= same
+
+
+def test_long_words_and_values_with_blanks(spark):
+    words = ["a" * n for n in (7, 8, 9, 15, 16, 17, 300)] + ["a" * 16 + "b", "a" * 8 + "b"]
+    texts = [" ".join(words), " . ".join(words[::-1]), words[3]]
+    got = {(r["term"], r["n"]): (r["occurrences"], r["records"]) for r in term_counts.count_words(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 2).collect()}
+    assert got == brute_terms([re.findall("[A-Za-z0-9_]+", t) for t in texts], 2)
+    rows = [(1, 0, "a b"), (1, 1, "c"), (2, 0, "a"), (2, 1, "b c"), (3, 0, "\\ x"), (3, 1, "\\")]
+    got = Counter((r["term"], r["n"], r["records"]) for r in term_counts.count_values(spark.createDataFrame(rows, "r bigint, o int, v string"), "r", "o", "v", 2).collect())
+    assert got == Counter([("a b c", 2, 1), ("a b c", 2, 1), ("a b", 1, 1), ("c", 1, 1), ("a", 1, 1), ("b c", 1, 1), ("\\ x \\", 2, 1), ("\\ x", 1, 1), ("\\", 1, 1)])
+
+
 def test_value_counts(spark):
     rng = random.Random(4)
     rows = [(f, k, rng.choice(["x", "y", "z", None])) for f in range(30) for k in range(rng.randint(0, 9))]
