@@ -95,7 +95,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different texts across splits, with their shared segments and word edits."""
-    found = split_overlap.overlaps(table(spark, sf_dir, "raw_functions"))
+    found = split_overlap.overlaps(table(spark, sf_dir, "raw_functions"), aligned=True)
     return found.select(F.col("id_a").alias("held_out_id"), F.col("id_b").alias("train_id"), "shared", "total", "edits")
 
 

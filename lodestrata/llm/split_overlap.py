@@ -1,18 +1,22 @@
 """The same or nearly the same record in training and in evaluation splits.
 
-Method: edit-distance segment join. Texts are sequences of words; a segment is a run of three words. An overlap of at
-least ``MIN_PERMILLE`` of all distinct segments lets at most k = 30 % of a text's segments be edited away, so that of any
-k + 1 of them at least one stands unchanged in the partner. Each text is cut into its k + 1 rarest segments (in one order
-for all texts), and evaluation segments are matched with training segments at allowed positions only: the sizes must
-lie within the bound, and the places of the shared segment in both orders must leave enough segments after them. Pairs
-are verified by the exact share of segments, and aligned by banded dynamic programming, which tells the number of
-edited words or that blocks were moved beyond the band.
-
-The order is by a count of every segment in the corpus, added up in ``COUNTERS`` hashed counters: a table of fixed size,
+Method: edit-distance segment join. Overlaps are wanted by the share of distinct runs of three words, wherever the runs
+stand, so a record's string is not its text but its canonical string: its distinct runs in one order for all records, the
+rarest first. Between two canonical strings the edit distance (runs left out or put in) is the number of runs that only one
+of them has; a share of at least ``MIN_PERMILLE`` is thus exactly an edit distance of at most
+k = (1000 - share) / (1000 + share) of both lengths. A string is cut after each of its first symbols: with at most 30 % of its
+runs edited away, one of the first k + 1 segments stands unchanged in the partner. Segments of evaluation strings
+are matched with those of training strings at allowed positions only: lengths must lie within k, the places of a shared
+segment must lie within k of each other and leave enough symbols behind them. Pairs are verified by banded dynamic
+programming over the canonical strings, which alone decides. (Segments cut from the texts themselves would lose pairs with
+moved blocks, whose word edit distance is large.) ``aligned`` also gives the word edit distance of the texts.
+
+The order is by a count of every run in the corpus, added up in ``COUNTERS`` hashed counters: a table of fixed size,
 whatever the corpus. Texts that are equal word for word are one class; only classes are joined, members are
 added at the end. A segment never matches itself into pairs of one split: the join is evaluation against training. A
 segment that more than ``WIDE`` texts of one batch chose is joined as rows, evaluation against training, which
-Spark splits where a key is skewed; only a mark of it stays in the packed bucket.
+Spark splits where a key is skewed; only a mark of it stays in the packed bucket. Equal texts are told by two independent
+64-bit hashes.
 
 Defined results: null and empty texts and texts of fewer than three words have no segment and no pair; a null or other
 split takes no part; letter case (ASCII) and everything between words is ignored; repeated rows pair each; ids that
@@ -37,6 +41,8 @@ MIN_PERMILLE = 700
 #: Fixed number of hashed counters behind the order of segments (512 KB as sent to tasks).
 COUNTERS = 1 << 17
 HELD_OUT = ("val", "test")
+#: Hashed before a text, so that the second hash starts from another state.
+CHECK_SEED = 7
 
 
 def least_shared(n: int, min_permille: int = MIN_PERMILLE) -> int:
@@ -48,6 +54,11 @@ def segments_of(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(gram_hashes(hashes(words_of(text, FOLDED)), SEGMENT))
 
 
+def canonical(seg: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct segments in the order that all texts share: by their counters, then by hash."""
+    return seg[np.lexsort((seg, counts[_counter(seg).astype(np.int64)]))]
+
+
 def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)) % np.uint64(COUNTERS)
 
@@ -57,9 +68,9 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 def _used(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFrame:
-    """(id, held_out, same, text) of the rows of a split; ``same`` is a 64-bit hash that equal texts share."""
+    """(id, held_out, same, check, text) of the rows of a split; equal texts share the hashes ``same`` and ``check``."""
     used = df.filter(F.col(split_col).isin("train", *HELD_OUT) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return used.select(F.col(id_col).cast("bigint").alias("id"), (F.col(split_col) != "train").alias("held_out"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
+    return used.select(F.col(id_col).cast("bigint").alias("id"), (F.col(split_col) != "train").alias("held_out"), F.xxhash64(text_col).alias("same"), F.xxhash64(F.lit(CHECK_SEED), text_col).alias("check"), F.col(text_col).alias("text"))
 
 
 CHUNKS = 64
@@ -92,28 +103,28 @@ def segment_counts(used: DataFrame) -> np.ndarray:
     return out
 
 
-_TEXT = np.dtype([("same", "<i8"), ("id", "<i8"), ("n", "<i4"), ("held", "u1")])
+_TEXT = np.dtype([("same", "<i8"), ("check", "<i8"), ("id", "<i8"), ("n", "<i4"), ("held", "u1")])
 _ENTRY = np.dtype([("seg", "<u8"), ("text", "<u4"), ("place", "<u4")])
 #: Index bytes of one bucket, which one task holds at a time.
 BUCKET_BYTES = 16 << 20
 
 
-def segment_index(used: DataFrame, counts: np.ndarray, buckets: int, wide: int = WIDE) -> DataFrame:
+def segment_index(used: DataFrame, sent, buckets: int, wide: int = WIDE) -> DataFrame:
     """(bucket, texts, entries): each text's k + 1 rarest segments with their places, packed for each batch and bucket.
 
-    Entries of segments that are wide within a batch stand, packed alike, in rows whose bucket is ``-1 - bucket``.
+    ``sent``: the broadcast counters. Entries of segments that are wide within a batch stand, packed alike, in rows whose
+    bucket is ``-1 - bucket``.
     """
-    sent = used.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             texts, entries = np.zeros(batch.num_rows + 1, _TEXT), []
-            texts["same"], texts["id"] = (np.append(batch.column(k).to_numpy(), MARK) for k in (2, 0))
+            texts["same"], texts["check"], texts["id"] = (np.append(batch.column(k).to_numpy(), MARK) for k in (2, 3, 0))
             texts["held"] = np.append(batch.column(1).to_numpy(zero_copy_only=False), False)
             seen = set()
-            for k, text in enumerate(batch.column(3).to_pylist()):
-                first = (texts["same"][k], texts["held"][k])
+            for k, text in enumerate(batch.column(4).to_pylist()):
+                first = (text, texts["held"][k])
                 if first in seen:  # an exact copy in the same batch; members are added at the end
                     continue
                 seg = segments_of(text, hashes)
@@ -121,9 +132,9 @@ def segment_index(used: DataFrame, counts: np.ndarray, buckets: int, wide: int =
                     continue
                 seen.add(first)
                 texts["n"][k] = len(seg)
-                order = np.lexsort((seg, sent.value[_counter(seg).astype(np.int64)]))[: len(seg) - least_shared(len(seg)) + 1]
-                own = np.zeros(len(order), _ENTRY)
-                own["seg"], own["text"], own["place"] = seg[order], k, np.arange(len(order))
+                chosen = canonical(seg, sent.value)[: len(seg) - least_shared(len(seg)) + 1]
+                own = np.zeros(len(chosen), _ENTRY)
+                own["seg"], own["text"], own["place"] = chosen, k, np.arange(len(chosen))
                 entries.append(own)
             if not entries:
                 continue
@@ -152,16 +163,18 @@ def segment_index(used: DataFrame, counts: np.ndarray, buckets: int, wide: int =
 STEP_PAIRS = 2_000_000
 
 
-_ROW = ("seg", "id", "same", "n", "place", "held")
+_ROW = ("seg", "id", "same", "check", "n", "place", "held")
 
 
 def match_bucket(texts: np.ndarray, seg: np.ndarray, place: np.ndarray, min_permille: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (held out, train) of entries of the same segment whose sizes and places allow the overlap; rows of marked segments."""
-    order = np.lexsort((texts["id"], texts["same"], texts["held"], seg))
+    order = np.lexsort((texts["id"], texts["check"], texts["same"], texts["held"], seg))
     texts, seg, place = texts[order], seg[order], place[order]
     # equal texts of one side and segment: the smallest id stands for all
     new = np.ones(len(seg), bool)
-    new[1:] = (seg[1:] != seg[:-1]) | (texts["held"][1:] != texts["held"][:-1]) | (texts["same"][1:] != texts["same"][:-1])
+    new[1:] = seg[1:] != seg[:-1]
+    for k in ("held", "same", "check"):
+        new[1:] |= texts[k][1:] != texts[k][:-1]
     texts, seg, place = texts[new], seg[new], place[new]
     marked = np.isin(seg, seg[texts["same"] == MARK])
     wide = rows_of(*(x[marked & (texts["same"] != MARK)] for x in (texts, seg, place)))
@@ -179,20 +192,20 @@ def match_bucket(texts: np.ndarray, seg: np.ndarray, place: np.ndarray, min_perm
         b = train[np.repeat(lo[start:end] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         na, nb = texts["n"][a].astype(np.int64), texts["n"][b].astype(np.int64)
         need = -(-min_permille * (na + nb) // (1000 + min_permille))
-        ok = np.minimum(na - place[a], nb - place[b]) >= need
-        pairs = np.stack([texts["id"][a[ok]], texts["same"][a[ok]], texts["id"][b[ok]], texts["same"][b[ok]]], axis=1)
+        ok = (np.minimum(na - place[a], nb - place[b]) >= need) & (np.abs(place[a] - place[b]) <= na + nb - 2 * need)
+        pairs = np.stack([texts["id"][a[ok]], texts["id"][b[ok]]], axis=1)
         out.append(np.unique(pairs, axis=0))
         start = end
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64), wide
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), wide
 
 
 def rows_of(texts: np.ndarray, seg: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Entries as rows of ``_ROW``."""
-    return np.stack([seg.view(np.int64), texts["id"], texts["same"], texts["n"].astype(np.int64), place, texts["held"].astype(np.int64)], axis=1)
+    return np.stack([seg.view(np.int64), texts["id"], texts["same"], texts["check"], texts["n"].astype(np.int64), place, texts["held"].astype(np.int64)], axis=1)
 
 
 def candidates(index: DataFrame, buckets: int, min_permille: int = MIN_PERMILLE) -> DataFrame:
-    """(id_a, same_a, id_b, same_b): evaluation and training text that share a segment at allowed positions."""
+    """(id_a, id_b): evaluation and training text that share a segment at allowed positions."""
 
     def unpacked(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         entries = [np.frombuffer(e, _ENTRY) for _, e in rows]
@@ -216,22 +229,23 @@ def candidates(index: DataFrame, buckets: int, min_permille: int = MIN_PERMILLE)
                 yield table_of(*match_bucket(*unpacked(own), min_permille))
                 continue
             for row in own:
-                yield table_of(np.zeros((0, 4), np.int64), rows_of(*unpacked([row])))
+                yield table_of(np.zeros((0, 2), np.int64), rows_of(*unpacked([row])))
 
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("texts", "entries"), F.lit(buckets)))
     schema = ", ".join(f"{k} bigint" for k in (*_PAIR, *_ROW))
     matched = materialize(index.repartitionById(buckets, place).mapInArrow(match, schema).distinct(), "matched")
     pairs, wide = matched.filter("seg IS NULL").select(*_PAIR), matched.filter("seg IS NOT NULL")
     if not wide.isEmpty():
-        one = wide.groupBy("seg", "same", "held").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("place").alias("place"))
-        side = lambda held, x: one.filter(F.col("held") == held).select("seg", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "same", "n", "place")])
+        one = wide.groupBy("seg", "same", "check", "held").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("place").alias("place"))
+        side = lambda held, x: one.filter(F.col("held") == held).select("seg", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "place")])
         need = F.ceil((F.col("n_a") + F.col("n_b")) * min_permille / (1000 + min_permille))
         both = side(1, "a").join(side(0, "b"), "seg").filter(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
+        both = both.filter(F.abs(F.col("place_a") - F.col("place_b")) <= F.col("n_a") + F.col("n_b") - 2 * need)
         pairs = materialize(pairs.unionByName(both.select(*_PAIR)).distinct(), "candidates")
     return pairs
 
 
-_PAIR = ("id_a", "same_a", "id_b", "same_b")
+_PAIR = ("id_a", "id_b")
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
@@ -268,46 +282,82 @@ def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     return d if d <= band else None
 
 
-def overlaps(df: DataFrame, id_col: str = "fn_id", text_col: str = "func", split_col: str = "split", min_permille: int = MIN_PERMILLE, wide: int = WIDE) -> DataFrame:
-    """(id_a, same_a, id_b, same_b, shared, total, edits): one row for each pair of different texts, or of one text on both sides.
+def banded_indels(a: list[int], b: list[int], band: int) -> int | None:
+    """Symbols left out or put in between two strings, or None if more than ``band``: dynamic programming over the cells within the band.
 
-    ``id_a`` is held out, ``id_b`` in training, each the smallest id with that text in its side. ``shared`` of ``total``
-    distinct segments are in both. ``edits`` is the word edit distance, null where blocks were moved beyond the band.
+    A row of the table, one for each symbol of ``b``, is a bit vector: a zero where the longest common part grows from one
+    cell to the next. Rows whose symbol ``a`` doesn't have leave it as it is.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > band:
+        return None
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        at.setdefault(x, []).append(i)
+    lo, hi, row, common = 0, 0, 0, 0  # the row's cells and those before them that are done with
+    for j, y in enumerate(b):
+        places = at.get(y)
+        if places is None:
+            continue
+        start, end = min(n, max(0, j - band)), min(n, j + band + 1)
+        row |= ((1 << (end - hi)) - 1) << (hi - lo)
+        gone = row & ((1 << (start - lo)) - 1)
+        common += start - lo - gone.bit_count()
+        row >>= start - lo
+        lo, hi = start, end
+        hits = 0
+        for i in places:
+            if lo <= i < hi:
+                hits |= 1 << (i - lo)
+        hits &= row
+        row = ((row + hits) | (row - hits)) & ((1 << (hi - lo)) - 1)
+    d = n + m - 2 * (common + hi - lo - row.bit_count())
+    return d if d <= band else None
+
+
+def overlaps(df: DataFrame, id_col: str = "fn_id", text_col: str = "func", split_col: str = "split", min_permille: int = MIN_PERMILLE, wide: int = WIDE, aligned: bool = False) -> DataFrame:
+    """(id_a, same_a, check_a, id_b, same_b, check_b, shared, total, edits): one row for each pair of different texts, or of one text on both sides.
+
+    ``id_a`` is held out, ``id_b`` in training, each one with that text in its side. ``shared`` of ``total`` distinct runs are
+    in both. ``edits`` is, if ``aligned``, the word edit distance, and null where blocks were moved beyond the band.
     """
     spark = df.sparkSession
     ship_package(spark)
     used = _used(df, id_col, text_col, split_col)
     counts = segment_counts(used)
+    sent = spark.sparkContext.broadcast(counts)
     about = int(counts.sum()) * (1000 - min_permille) // 1000 * (_ENTRY.itemsize + _TEXT.itemsize)
     buckets = max(parallelism(spark), about // BUCKET_BYTES)
-    pairs = candidates(segment_index(used, counts, buckets, wide), buckets, min_permille)
+    pairs = candidates(segment_index(used, sent, buckets, wide), buckets, min_permille)
     needed = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct()
-    texts = used.select("id", "held_out", "text").join(needed, "id", "left_semi")
-    both = pairs.join(texts.filter("held_out").select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
-    both = both.join(texts.filter("NOT held_out").select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+    texts = used.join(needed, "id", "left_semi")
+    side = lambda held, x: texts.filter(F.col("held_out") == held).select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "same", "check", "text")])
+    both = pairs.join(side(True, "a"), "id_a").join(side(False, "b"), "id_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             rows = []
-            for a, sa, b, sb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *ids, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ha, hb = hashes(words_of(ta, FOLDED)), hashes(words_of(tb, FOLDED))
-                ga, gb = np.unique(gram_hashes(ha, SEGMENT)), np.unique(gram_hashes(hb, SEGMENT))
-                shared = len(np.intersect1d(ga, gb, assume_unique=True))
-                total = len(ga) + len(gb) - shared
-                if shared * 1000 >= min_permille * total:
-                    rows.append((a, sa, b, sb, shared, total, banded_distance(ha, hb, total - shared + abs(len(ha) - len(hb)))))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield _batch({k: pa.array(c, pa.int64()) for k, c in zip(("id_a", "same_a", "id_b", "same_b", "shared", "total", "edits"), columns, strict=True)})
+                a, b = (canonical(np.unique(gram_hashes(h, SEGMENT)), sent.value).tolist() for h in (ha, hb))
+                d = banded_indels(a, b, (len(a) + len(b)) * (1000 - min_permille) // (1000 + min_permille))
+                if d is not None:
+                    edits = banded_distance(ha, hb, d + abs(len(ha) - len(hb))) if aligned else None
+                    rows.append((*ids, (len(a) + len(b) - d) // 2, (len(a) + len(b) + d) // 2, edits))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            yield _batch({k: pa.array(c, pa.int64()) for k, c in zip(names, columns, strict=True)})
+
+    names = (*_SIDES, "shared", "total", "edits")
+    return both.select(*_SIDES, "text_a", "text_b").mapInArrow(verify, ", ".join(f"{k} bigint" for k in names))
+
 
-    schema = "id_a bigint, same_a bigint, id_b bigint, same_b bigint, shared bigint, total bigint, edits bigint"
-    return both.select("id_a", "same_a", "id_b", "same_b", "text_a", "text_b").mapInArrow(verify, schema)
+_SIDES = ("id_a", "same_a", "check_a", "id_b", "same_b", "check_b")
 
 
 def all_pairs(found: DataFrame, df: DataFrame, id_col: str = "fn_id", text_col: str = "func", split_col: str = "split") -> DataFrame:
     """(fn_id_a, fn_id_b), the smaller id first: the found pairs with every member of their texts."""
-    members = _used(df, id_col, text_col, split_col).select("id", "held_out", "same")
-    held = members.filter("held_out").select(F.col("same").alias("same_a"), F.col("id").alias("x"))
-    train = members.filter("NOT held_out").select(F.col("same").alias("same_b"), F.col("id").alias("y"))
-    pairs = found.select("same_a", "same_b").join(held, "same_a").join(train, "same_b").filter("x <> y")
+    members = _used(df, id_col, text_col, split_col).drop("text")
+    held, train = (members.filter(F.col("held_out") == h).select(F.col("same").alias(f"same_{x}"), F.col("check").alias(f"check_{x}"), F.col("id").alias(i)) for h, x, i in ((True, "a", "x"), (False, "b", "y")))
+    pairs = found.select("same_a", "check_a", "same_b", "check_b").join(held, ["same_a", "check_a"]).join(train, ["same_b", "check_b"]).filter("x <> y")
     return pairs.select(F.least("x", "y").alias("fn_id_a"), F.greatest("x", "y").alias("fn_id_b")).distinct()

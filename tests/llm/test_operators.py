@@ -261,6 +261,24 @@ def test_banded_distance():
         assert split_overlap.banded_distance(np.array(a), np.array(b), band) == (d[-1] if d[-1] <= band else None)
 
 
+def test_banded_indels():
+    rng = random.Random(18)
+    for _ in range(400):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(d[j - 1] if x == y else 1 + min(row[-1], d[j]))
+            d = row
+        band = rng.randint(0, 20)
+        assert split_overlap.banded_indels(a, b, band) == (d[-1] if d[-1] <= band else None)
+    # between canonical strings: the symbols that only one has
+    for _ in range(100):
+        a, b = (sorted(rng.sample(range(40), rng.randint(0, 30))) for _ in range(2))
+        assert split_overlap.banded_indels(a, b, 80) == len(set(a) ^ set(b))
+
+
 # 6: groups
 
 
