@@ -7,7 +7,7 @@ texts that share no anchor share no such span. Texts that share one are compared
 their shared anchors, which gives every maximal common span.
 
 Anchors are packed for each batch and bucket of the hash (6 bytes each), so that one shuffle carries them. Equal texts are
-one class throughout: the class takes part once, its members are added at the end. An anchor held by more than ``WIDE``
+one class throughout, told by two independent 64-bit hashes: the class takes part once, its members are added at the end. An anchor held by more than ``WIDE``
 classes (boilerplate shorter than a span) emits no pairs: its texts are regrouped by windows extended around that
 anchor to nearly ``min_chars`` characters, one grouping for each way to lay out the rest to its left and right, and
 groupings with the same members are joined once. A grouping that is wide even so is laid out again, to whole spans, so
@@ -48,6 +48,8 @@ WIDE = 64
 #: Ways to lay out the rest of a span around a refined anchor.
 LAYOUTS = 14
 BUCKET_BYTES = 16 << 20
+#: Hashed before a text, so that the second hash starts from another state.
+CHECK_SEED = 9
 #: Characters hashed at a time within a task.
 BLOCK_CHARS = 1_000_000
 
@@ -109,14 +111,14 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-_TEXT = np.dtype([("same", "<i8"), ("id", "<i8"), ("n", "<u4")])
+_TEXT = np.dtype([("same", "<i8"), ("check", "<i8"), ("id", "<i8"), ("n", "<u4")])
 #: Stands as a text's class and id in the entry of an anchor that is wide within a batch.
 MARK = -(1 << 63)
 
 
 def _used(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     used = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) >= min_chars))
-    return used.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
+    return used.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("same"), F.xxhash64(F.lit(CHECK_SEED), text_col).alias("check"), F.col(text_col).alias("text"))
 
 
 def anchor_index(used: DataFrame, min_chars: int, buckets: int, wide: int) -> DataFrame:
@@ -129,14 +131,14 @@ def anchor_index(used: DataFrame, min_chars: int, buckets: int, wide: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover, seen = Cover(min_chars), set()
         for batch in batches:
-            ids, same = (np.append(batch.column(k).to_numpy(), MARK) for k in (0, 1))
+            ids, same, check = (np.append(batch.column(k).to_numpy(), MARK) for k in range(3))
             seen.clear()
             hashes, owners, block, chars, first = [], [], [], 0, 0
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for k, text in enumerate(texts):
-                if same[k] in seen:  # a copy within the batch; its id is added with the members
+                if text in seen:  # a copy within the batch; its id is added with the members
                     text = ""
-                seen.add(same[k])
+                seen.add(text)
                 block.append(text)
                 chars += len(text)
                 if chars >= BLOCK_CHARS or k == len(texts) - 1:
@@ -169,7 +171,7 @@ def anchor_index(used: DataFrame, min_chars: int, buckets: int, wide: int) -> Da
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 who, n = np.unique(owner[i:j], return_counts=True)
                 t = np.zeros(len(who), _TEXT)
-                t["same"], t["id"], t["n"] = same[who], ids[who], n
+                t["same"], t["check"], t["id"], t["n"] = same[who], check[who], ids[who], n
                 out_texts.append(t.tobytes())
                 out_hashes.append(np.ascontiguousarray(h[i:j].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
             yield _batch({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "texts": pa.array(out_texts, pa.binary()), "hashes": pa.array(out_hashes, pa.binary())})
@@ -177,37 +179,36 @@ def anchor_index(used: DataFrame, min_chars: int, buckets: int, wide: int) -> Da
     return spread(used).mapInArrow(run, "bucket int, texts binary, hashes binary")
 
 
-_PAIRS = ("id_a", "same_a", "id_b", "same_b")
-_PAIR_SCHEMA = "id_a bigint, same_a bigint, id_b bigint, same_b bigint"
+_PAIRS = ("id_a", "id_b")
 
 
 def group_anchors(texts: np.ndarray, key: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes that share a key held by at most ``wide`` classes; members (id, same, key) of wider or marked keys."""
-    order = np.lexsort((texts["id"], texts["same"], key))
+    """Pairs of classes that share a key held by at most ``wide`` classes; members (id, key) of wider or marked keys."""
+    order = np.lexsort((texts["id"], texts["check"], texts["same"], key))
     key, texts = key[order], texts[order]
     once = np.ones(len(key), bool)
-    once[1:] = (key[1:] != key[:-1]) | (texts["same"][1:] != texts["same"][:-1])
+    once[1:] = (key[1:] != key[:-1]) | (texts["same"][1:] != texts["same"][:-1]) | (texts["check"][1:] != texts["check"][:-1])
     key, texts = key[once], texts[once]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(key)]]))
     # a mark comes first among its key's classes
     group = np.repeat(np.where((texts["same"] == MARK)[first], wide + 1, size), size) if len(key) else size
     small = np.flatnonzero((group > 1) & (group <= wide))
-    key_s, same_s, id_s = key[small], texts["same"][small], texts["id"][small]
+    key_s, id_s = key[small], texts["id"][small]
     out = []
     for step in range(1, wide):
         at = np.flatnonzero(key_s[step:] == key_s[:-step])
         if not len(at):
             break
-        # classes stand in the order of ``same``
-        out.append(np.unique(np.stack([id_s[at], same_s[at], id_s[at + step], same_s[at + step]], axis=1), axis=0))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
+        # classes stand in the order of ``same`` and ``check``
+        out.append(np.unique(np.stack([id_s[at], id_s[at + step]], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     hot = np.flatnonzero((group > wide) & (texts["same"] != MARK))
-    return pairs, np.stack([texts["id"][hot], texts["same"][hot], key[hot].astype(np.int64)], axis=1)
+    return pairs, np.stack([texts["id"][hot], key[hot].astype(np.int64)], axis=1)
 
 
 def match_anchors(index: DataFrame, buckets: int, wide: int) -> DataFrame:
-    """(id_a, same_a, id_b, same_b, key): pairs, with null key; or a class of a wide anchor as a, with the anchor's key."""
+    """(id_a, id_b, key): pairs, with null key; or a class of a wide anchor as a, with the anchor's key."""
 
     def unpacked(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         texts, keys = [], []
@@ -220,8 +221,8 @@ def match_anchors(index: DataFrame, buckets: int, wide: int) -> DataFrame:
         return np.concatenate(texts), np.concatenate(keys)
 
     def table_of(pairs: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-        both = np.concatenate([pairs, np.stack([hot[:, 0], hot[:, 1], np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64)], axis=1)])
-        key = np.concatenate([np.zeros(len(pairs), np.int64), hot[:, 2]])
+        both = np.concatenate([pairs, np.stack([hot[:, 0], np.zeros(len(hot), np.int64)], axis=1)])
+        key = np.concatenate([np.zeros(len(pairs), np.int64), hot[:, 1]])
         return _batch({c: pa.array(both[:, k], pa.int64()) for k, c in enumerate(_PAIRS)} | {"key": pa.array(key, pa.int64(), mask=np.arange(len(both)) < len(pairs))})
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,25 +237,25 @@ def match_anchors(index: DataFrame, buckets: int, wide: int) -> DataFrame:
                 continue
             for row in own:  # wide within a batch
                 texts, key = unpacked([row])
-                yield table_of(np.zeros((0, 4), np.int64), np.stack([texts["id"], texts["same"], key.astype(np.int64)], axis=1))
+                yield table_of(np.zeros((0, 2), np.int64), np.stack([texts["id"], key.astype(np.int64)], axis=1))
 
     # a partition for each bucket; rows of wide anchors go anywhere
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("texts", "hashes"), F.lit(buckets)))
-    return index.repartitionById(buckets, place).mapInArrow(match, _PAIR_SCHEMA + ", key bigint").distinct()
+    return index.repartitionById(buckets, place).mapInArrow(match, "id_a bigint, id_b bigint, key bigint").distinct()
 
 
 def _members(windows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of (id, same, key): the classes of each key, and each key's number and digests of classes where there are several."""
-    members = materialize(windows.groupBy("key", "same").agg(F.min("id").alias("id")), name)
-    digest = [F.sum(F.xxhash64("same", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    """Of (id, same, check, key): the classes of each key, and each key's number and digests of classes where there are several."""
+    members = materialize(windows.groupBy("key", "same", "check").agg(F.min("id").alias("id")), name)
+    digest = [F.sum(F.xxhash64(F.lit(k), "same", "check").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
     return members, materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *digest).filter("n > 1"), f"{name}-kinds")
 
 
 def _pairs_within(members: DataFrame, kinds: DataFrame) -> DataFrame:
     """Pairs of classes of a key; of keys with the same members, which give the same pairs, one stays."""
     m = members.join(kinds.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key")
-    a, b = (m.select("key", F.col("id").alias(f"id_{x}"), F.col("same").alias(f"same_{x}")) for x in "ab")
-    return a.join(b, "key").filter("same_a < same_b").select(*_PAIRS).distinct()
+    a, b = (m.select("key", F.col("id").alias(f"id_{x}"), F.struct("same", "check").alias(f"class_{x}")) for x in "ab")
+    return a.join(b, "key").filter("class_a < class_b").select(*_PAIRS).distinct()
 
 
 def refine(hot: DataFrame, used: DataFrame, min_chars: int, wide: int) -> DataFrame:
@@ -263,8 +264,7 @@ def refine(hot: DataFrame, used: DataFrame, min_chars: int, wide: int) -> DataFr
     Windows that are wide as well are laid out once more, to all windows of ``min_chars`` characters around them; what shares
     one of those is a pair of the result, so that texts with a common head just too short make no pairs.
     """
-    keys = hot.groupBy(F.col("id_a").alias("id"), F.col("same_a").alias("same")).agg(F.collect_set("key").alias("keys"))  # at most one text's anchors
-    texts = used.select("id", "text")
+    keys = hot.groupBy(F.col("id_a").alias("id")).agg(F.collect_set("key").alias("keys"))  # at most one text's anchors
 
     def windows(rows: DataFrame, exact: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +272,7 @@ def refine(hot: DataFrame, used: DataFrame, min_chars: int, wide: int) -> DataFr
             slack = cover.v - 1
             step = -(-(slack + 1) // LAYOUTS)
             for batch in batches:
-                for doc, same, wanted, within, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for doc, same, check, wanted, within, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     h, _, place = anchors_of([text], cover)
                     at = place[np.isin((h & np.uint64((1 << 48) - 1)).astype(np.int64), np.array(wanted, np.int64))]
                     sums, out = cover.sums(code_points(text)), [np.zeros(0, np.uint64)]
@@ -288,17 +288,17 @@ def refine(hot: DataFrame, used: DataFrame, min_chars: int, wide: int) -> DataFr
                             fits = ok[(ok >= left + j) & (ok + cover.w + right + rest - j <= len(text))]
                             out.append(cover.hashes(sums, fits - left - j, fits + cover.w + right + rest - j))
                     got = np.unique(np.concatenate(out)).view(np.int64)
-                    yield _batch({"id": pa.array(np.full(len(got), doc), pa.int64()), "same": pa.array(np.full(len(got), same), pa.int64()), "key": pa.array(got, pa.int64())})
+                    yield _batch({k: pa.array(np.full(len(got), v), pa.int64()) for k, v in (("id", doc), ("same", same), ("check", check))} | {"key": pa.array(got, pa.int64())})
 
-        return rows.select("id", "same", "keys", "within", "text").mapInArrow(run, "id bigint, same bigint, key bigint")
+        return rows.select("id", "same", "check", "keys", "within", "text").mapInArrow(run, "id bigint, same bigint, check bigint, key bigint")
 
-    members, kinds = _members(windows(keys.withColumn("within", F.lit(None).cast("array<bigint>")).join(texts, "id"), False), "refined")
+    members, kinds = _members(windows(keys.withColumn("within", F.lit(None).cast("array<bigint>")).join(used, "id"), False), "refined")
     pairs = _pairs_within(members, kinds.filter(F.col("n") <= wide))
     still = kinds.filter(F.col("n") > wide).select("key")
     if still.isEmpty():
         return pairs
-    within = members.join(still, "key").groupBy("id", "same").agg(F.collect_set("key").alias("within"))  # likewise
-    return pairs.unionByName(_pairs_within(*_members(windows(keys.join(within, ["id", "same"]).join(texts, "id"), True), "exact")))
+    within = members.join(still, "key").groupBy("id").agg(F.collect_set("key").alias("within"))  # likewise
+    return pairs.unionByName(_pairs_within(*_members(windows(keys.join(within, "id").join(used, "id"), True), "exact")))
 
 
 def common_spans(a: str, b: str, cover: Cover) -> list[tuple[int, int, int]]:
@@ -322,7 +322,7 @@ def common_spans(a: str, b: str, cover: Cover) -> list[tuple[int, int, int]]:
 
 
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, wide: int = WIDE) -> DataFrame:
-    """(same_a, same_b, start_a, start_b, chars): every maximal common span of two different texts (classes of equal texts)."""
+    """(same_a, check_a, same_b, check_b, start_a, start_b, chars): every maximal common span of two different texts (classes of equal texts)."""
     spark = docs.sparkSession
     ship_package(spark)
     used = _used(docs, id_col, text_col, min_chars)
@@ -335,44 +335,49 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not hot.isEmpty():
         pairs = materialize(pairs.unionByName(refine(hot, used, min_chars, wide)).distinct(), "pairs")
     needed = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct()
-    texts = used.select("id", "text").join(needed, "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
-    both = both.join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+    texts = used.join(needed, "id", "left_semi")
+    for x in "ab":
+        pairs = pairs.join(texts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "same", "check", "text")]), f"id_{x}")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Cover(min_chars)
         for batch in batches:
             rows = []
-            for sa, sb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.extend((sa, sb, *span) for span in common_spans(ta, tb, cover))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield _batch({k: pa.array(c, pa.int64()) for k, c in zip(("same_a", "same_b", "start_a", "start_b", "chars"), columns, strict=True)})
+            for *classes, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.extend((*classes, *span) for span in common_spans(ta, tb, cover))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            yield _batch({k: pa.array(c, pa.int64()) for k, c in zip(names, columns, strict=True)})
 
-    return both.select("same_a", "same_b", "text_a", "text_b").mapInArrow(extend, "same_a bigint, same_b bigint, start_a bigint, start_b bigint, chars bigint")
+    names = (*_CLASSES, "start_a", "start_b", "chars")
+    return pairs.select(*_CLASSES, "text_a", "text_b").mapInArrow(extend, ", ".join(f"{k} bigint" for k in names))
+
+
+_CLASSES = ("same_a", "check_a", "same_b", "check_b")
 
 
 def members_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    return _used(docs, id_col, text_col, min_chars).select("id", "same")
+    return _used(docs, id_col, text_col, min_chars).drop("text")
 
 
 def sharing_pairs(spans: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), the smaller id first: texts with a common span, and equal texts."""
-    of = lambda x: members.select(F.col("same").alias(f"same_{x}"), F.col("id").alias(x))
-    between = spans.select("same_a", "same_b").distinct().join(of("a"), "same_a").join(of("b"), "same_b").select("a", "b")
-    within = members.select("same", F.col("id").alias("a")).join(members.select("same", F.col("id").alias("b")), "same").filter("a < b").select("a", "b")
+    of = lambda x: members.select(F.col("same").alias(f"same_{x}"), F.col("check").alias(f"check_{x}"), F.col("id").alias(x))
+    between = spans.select(*_CLASSES).distinct().join(of("a"), ["same_a", "check_a"]).join(of("b"), ["same_b", "check_b"]).select("a", "b")
+    one = lambda x: members.select("same", "check", F.col("id").alias(x))
+    within = one("a").join(one("b"), ["same", "check"]).filter("a < b").select("a", "b")
     return between.unionByName(within).filter("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
 def shared_part(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, chars, shared_chars) of every document: how much of it stands elsewhere in spans of ``min_chars``."""
-    sides = spans.select(F.col("same_a").alias("same"), F.col("start_a").alias("lo"), "chars").unionByName(spans.select(F.col("same_b").alias("same"), F.col("start_b").alias("lo"), "chars"))
-    sides = sides.select("same", "lo", (F.col("lo") + F.col("chars")).alias("hi")).groupBy("same", "lo").agg(F.max("hi").alias("hi"))
-    before = Window.partitionBy("same").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    side = lambda x: spans.select(F.col(f"same_{x}").alias("same"), F.col(f"check_{x}").alias("check"), F.col(f"start_{x}").alias("lo"), "chars")
+    sides = side("a").unionByName(side("b")).groupBy("same", "check", "lo").agg((F.col("lo") + F.max("chars")).alias("hi"))
+    before = Window.partitionBy("same", "check").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     covered = sides.withColumn("upto", F.coalesce(F.max("hi").over(before), F.lit(0)))
-    covered = covered.groupBy("same").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "upto"))).alias("covered"))
+    covered = covered.groupBy("same", "check").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "upto"))).alias("covered"))
     members = members_of(docs, id_col, text_col, min_chars)
-    copies = members.groupBy("same").agg(F.count_distinct("id").alias("copies"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("chars"), F.xxhash64(text_col).alias("same"))
-    joined = texts.join(covered, "same", "left").join(copies, "same", "left")
+    copies = members.groupBy("same", "check").agg(F.count_distinct("id").alias("copies"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("chars"), F.xxhash64(text_col).alias("same"), F.xxhash64(F.lit(CHECK_SEED), text_col).alias("check"))
+    joined = texts.join(covered, ["same", "check"], "left").join(copies, ["same", "check"], "left")
     shared = F.when(F.col("copies") > 1, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0)))
     return joined.select("doc_id", "chars", F.when(F.col("chars") >= min_chars, shared).otherwise(F.lit(0)).cast("bigint").alias("shared_chars"))
