@@ -10,7 +10,8 @@ search, without any item passing through the driver or gathering in one task.
 
 Defined results: rows of one id are one item (the largest length counts); null, zero or negative lengths, null ids ->
 no item; an item is split only if it is longer than one container may hold, into full pieces and a rest. Only items
-with a label bear loss. Ties between classes: the longer one, then the one that bears loss. An empty table gives no containers.
+with a label bear loss; one that bears more than ``max_loss`` by itself isn't split for that but is the only one in its
+container that bears loss. Ties between classes: the longer one, then the one that bears loss. An empty table gives no containers.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ MAX_CAPACITY = 200_000
 
 def plan_patterns(size: np.ndarray, loss: np.ndarray, count: np.ndarray, limits: tuple[int, int, int]) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns (times, [(class, copies)]) that use up every class. Each class must fit into an empty container."""
-    vec = np.stack([size, np.ones_like(size), size * loss], axis=1).astype(np.float64) / np.array(limits, np.float64)
+    # an item that bears more loss than a container may hold takes up all of that limit
+    vec = np.stack([size, np.ones_like(size), np.minimum(size, limits[2]) * loss], axis=1).astype(np.float64) / np.array(limits, np.float64)
     count = count.astype(np.int64).copy()
     weight = (vec * count[:, None]).sum(axis=0)
     weight = weight / max(weight.max(), 1e-12)
@@ -68,23 +70,22 @@ def items_of(graphs: DataFrame, id_col: str, size_col: str, label_col: str) -> D
     return one.agg(F.max(size_col).cast("bigint").alias("size"), F.max(F.col(label_col).isNotNull().cast("int")).alias("loss"))
 
 
-def pack(items: DataFrame, budgets: DataFrame, max_segments: int | None = None, max_loss: int | None = None) -> DataFrame:
+def pack(items: DataFrame, budgets: DataFrame, max_segments: int | None = None, max_loss: int | None = None, loss_permille: int | None = None) -> DataFrame:
     """(budget_name, container_id, id, piece, nodes): where every piece of every item lies, for each budget.
 
     ``budgets``: (budget_name, max_nodes), at most ``MAX_BUDGETS`` rows. ``max_segments`` and ``max_loss`` default to
-    the capacity, where they never bind.
+    the capacity, where they never bind; ``loss_permille`` sets ``max_loss`` as a part of each budget's capacity.
     """
     spark = items.sparkSession
     ship_package(spark)
     rows = budgets.filter(F.col("max_nodes") > 0).select("budget_name", F.col("max_nodes").cast("bigint")).distinct().limit(MAX_BUDGETS + 1).collect()
     if len(rows) > MAX_BUDGETS or any(r[1] > MAX_CAPACITY for r in rows):
         raise ValueError(f"at most {MAX_BUDGETS} budgets of at most {MAX_CAPACITY}")
-    limits = {r[0]: (r[1], max_segments or r[1], max_loss or r[1]) for r in rows}
-    cells = [F.struct(F.lit(b).alias("budget_name"), F.lit(lim[0]).cast("bigint").alias("cap"), F.lit(min(lim[0], lim[2])).cast("bigint").alias("loss_cap")) for b, lim in limits.items()]
+    limits = {r[0]: (r[1], max_segments or r[1], max_loss or (max(1, r[1] * loss_permille // 1000) if loss_permille else r[1])) for r in rows}
+    cells = [F.struct(F.lit(b).alias("budget_name"), F.lit(lim[0]).cast("bigint").alias("cap")) for b, lim in limits.items()]
     if not cells:
         return spark.createDataFrame([], "budget_name string, container_id bigint, id bigint, piece int, nodes bigint")
-    unit = F.when(F.col("loss") == 1, F.col("b.loss_cap")).otherwise(F.col("b.cap"))
-    pieces = items.withColumn("b", F.explode(F.array(*cells))).withColumn("unit", unit)
+    pieces = items.withColumn("b", F.explode(F.array(*cells))).withColumn("unit", F.col("b.cap"))
     pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / F.col("unit")).cast("int"))))
     pieces = pieces.select(F.col("b.budget_name").alias("budget_name"), "id", "piece", F.least("unit", F.col("size") - F.col("piece") * F.col("unit")).alias("nodes"), "loss")
     pieces = materialize(pieces, "pieces")
@@ -134,3 +135,10 @@ def fill_report(placed: DataFrame, budgets: DataFrame) -> DataFrame:
     total = one.groupBy("budget_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("nodes").alias("nodes"))
     room = F.col("containers") * F.col("max_nodes")
     return total.join(budgets.select("budget_name", "max_nodes"), "budget_name").select("budget_name", "containers", "items", "nodes", ((room - F.col("nodes")) * 1000 / room).alias("unused_permille"))
+
+
+def limit_report(placed: DataFrame, items: DataFrame) -> DataFrame:
+    """(budget_name, containers, most_segments, most_loss, single_loss): the fullest container by each limit; ``single_loss`` counts those with one loss-bearing item only."""
+    bears = items.select("id", "loss")
+    one = placed.join(bears, "id").groupBy("budget_name", "container_id").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("nodes") * F.col("loss")).alias("loss"), F.sum("loss").alias("bearing"))
+    return one.groupBy("budget_name").agg(F.count(F.lit(1)).alias("containers"), F.max("segments").alias("most_segments"), F.max(F.when(F.col("bearing") > 1, F.col("loss"))).alias("most_loss"), F.count_if(F.col("bearing") == 1).alias("single_loss"))

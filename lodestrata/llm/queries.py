@@ -43,6 +43,16 @@ def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(*_p2_placed(spark, sf_dir))
 
 
+#: Limits of ``p2_limits``: graphs in a container, and the part of its nodes that may lie in labelled graphs.
+P2_SEGMENTS, P2_LOSS_PERMILLE = 8, 600
+
+
+def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing under all three limits at once: the fullest containers of each budget by segments and by loss-bearing nodes."""
+    items = packing.items_of(table(spark, sf_dir, "graph_samples"), "fn_id", "num_nodes", "label")
+    return packing.limit_report(packing.pack(items, table(spark, sf_dir, "node_budgets"), P2_SEGMENTS, loss_permille=P2_LOSS_PERMILLE), items)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, report, _ = proportional_sample.plan_sample(table(spark, sf_dir, "raw_functions"), table(spark, sf_dir, "sample_targets"))
     return report.filter("NOT met").select("project", "target")
@@ -169,6 +179,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pack": p2_pack,
     "p2_fill": p2_fill,
+    "p2_limits": p2_limits,
     "p3_found": p3_found,
     "p3_sample": p3_sample,
     "p3_report": p3_report,

@@ -47,3 +47,13 @@ def test_splits_follow_their_shares(spark, size, off):
     for split, share in (("train", 0.75), ("val", 0.125), ("test", 0.125)):
         assert abs(rows[split]["rows"] / total - share) <= off
         assert abs(rows[split]["positive"] / rows[split]["rows"] - positive / total) < 4 * off + 0.01
+
+
+def test_packing_holds_all_limits(spark):
+    caps = {r["budget_name"]: r["max_nodes"] for r in spark.read.parquet(f"{DATA}/node_budgets.parquet").collect()}
+    rows = queries.p2_limits(spark, DATA).collect()
+    assert {r["budget_name"] for r in rows} == set(caps)
+    for r in rows:
+        assert r["most_segments"] <= queries.P2_SEGMENTS
+        assert r["most_loss"] is None or r["most_loss"] <= caps[r["budget_name"]] * queries.P2_LOSS_PERMILLE // 1000
+    assert any(r["most_segments"] == queries.P2_SEGMENTS for r in rows)
