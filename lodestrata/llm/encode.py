@@ -117,29 +117,32 @@ def read_merges(path: str) -> dict[str, np.ndarray]:
 
 
 #: Each step contracts the least pair of every word, from the left; the key of the recursion is the word, so only its last state is kept.
-#: Hits of a pair of equal tokens may overlap: of neighbouring places (one ``run``) every second one is taken.
+#: A hit is its rank and, in the lower 32 bits, its place. Hits of a pair of equal tokens may overlap: of a run of neighbouring
+#: places, whose place less number is the same, every second one is taken.
 WORD_SQL = """
 WITH RECURSIVE state(w, toks) USING KEY (w) AS (
     SELECT w, toks FROM words
     UNION
-    SELECT s.w, flatten(list_transform(range(0, len(c.at) + 1), lambda i:
-        s.toks[CASE WHEN i = 0 THEN 1 ELSE c.at[i] + 2 END : CASE WHEN i = len(c.at) THEN len(s.toks) ELSE c.at[i + 1] - 1 END]
-        || CASE WHEN i = len(c.at) THEN CAST([] AS INTEGER[]) ELSE [c.merged] END))
-    FROM state s JOIN (
-        SELECT w, any_value(merged) AS merged, list(p ORDER BY p) AS at
+    SELECT w, CASE WHEN len(spots) = 1 THEN toks[:spots[1] - 1] || [merged] || toks[spots[1] + 2:]
+        ELSE flatten(list_transform(range(0, len(spots) + 1), lambda i:
+            toks[CASE WHEN i = 0 THEN 1 ELSE spots[i] + 2 END : CASE WHEN i = len(spots) THEN len(toks) ELSE spots[i + 1] - 1 END]
+            || CASE WHEN i = len(spots) THEN CAST([] AS INTEGER[]) ELSE [merged] END)) END
+    FROM (
+        SELECT w, toks, merged, CASE WHEN alone OR len(places) = 1 THEN places[:1]
+            ELSE list_filter(places, lambda x, i: (i - list_position(runs, x - i)) % 2 = 0) END AS spots
         FROM (
-            SELECT w, p, k, merged, alone, row_number() OVER (PARTITION BY w, p - k ORDER BY p) AS in_run
+            SELECT *, list_transform(places, lambda x, i: x - i) AS runs
             FROM (
-                SELECT w, p, merged, alone, row_number() OVER (PARTITION BY w ORDER BY p) AS k
-                FROM (SELECT t.w, t.p, m.merged, m.rank, m.alone, min(m.rank) OVER (PARTITION BY t.w) AS least
-                      FROM (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, unnest(range(1, len(toks))) AS p FROM state WHERE len(toks) > 1) t
-                      JOIN merges m ON m.l = t.l AND m.r = t.r)
-                WHERE rank = least
+                SELECT w, toks, merged, alone, list_transform(list_sort(list_filter(hits, lambda x: x >> 32 = least >> 32)), lambda x: x & 4294967295) AS places
+                FROM (
+                    SELECT t.w, any_value(t.toks) AS toks, min((m.rank << 32) + t.p) AS least, list((m.rank << 32) + t.p) AS hits, arg_min(m.merged, m.rank) AS merged, arg_min(m.alone, m.rank) AS alone
+                    FROM (SELECT w, toks, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, unnest(range(1, len(toks))) AS p FROM state WHERE len(toks) > 1) t
+                    JOIN merges m ON m.l = t.l AND m.r = t.r
+                    GROUP BY t.w
+                )
             )
         )
-        WHERE CASE WHEN alone THEN k = 1 ELSE in_run % 2 = 1 END
-        GROUP BY w
-    ) c ON c.w = s.w
+    )
 )
 SELECT w, toks FROM state ORDER BY w
 """
