@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.texts import stripped
 from lodestrata.operators.ranking import hash_cell, spread_rank
-from lodestrata.session import materialize
+from lodestrata.session import materialize, ship_package
 
 
 def shuffled(df: DataFrame, id_col: str, seed: str) -> DataFrame:
@@ -25,12 +27,33 @@ def stratified(df: DataFrame, label_col: str, id_col: str, train: float = 0.75,
     """
     rows = df.filter(F.col(label_col).isNotNull())
     sizes = rows.groupBy(F.col(label_col).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
-    r = ranked_in(rows, [label_col], id_col, seed, "__r").join(F.broadcast(sizes), F.col(label_col) == F.col("__c"))  # one row for each class
+    r = ranked_in(rows, [label_col], id_col, seed, "__r").join(sizes, F.col(label_col) == F.col("__c"))
     n_train, n_val = F.floor(F.col("__n") * train), F.floor(F.col("__n") * val)
     part = F.when(F.col("__r") <= n_train, "train").when(F.col("__r") <= n_train + n_val, "val").otherwise("test")
     return r.withColumn("part", part).drop("__r", "__n", "__c")
 
 
+def stratified_pair(df: DataFrame, label_col: str, id_col: str, train: float = 0.75, seed: str = "stratified") -> DataFrame:
+    """Add ``part``: of each class the first floor(n * train) rows in hash order are train, all others val.
+
+    What rounding leaves over goes to val, so that no part is needed besides the two.
+    """
+    return stratified(df, label_col, id_col, train, 1 - train, seed).withColumn("part", F.when(F.col("part") == "train", "train").otherwise("val"))
+
+
+def split_rows(df: DataFrame, config: dict, label_col: str = "target", group_col: str = "commit_id", id_col: str = "fn_id") -> DataFrame:
+    """Add ``part`` as ``config`` says (E4): ``split_by`` 'commit' keeps groups together, 'random' (the default) is stratified by label;
+    with ``paper_split`` there is no test part and val has all that isn't train."""
+    train, val, paper = config.get("train_split", 0.75), config.get("val_split", 0.125), bool(config.get("paper_split"))
+    by = config.get("split_by") or "random"
+    if by == "commit":
+        out = group_disjoint(df, group_col, id_col, train, 1 - train if paper else val)
+        return out.withColumn("part", F.when(F.col("part") == "train", "train").otherwise("val")) if paper else out
+    if by != "random":
+        raise ValueError(f"unknown way to split: {by}")
+    return stratified_pair(df, label_col, id_col, train) if paper else stratified(df, label_col, id_col, train, val)
+
+
 def group_disjoint(df: DataFrame, group_col: str, id_col: str, train: float = 0.75, val: float = 0.125, seed: str = "group") -> DataFrame:
     """Add ``part`` so that no group spans two parts: groups in hash order fill train, then val, then test.
 
@@ -64,23 +87,50 @@ def imbalance(df: DataFrame, label_col: str, id_col: str, positive_share: float,
 
 def unseen_group_holdout(rows: DataFrame, split_col: str, label_col: str, group_col: str, strata_col: str, id_col: str, per_stratum: int = 56, seed: str = "holdout") -> DataFrame:
     """Positives of the test split whose group has no row in train, the first ``per_stratum`` of each stratum in hash order."""
-    named = rows.filter(F.col(group_col).isNotNull() & (F.trim(group_col) != ""))
+    named = rows.filter(F.col(group_col).isNotNull() & (stripped(group_col) != ""))
     seen = named.filter(F.col(split_col) == "train").select(group_col).distinct()
     pool = named.filter((F.col(split_col) == "test") & (F.col(label_col) == 1)).join(seen, group_col, "left_anti")
     return ranked_in(pool, [strata_col], id_col, seed, "__r").filter(F.col("__r") <= per_stratum).drop("__r")
 
 
+def cut_batches(sizes: list[tuple[int, int]], batch_size: int, max_nodes: int) -> list[tuple[int, int, int, int, int]]:
+    """Where batches of a row after another begin, for (size, rows) in ascending order: (size, open batch, rows that fit into it, first batch of its own, rows in each of those).
+
+    A batch is closed when one more row would make it more than ``batch_size`` rows, or count * largest size more than
+    ``max_nodes``; a row larger than that stands alone.
+    """
+    out, batch, held = [], 0, 0  # rows in the open batch
+    for size, rows in sizes:
+        each = max(1, min(batch_size, max_nodes // size))
+        fit = min(rows, max(0, min(batch_size, max_nodes // size) - held)) if held else 0
+        first = batch + (1 if held else 0)
+        out.append((size, batch, fit, first, each))
+        left = rows - fit
+        if left:
+            batch = first + (left - 1) // each
+            held = (left - 1) % each + 1
+        else:
+            held += fit
+    return out
+
+
 def size_batches(df: DataFrame, id_col: str, size_col: str, batch_size: int, max_nodes: int, seed: str = "batches") -> DataFrame:
-    """(id, batch_id, size): batches of similar size with count * largest size <= ``max_nodes``, and at most ``batch_size`` rows.
+    """(id, batch_id, size): rows in the order of their size, those of equal size in hash order, cut into batches.
 
-    A batch of size s holds floor(max_nodes / s) rows, at least one and at most ``batch_size``. Rows of equal size are
-    numbered in hash order and cut into such batches; what is left of a size joins the next larger size's rows in the
-    same power-of-two band. Batches are numbered by size, without any pass over all rows in one task.
+    The cuts are those of one pass over all rows in order (``cut_batches``), which depends on the number of rows of each
+    size alone; so it runs over one row for each distinct size, and rows find their batch from their rank within their size.
+    Null, zero and negative sizes take no part.
     """
+    ship_package(df.sparkSession)
     rows = df.filter(F.col(size_col) > 0).select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("size"))
-    band = F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int")
-    rows = rows.withColumn("band", band)
-    top = F.broadcast(rows.groupBy("band").agg(F.max("size").alias("top")))  # four rows for each doubling of the size
-    ranked = ranked_in(rows, ["band"], "id", seed, "r").join(top, "band")
-    each = F.greatest(F.lit(1), F.least(F.lit(batch_size), F.floor(F.lit(max_nodes) / F.col("top"))))
-    return ranked.select("id", F.format_string("%03d-%09d", F.col("band"), F.floor((F.col("r") - 1) / each)).alias("batch_id"), "size")
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size")
+        cuts = cut_batches(list(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), batch_size, max_nodes)
+        return pd.DataFrame(cuts, columns=["s", "open", "fit", "first", "each"])
+
+    # as many rows as there are different sizes
+    counts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(cut, "s bigint, open bigint, fit bigint, first bigint, each bigint")
+    ranked = ranked_in(rows, ["size"], "id", seed, "r").join(counts, F.col("size") == F.col("s"))
+    batch = F.when(F.col("r") <= F.col("fit"), F.col("open")).otherwise(F.col("first") + F.expr("(r - fit - 1) div each"))
+    return ranked.select("id", batch.alias("batch_id"), "size")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import patterns
+from lodestrata.functions.texts import has_text, name_of
 from lodestrata.operators import classifier_metrics, splits
+from lodestrata.plans.graphs import _SPACE
 from lodestrata.session import table
 from lodestrata.sources import records
 
@@ -15,8 +17,12 @@ PER_PROJECT = 56
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions with a text that isn't blank, projects trimmed and in lower case, commits '' where missing."""
-    df = table(spark, sf_dir, "raw_functions").filter(F.col("func").rlike(r"\S"))
-    return df.withColumn("project", F.coalesce(F.lower(F.regexp_replace("project", r"^\s+|\s+$", "")), F.lit(""))).withColumn("commit_id", F.coalesce(F.lower(F.trim("commit_id")), F.lit("")))
+    return cleaned(table(spark, sf_dir, "raw_functions"))
+
+
+def cleaned(raw: DataFrame) -> DataFrame:
+    """Rows with a text that isn't white space alone; one spelling for each project and commit, whatever white space stands around it."""
+    return raw.filter(has_text("func")).withColumns({k: name_of(k) for k in ("project", "commit_id")})
 
 
 def first_copies(df: DataFrame, text_col: str = "func", id_col: str = "fn_id") -> DataFrame:
@@ -130,11 +136,18 @@ QUERIES = {f.__name__: f for f in (
     commit_leakage, leakage_gap, analyser_flags, analyser_metrics, project_ranks,
 )}
 
-#: What Java's \s is, for RE2.
-_S = r"[ \t\n\x0b\f\r]"
+#: White space of any kind, for RE2; and what Java's \s is.
+_S = _SPACE
+_ASCII_S = r"[ \t\n\x0b\f\r]"
+
+
+def _trimmed(column: str) -> str:
+    return f"regexp_replace(regexp_replace({column}, '^{_S}+', ''), '{_S}+$', '')"
+
+
 _CLEAN = rf"""clean AS (
-    SELECT * REPLACE (coalesce(lower(regexp_replace(regexp_replace(project, '^{_S}+', ''), '{_S}+$', '')), '') AS project, coalesce(lower(trim(commit_id, ' ')), '') AS commit_id)
-    FROM raw_functions WHERE regexp_matches(func, '[^ \t\n\x0b\f\r]')
+    SELECT * REPLACE (coalesce(lower({_trimmed("project")}), '') AS project, coalesce(lower({_trimmed("commit_id")}), '') AS commit_id)
+    FROM raw_functions WHERE regexp_matches(func, '[^{_S[1:]}')
 )"""
 _FIRST = "firsts AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY func ORDER BY fn_id) = 1)"
 _STRATA = """strata AS (
@@ -142,7 +155,7 @@ _STRATA = """strata AS (
         SELECT fn_id, target, row_number() OVER (PARTITION BY target ORDER BY md5('stratified:' || fn_id), fn_id) AS r, count(*) OVER (PARTITION BY target) AS n FROM clean WHERE target IS NOT NULL)
 )"""
 _HOLDOUT = """holdout AS (
-    SELECT * FROM clean c WHERE split = 'test' AND target = 1 AND trim(commit_id, ' ') <> '' AND NOT EXISTS (SELECT 1 FROM clean t WHERE t.split = 'train' AND t.commit_id = c.commit_id)
+    SELECT * FROM clean c WHERE split = 'test' AND target = 1 AND commit_id <> '' AND NOT EXISTS (SELECT 1 FROM clean t WHERE t.split = 'train' AND t.commit_id = c.commit_id)
     QUALIFY row_number() OVER (PARTITION BY project ORDER BY md5('holdout:' || fn_id), fn_id) <= 56
 )"""
 _RISKY = r"regexp_matches(func, '\bstrcpy\b|\bstrcat\b|\bsprintf\b|\bgets\b|\bscanf\b|\bsystem\b|\bexec[lv]p?\b|\bmemcpy\b|\bstrncpy\b|\bvsprintf\b|\bprintf\s*\(\s*[A-Za-z_]\w*\s*\)')::INTEGER"
@@ -152,7 +165,7 @@ _FLAW = r"""(regexp_matches(flat, '\[\s*\w+\s*<=\s*\w+\s*\]')
             AND regexp_matches(regexp_replace(array_to_string(parts[i + 1:], 'free'), '^\s*\(\s*\w+\s*\)', ''), '\b' || regexp_extract(parts[i + 1], '^\s*\(\s*(\w+)\s*\)', 1) || '\b'))) > 0)::INTEGER"""
 _FLAGS = rf"""flags AS (
     SELECT *, {_RISKY} AS risky_call, {_FLAW} AS memory_flaw FROM (
-        SELECT *, regexp_split_to_array(flat, '\bfree\b') AS parts FROM (SELECT *, regexp_replace(func, '{_S}+', ' ', 'g') AS flat FROM clean))
+        SELECT *, regexp_split_to_array(flat, '\bfree\b') AS parts FROM (SELECT *, regexp_replace(func, '{_ASCII_S}+', ' ', 'g') AS flat FROM clean))
 )"""
 
 

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.texts import has_text, name_of
+
 ALIASES = {"func": ["func", "function", "code"], "target": ["target", "label"], "project": ["project", "repo"], "name": ["name"], "cwe": ["cwe"], "commit_id": ["commit_id"]}
 SCHEMA = "func string, target int, project string, name string, cwe string, commit_id string"
 
@@ -85,7 +87,7 @@ def acquire(spark: SparkSession, config: dict) -> DataFrame:
         return only_projects(resolve_aliases(read_records(spark, config["path"])), config.get("projects") or [])
     if source == "release":
         df = spark.read.parquet(*config["paths"])
-        rows = resolve_aliases(df.withColumn("target", F.col("target").cast("int"))).withColumn("project", F.lower(F.trim("project")))
-        rows = rows.filter(F.col("func").rlike(r"\S")).withColumn("fn_id", F.monotonically_increasing_id())
+        rows = resolve_aliases(df.withColumn("target", F.col("target").cast("int"))).withColumn("project", name_of("project"))
+        rows = rows.filter(has_text("func")).withColumn("fn_id", F.monotonically_increasing_id())
         return only_projects(first_copies(rows), config.get("projects") or [])
     raise ValueError(f"unknown source {source}")
