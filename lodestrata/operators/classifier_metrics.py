@@ -1,8 +1,8 @@
 """Metrics of scored records: confusion counts, accuracy, precision, recall, F1, MCC, AUC, and decision thresholds.
 
 Input is (project, label, prob); rows whose label or prob is null take no part. Every ratio is guarded: a zero
-denominator gives 0. All grouped forms work on the histogram of (group, prob) counts, so that windows see one row for
-each distinct probability and the order of a hot group's rows never goes through one task unaggregated.
+denominator gives 0. All grouped forms work on the histogram of (group, prob) counts; running sums over it are cut into
+ranges of the probability, so that the order of a hot group's rows never goes through one task.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ranking import number_cell, spread_next, spread_rank, spread_sums
+
 COMBINED = "Combined"
 #: Beyond this many distinct probabilities the candidates come from an even grid of their quantiles.
 MAX_CANDIDATES = 512
@@ -56,39 +58,56 @@ def project_metrics(scored: DataFrame, threshold: float | Column = 0.5) -> DataF
     return counts.select("*", *[F.round(c, 6).alias(k) for k, c in rates(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn")).items()])
 
 
+def histogram(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, prob, p, n): positives and negatives at each probability."""
+    return usable(scored).groupBy(*keys, "prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
+
+
 def auc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve in percent with ties as one half; 50 where only one class is present."""
-    h = usable(scored).groupBy(*keys, "prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
-    below = Window.partitionBy(*keys).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("less", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    s = h.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("less") + F.col("n") / 2.0)).alias("wins"), F.sum("p").cast("double").alias("pos"), F.sum("n").cast("double").alias("neg"))
+    h = spread_sums(histogram(scored, keys), keys, ["prob"], number_cell(F.col("prob"), 0, 1), ["n"])
+    s = h.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("before_n") + F.col("n") / 2.0)).alias("wins"), F.sum("p").cast("double").alias("pos"), F.sum("n").cast("double").alias("neg"))
     return s.select(*keys, F.when(F.col("pos") * F.col("neg") > 0, F.col("wins") * 100.0 / (F.col("pos") * F.col("neg"))).otherwise(F.lit(50.0)).alias("auc"))
 
 
+def _with(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of ``other``, joined on ``keys``, of which null ones are equal too."""
+    other = other.select(*[F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__o{i}"))
+    return df.join(other, cond).drop(*[f"__o{i}" for i in range(len(keys))])
+
+
 def candidate_sweep(scored: DataFrame, keys: list[str]) -> DataFrame:
     """tp, tn, fp, fn at every candidate threshold of each group.
 
     Candidates: 0.5 and the midpoints of neighbouring distinct probabilities; of more than ``MAX_CANDIDATES`` distinct
-    ones, the midpoints of as many even quantiles. Candidates are merged into the probabilities' order by one window
-    instead of being joined with every row.
+    ones, the midpoints of as many even quantiles, which lie between neighbours of known ranks. Candidates are merged into
+    the probabilities' order by running sums instead of being joined with every row.
     """
-    h = usable(scored).groupBy(*keys, "prob").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
-    w = Window.partitionBy(*keys).orderBy("prob")
-    grid = F.array(*[F.lit(k / (MAX_CANDIDATES - 1)) for k in range(MAX_CANDIDATES)])
-    few = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"), F.percentile("prob", grid).alias("grid"))
-    small = few.filter(F.col("distinct") <= MAX_CANDIDATES).select(*keys)
-    plain = h.join(small, keys, "left_semi").withColumn("next", F.lead("prob").over(w)).filter("next IS NOT NULL").select(*keys, ((F.col("prob") + F.col("next")) / 2).alias("thr"))
-    pair = F.expr("transform(sequence(1, size(u) - 1), i -> (element_at(u, i) + element_at(u, i + 1)) / 2)")
-    coarse = few.filter(F.col("distinct") > MAX_CANDIDATES).withColumn("u", F.col("grid")).select(*keys, F.explode(pair).alias("thr"))
-    half = few.select(*keys, F.lit(0.5).alias("thr"))
+    h = histogram(scored, keys)
+    cell = number_cell(F.col("prob"), 0, 1)
+    totals = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    ranked = spread_next(spread_rank(h.select(*keys, "prob"), keys, ["prob"], cell, "r"), keys, "prob", cell)
+    ranked = _with(ranked, totals.select(*keys, "distinct"), keys).withColumn("r", F.col("r") - 1)
+    plain = ranked.filter((F.col("distinct") <= MAX_CANDIDATES) & F.col("next").isNotNull()).select(*keys, ((F.col("prob") + F.col("next")) / 2).alias("thr"))
+    # quantile k of the grid lies at k * (distinct - 1) / steps: between this rank and the next for the k from lo to hi
+    steps, gaps = MAX_CANDIDATES - 1, F.col("distinct") - 1
+    many = ranked.filter(F.col("distinct") > MAX_CANDIDATES)
+    many = many.withColumn("lo", F.expr(f"(r * {steps} + distinct - 2) div (distinct - 1)")).withColumn("hi", F.least(F.lit(steps), F.expr(f"((r + 1) * {steps} - 1) div (distinct - 1)")))
+    grid = many.filter("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
+    part = (F.col("k") * gaps - F.col("r") * steps) / F.lit(float(steps))
+    grid = grid.select(*keys, "k", F.when(part > 0, F.col("prob") + (F.col("next") - F.col("prob")) * part).otherwise(F.col("prob")).alias("q"))
+    grid = grid.withColumn("q2", F.lead("q").over(Window.partitionBy(*keys).orderBy("k")))  # MAX_CANDIDATES rows a key
+    coarse = grid.filter("q2 IS NOT NULL").select(*keys, ((F.col("q") + F.col("q2")) / 2).alias("thr"))
+    half = totals.select(*keys, F.lit(0.5).alias("thr"))
     thr = plain.unionByName(coarse).unionByName(half).distinct()
     zero = F.lit(0).cast("bigint")
     events = h.select(*keys, F.col("prob").alias("x"), F.lit(1).alias("kind"), "p", "n").unionByName(thr.select(*keys, F.col("thr").alias("x"), F.lit(0).alias("kind"), zero.alias("p"), zero.alias("n")))
-    below = Window.partitionBy(*keys).orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    e = events.withColumn("fn", F.coalesce(F.sum("p").over(below), zero)).withColumn("tn", F.coalesce(F.sum("n").over(below), zero))
-    e = e.withColumn("pos", F.sum("p").over(whole)).withColumn("neg", F.sum("n").over(whole)).filter("kind = 0")
-    return e.select(*keys, F.col("x").alias("threshold"), (F.col("pos") - F.col("fn")).alias("tp"), "tn", (F.col("neg") - F.col("tn")).alias("fp"), "fn")
+    e = spread_sums(events, keys, ["x", "kind"], number_cell(F.col("x"), 0, 1), ["p", "n"]).filter("kind = 0")
+    e = _with(e, totals.drop("distinct"), keys)
+    return e.select(*keys, F.col("x").alias("threshold"), (F.col("pos") - F.col("before_p")).alias("tp"), F.col("before_n").alias("tn"), (F.col("neg") - F.col("before_n")).alias("fp"), F.col("before_p").alias("fn"))
 
 
 def best_threshold(scored: DataFrame, keys: list[str], objective: str = "f1_guarded") -> DataFrame:

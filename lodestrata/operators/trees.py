@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import ship_package
+from lodestrata.operators.ranking import number_cell, spread_rank
+from lodestrata.session import materialize, ship_package
 
 EDGE_TYPES = ["AST", "REV_AST", "CFG", "NCS", "DFG_R", "DFG_W", "DFG_C"]
 LOOPS = ["for_statement", "while_statement", "do_statement"]
@@ -54,19 +55,21 @@ def identifiers(nodes: DataFrame) -> DataFrame:
     of the assignment or initialiser that sets the identifier directly, null elsewhere.
 
     A node's first child is the next one in pre-order. A declarator of a pointer or array passes the question on to its
-    own parent, so the chain of such wrappers is followed among the wrappers alone, whose links double their reach
-    with each join. Identifiers meet their parents in one join, and their wrappers in another.
+    own parent, so the chain of such wrappers is followed among the nested wrappers alone, whose links double their reach
+    with each join until all have reached the outermost one. Identifiers meet their parents in one join, and their wrappers
+    in another; what several joins read is written once.
     """
     holders = nodes.filter(F.col("type").isin(*SETTERS, *DECLARERS, *WRAPPERS)).select(F.col("fn_id").alias("pf"), F.col("node_id").alias("pid"), F.col("type").alias("ptype"), F.col("subtree_end").alias("pend"))
     asked = nodes.filter(F.col("type").isin("identifier", *WRAPPERS)).select("fn_id", "node_id", "type", "code", "start_byte", "parent")
-    asked = asked.join(holders, (F.col("fn_id") == F.col("pf")) & (F.col("parent") == F.col("pid")), "left").drop("pf", "pid")
+    asked = materialize(asked.join(holders, (F.col("fn_id") == F.col("pf")) & (F.col("parent") == F.col("pid")), "left").drop("pf", "pid"), "asked")
     # (wf, wid, wtop, wparent, wptype): each wrapper with the outermost one of its chain, and that one's parent
     wraps = asked.filter(F.col("type") != "identifier").select(F.col("fn_id").alias("wf"), F.col("node_id").alias("wid"), F.col("node_id").alias("wtop"), F.col("parent").alias("wparent"), F.col("ptype").alias("wptype"))
-    for _ in range(WRAPPER_DOUBLINGS):
+    inner = F.coalesce(F.col("wptype").isin(*WRAPPERS), F.lit(False))
+    while not wraps.filter(inner).isEmpty():
         further = wraps.select(*[F.col(c).alias(f"x{c}") for c in wraps.columns])
-        step = wraps.join(further, (F.col("wf") == F.col("xwf")) & (F.col("wparent") == F.col("xwid")), "left")
-        on = F.col("xwid").isNotNull()
-        wraps = step.select("wf", "wid", *[F.when(on, F.col(f"x{c}")).otherwise(F.col(c)).alias(c) for c in ("wtop", "wparent", "wptype")])
+        step = wraps.filter(inner).join(further, (F.col("wf") == F.col("xwf")) & (F.col("wparent") == F.col("xwid")), "left")
+        step = step.select("wf", "wid", F.coalesce("xwtop", "wtop").alias("wtop"), F.col("xwparent").alias("wparent"), F.col("xwptype").alias("wptype"))
+        wraps = materialize(wraps.filter(~inner).unionByName(step), "wraps")
     ident = asked.filter("type = 'identifier'").join(wraps, (F.col("fn_id") == F.col("wf")) & (F.col("parent") == F.col("wid")), "left")
     wrapped = F.col("wid").isNotNull()
     top, above, kind = (F.when(wrapped, F.col(w)).otherwise(F.col(o)) for w, o in (("wtop", "node_id"), ("wparent", "parent"), ("wptype", "ptype")))
@@ -83,14 +86,12 @@ def identifiers(nodes: DataFrame) -> DataFrame:
 SETTERS = ["init_declarator", "assignment_expression"]
 DECLARERS = ["update_expression", "parameter_declaration", "declaration"]
 WRAPPERS = ["pointer_declarator", "array_declarator"]
-#: Pointers to arrays to pointers ... in one declarator are followed to a depth of two to this power.
-WRAPPER_DOUBLINGS = 3
 
 
 def data_flow_edges(nodes: DataFrame) -> DataFrame:
     """DFG_R and DFG_W from each read to the last read and write of the variable before it; DFG_C from the variable an
     assignment or initialiser sets to every identifier on its right (G6)."""
-    ident = identifiers(nodes)
+    ident = materialize(identifiers(nodes), "identifiers")
     before = Window.partitionBy("fn_id", "code").orderBy("start_byte", "node_id").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda role: F.last(F.when(F.col("role") == role, F.col("node_id")), ignorenulls=True).over(before)
     reads = ident.filter("code IS NOT NULL").withColumn("r", last("read")).withColumn("w", last("write")).filter("role = 'read'")
@@ -302,11 +303,19 @@ def edge_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return kinds.join(counted, ["fn_id", "etype"], "left").fillna(0, ["n"])
 
 
-def edge_weights(edges: DataFrame, nodes: DataFrame, self_loops: bool = True) -> DataFrame:
-    """Distinct edges with self-loops of every type and ``norm`` = 1 / out-degree of (etype, src)."""
+def edges_outside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fn_id, etype, outside): ends of edges that name a node their function doesn't have, by type; types beyond ``EDGE_TYPES`` count with both ends."""
+    ends = edges.select("fn_id", "etype", F.explode(F.array("src", "dst")).alias("node_id"))
+    known = nodes.select("fn_id", "node_id", F.lit(True).alias("known"))
+    bad = ends.join(known, ["fn_id", "node_id"], "left").filter(F.col("known").isNull() | F.col("etype").isNull() | ~F.col("etype").isin(*EDGE_TYPES))
+    return bad.groupBy("fn_id", "etype").agg(F.count(F.lit(1)).alias("outside"))
+
+
+def edge_weights(edges: DataFrame, nodes: DataFrame, self_loops: bool = True, kinds: list[str] | None = None) -> DataFrame:
+    """Distinct edges with self-loops of every type (or of ``kinds``) and ``norm`` = 1 / out-degree of (etype, src)."""
     e = distinct_edges(edges)
     if self_loops:
-        loops = nodes.withColumn("etype", F.explode(F.array(*[F.lit(t) for t in EDGE_TYPES]))).select("fn_id", "etype", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+        loops = nodes.withColumn("etype", F.explode(F.array(*[F.lit(t) for t in kinds or EDGE_TYPES]))).select("fn_id", "etype", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
         e = distinct_edges(e.unionByName(loops))
     return e.withColumn("norm", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("fn_id", "etype", "src")))
 
@@ -335,11 +344,15 @@ METRIC_NAMES = [
 def vocabulary(rows: DataFrame, term_col: str, order: list[str], first_id: int, name: str) -> DataFrame:
     """(term, id): terms numbered from ``first_id`` in the order in which they first appear.
 
-    First appearances are minima per term; only distinct terms are sorted. The number is the rank among them, so the
-    vocabulary's size bounds the sort.
+    First appearances are minima per term; only distinct terms are ranked, in ranges of the first column of ``order``
+    (a number), so that no task sorts the whole vocabulary.
     """
     firsts = rows.filter(F.col(term_col).isNotNull()).groupBy(F.col(term_col).alias("term")).agg(F.min(F.struct(*order)).alias("first"))
-    return firsts.select("term", (F.row_number().over(Window.orderBy("first")) + F.lit(first_id - 1)).cast("bigint").alias(name))
+    firsts = materialize(firsts, "terms")
+    at = F.col("first")[order[0]]
+    low, high = firsts.agg(F.min(at), F.max(at)).first()
+    ranked = spread_rank(firsts, [], ["first"], number_cell(at, low or 0, high or 0), "rank")
+    return ranked.select("term", (F.col("rank") + F.lit(first_id - 1)).cast("bigint").alias(name))
 
 
 def leaf_tokens(nodes: DataFrame) -> DataFrame:

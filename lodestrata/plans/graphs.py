@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.texts import name_of
 from lodestrata.operators import splits, trees
 from lodestrata.session import materialize, table
 
+#: Longest sequence of ``token_sequences_cut``, as its consumers pad to it.
 MAX_TOKENS = 500
 MIN_COUNT = 3
+#: All edge types but control flow, which SQL can't say.
+RELATIONAL_TYPES = [t for t in trees.EDGE_TYPES if t != "CFG"]
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +57,14 @@ def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct syntax, token and data-flow edges with self-loops, and their norms."""
+    """Distinct syntax, token and data-flow edges with self-loops of these types, and their norms."""
     nodes = materialize(trees.sized(_nodes(spark, sf_dir)), "nodes")
-    edges = trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes)).unionByName(trees.data_flow_edges(nodes))
-    return trees.edge_weights(edges, nodes)
+    return trees.edge_weights(relational_edges(nodes), nodes, kinds=RELATIONAL_TYPES)
+
+
+def relational_edges(nodes: DataFrame) -> DataFrame:
+    """Edges of ``RELATIONAL_TYPES``, repeated ones kept."""
+    return trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes)).unionByName(trees.data_flow_edges(nodes))
 
 
 def edge_norms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,16 +77,15 @@ def ablated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a chosen set of types, renumbered in that order."""
     chosen = ["AST", "NCS", "DFG_W"]
     nodes = _kept_nodes(spark, sf_dir)
-    edges = trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes)).unionByName(trees.data_flow_edges(nodes)).filter(F.col("etype").isin(chosen))
+    edges = relational_edges(nodes).filter(F.col("etype").isin(chosen))
     ids = F.array_position(F.array(*[F.lit(t) for t in chosen]), F.col("etype")) - 1
     return trees.distinct_edges(edges).select("fn_id", ids.cast("int").alias("etype_id"), "src", "dst")
 
 
 def edge_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that name a node their function doesn't have (G13); none are expected."""
-    nodes = _nodes(spark, sf_dir)
-    ends = trees.ast_edges(nodes).select("fn_id", F.explode(F.array("src", "dst")).alias("node_id"))
-    return ends.join(nodes.select("fn_id", "node_id"), ["fn_id", "node_id"], "left_anti").groupBy("fn_id").agg(F.count(F.lit(1)).alias("outside"))
+    """Edges of all seven types that name a node their function doesn't have, counted by type; none are expected."""
+    nodes = _kept_nodes(spark, sf_dir)
+    return trees.edges_outside(trees.all_edges(nodes), nodes)
 
 
 def max_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +106,7 @@ def type_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def node_type_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The type number of every node, 0 where it has none."""
-    vocab = F.broadcast(type_vocabulary(spark, sf_dir))  # the grammar's types
-    return _nodes(spark, sf_dir).join(vocab, "type", "left").select("fn_id", "node_id", F.coalesce("type_id", F.lit(0)).alias("type_id"))
+    return _nodes(spark, sf_dir).join(type_vocabulary(spark, sf_dir), "type", "left").select("fn_id", "node_id", F.coalesce("type_id", F.lit(0)).alias("type_id"))
 
 
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,14 +125,25 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaves(spark, sf_dir).groupBy(F.col("code").alias("token")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_COUNT)
 
 
+def sequences(leaves: DataFrame, vocabulary: DataFrame, *keep: str) -> DataFrame:
+    """(fn_id, *keep, token_ids): token numbers of each function's leaves in source order, 1 for tokens that the vocabulary (token, token_id) lacks."""
+    rows = leaves.join(vocabulary.withColumnRenamed("token", "code"), "code", "left").withColumn("t", F.coalesce("token_id", F.lit(1)))
+    ids = F.expr("transform(array_sort(collect_list(struct(start_byte, node_id, t))), x -> x.t)")
+    return rows.groupBy("fn_id", *keep).agg(ids.alias("token_ids"))
+
+
 def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token numbers of each function in source order, cut to ``MAX_TOKENS``, with label and split."""
-    vocab = token_vocabulary(spark, sf_dir)
-    rows = _leaves(spark, sf_dir).join(vocab.withColumnRenamed("token", "code"), "code", "left")
-    place = F.row_number().over(Window.partitionBy("fn_id").orderBy("start_byte", "node_id"))
-    kept = rows.withColumn("k", place).filter(F.col("k") <= MAX_TOKENS).withColumn("t", F.coalesce("token_id", F.lit(1)))
-    ids = F.expr("transform(array_sort(collect_list(struct(k, t))), x -> x.t)")
-    return kept.groupBy("fn_id", "target", "split").agg(ids.alias("token_ids"))
+    """Token numbers of each function in source order, with label and split."""
+    return sequences(_leaves(spark, sf_dir), token_vocabulary(spark, sf_dir), "target", "split")
+
+
+def token_sequences_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as models take them: cut to ``MAX_TOKENS`` and padded with 0 to the longest that is left in each split."""
+    rows = token_sequences(spark, sf_dir)
+    longest = F.least(F.lit(MAX_TOKENS), F.max(F.size("token_ids")).over(Window.partitionBy("split")))  # one number a split
+    return rows.select("fn_id", "target", "split", F.slice("token_ids", F.lit(1), F.lit(MAX_TOKENS)).alias("token_ids"), longest.alias("padded_to")).withColumn(
+        "token_ids", F.concat("token_ids", F.array_repeat(F.lit(0).cast("bigint"), F.col("padded_to") - F.size("token_ids")))
+    )
 
 
 def token_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +171,7 @@ def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions with errors, the share of bytes in error and the usable ones (P3, P17, G2), by project."""
-    names = table(spark, sf_dir, "raw_functions").select("fn_id", F.lower(F.trim("project")).alias("project"))
+    names = table(spark, sf_dir, "raw_functions").select("fn_id", name_of("project").alias("project"))
     joined = _parsed(spark, sf_dir).join(names, "fn_id")
     total = F.sum("total_bytes")
     return joined.groupBy("project").agg(
@@ -171,7 +188,7 @@ def size_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ast_edges, ncs_edges, identifier_roles, dfg_edges, cfg_edges, edge_counts, edge_norms, edge_norms_all, ablated_edges, edge_bounds, max_nesting, function_metrics,
-    type_vocabulary, node_type_ids, token_vocabulary, token_counts, token_sequences, token_sentences, drop_reasons, parse_quality, size_batches,
+    type_vocabulary, node_type_ids, token_vocabulary, token_counts, token_sequences, token_sequences_cut, token_sentences, drop_reasons, parse_quality, size_batches,
 )}
 
 _NODES = "nodes AS (SELECT DISTINCT ON (fn_id, node_id) * FROM ast_nodes)"
@@ -213,6 +230,8 @@ _TOKENS = """vocab AS (
     SELECT code AS token, row_number() OVER (ORDER BY f, s, k) + 1 AS token_id FROM (
         SELECT code, fn_id AS f, start_byte AS s, node_id AS k, row_number() OVER (PARTITION BY code ORDER BY fn_id, start_byte, node_id) AS nth FROM leaves WHERE split = 'train') WHERE nth = 1
 )"""
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TRIMMED = f"regexp_replace(regexp_replace(project, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
 _PARSED = """parsed AS (
     SELECT i.*, num_nodes, CASE WHEN total_bytes > 0 THEN error_bytes / total_bytes ELSE 0 END AS share
     FROM (SELECT DISTINCT ON (fn_id) * FROM parse_info) i LEFT JOIN (SELECT fn_id, max(num_nodes) AS num_nodes FROM graph_samples GROUP BY fn_id) s USING (fn_id)
@@ -229,13 +248,12 @@ ORACLE_SQL = {
     "edge_norms": f"""
 WITH RECURSIVE {_ROLES.replace(_NODES, _SIZED)}, {_SEEN}, edges AS (
     {_AST} UNION ({_NCS}) UNION ({_DFG})
-    UNION SELECT fn_id, unnest(['AST', 'REV_AST', 'CFG', 'NCS', 'DFG_R', 'DFG_W', 'DFG_C']), node_id, node_id FROM nodes
+    UNION SELECT fn_id, unnest(['AST', 'REV_AST', 'NCS', 'DFG_R', 'DFG_W', 'DFG_C']), node_id, node_id FROM nodes
 )
 SELECT fn_id, etype, src, dst, 1.0 / count(*) OVER (PARTITION BY fn_id, etype, src) AS norm FROM (SELECT DISTINCT * FROM edges)""",
     "ablated_edges": f"""
 WITH RECURSIVE {_ROLES}, {_SEEN}, edges AS ({_AST} UNION ({_NCS}) UNION ({_DFG}))
 SELECT DISTINCT fn_id, CAST(list_position(['AST', 'NCS', 'DFG_W'], etype) - 1 AS INTEGER) AS etype_id, src, dst FROM edges WHERE etype IN ('AST', 'NCS', 'DFG_W')""",
-    "edge_bounds": f"WITH {_NODES} SELECT n.fn_id, count(*) AS outside FROM nodes n ANTI JOIN nodes p ON p.fn_id = n.fn_id AND p.node_id = n.parent WHERE n.parent IS NOT NULL GROUP BY n.fn_id",
     "max_nesting": f"""
 WITH {_NODES}, around AS (
     SELECT fn_id, node_id AS a, subtree_end AS z FROM nodes WHERE type IN ('for_statement', 'while_statement', 'do_statement', 'if_statement', 'case_statement', 'switch_statement')
@@ -258,11 +276,20 @@ SELECT fn_id, node_id, coalesce(type_id, 0) AS type_id FROM nodes LEFT JOIN voca
 WITH {_LEAVES}, {_TOKENS}, placed AS (
     SELECT fn_id, target, split, coalesce(token_id, 1) AS t, row_number() OVER (PARTITION BY fn_id ORDER BY start_byte, node_id) AS k FROM leaves LEFT JOIN vocab ON token = code
 )
-SELECT fn_id, target, split, list(t ORDER BY k) AS token_ids FROM placed WHERE k <= 500 GROUP BY fn_id, target, split""",
+SELECT fn_id, target, split, list(t ORDER BY k) AS token_ids FROM placed GROUP BY fn_id, target, split""",
+    "token_sequences_cut": f"""
+WITH {_LEAVES}, {_TOKENS}, placed AS (
+    SELECT fn_id, target, split, coalesce(token_id, 1) AS t, row_number() OVER (PARTITION BY fn_id ORDER BY start_byte, node_id) AS k FROM leaves LEFT JOIN vocab ON token = code
+), cut AS (
+    SELECT fn_id, target, split, list(t ORDER BY k) AS ids FROM placed WHERE k <= 500 GROUP BY fn_id, target, split
+), padded AS (
+    SELECT *, max(len(ids)) OVER (PARTITION BY split)::INTEGER AS padded_to FROM cut
+)
+SELECT fn_id, target, split, list_resize(ids, padded_to, 0) AS token_ids, padded_to FROM padded""",
     "token_sentences": f"WITH {_NODES} SELECT fn_id, count(*)::INTEGER AS n, md5(string_agg(code, ' ' ORDER BY start_byte, node_id)) AS digest FROM nodes WHERE is_leaf AND code IS NOT NULL GROUP BY fn_id",
     "drop_reasons": f"WITH {_PARSED} SELECT why AS reason, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS percent FROM verdict GROUP BY why",
     "parse_quality": f"""
-WITH {_PARSED} SELECT lower(trim(project, ' ')) AS project, count(*) AS functions, count(*) FILTER (WHERE has_error) AS with_error, count(*) FILTER (WHERE why = 'kept') AS kept,
+WITH {_PARSED} SELECT coalesce(lower({_TRIMMED}), '') AS project, count(*) AS functions, count(*) FILTER (WHERE has_error) AS with_error, count(*) FILTER (WHERE why = 'kept') AS kept,
        CASE WHEN sum(total_bytes) > 0 THEN sum(error_bytes) * CAST(1000 AS DOUBLE) / sum(total_bytes) ELSE 0 END AS error_permille
 FROM verdict v JOIN raw_functions f ON f.fn_id = v.fn_id GROUP BY 1""",
 }

@@ -72,8 +72,9 @@ def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """'accuracy/f1' of each split as one row, one column for each of four named projects and all (E13, E14); ``result_cells`` has every project."""
-    return result_cells(spark, sf_dir).groupBy("method").pivot("project", [m.COMBINED, "quillnet", "moltenvm", "emberkern", "vastframe"]).agg(F.coalesce(F.first("cell"), F.lit("-")))
+    """'accuracy/f1' of every project and of all rows, one column for each split, '-' where a split has none of a project."""
+    table_ = result_cells(spark, sf_dir).groupBy("project").pivot("method", ["val", "test"]).agg(F.first("cell"))
+    return table_.select("project", *[F.coalesce(s, F.lit("-")).alias(s) for s in ("val", "test")])
 
 
 def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,5 +204,5 @@ SELECT v.project, printf('%+.2f', round(t.accuracy - v.accuracy, 2)) AS accuracy
     "result_cells": " UNION ALL ".join(f"SELECT '{s}' AS method, project, printf('%.2f/%.2f', accuracy, f1) AS cell FROM ({_by_project(_USABLE + f" AND split = '{s}'", 'prob >= 0.5')})" for s in ("val", "test")),
     "result_table": f"""
 WITH r AS (SELECT 'val' AS method, * FROM ({_by_project(_USABLE + " AND split = 'val'", "prob >= 0.5")}) UNION ALL SELECT 'test', * FROM ({_by_project(_USABLE + " AND split = 'test'", "prob >= 0.5")}))
-SELECT method, {", ".join(f"coalesce(max(CASE WHEN project = '{p}' THEN printf('%.2f/%.2f', accuracy, f1) END), '-') AS {p}" for p in ("Combined", "quillnet", "moltenvm", "emberkern", "vastframe"))} FROM r GROUP BY method""",
+SELECT project, {", ".join(f"coalesce(max(CASE WHEN method = '{s}' THEN printf('%.2f/%.2f', accuracy, f1) END), '-') AS {s}" for s in ("val", "test"))} FROM r GROUP BY project""",
 }
