@@ -7,7 +7,7 @@ runs in numpy, one whole (size-limited) graph after another, so that steps need
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +43,18 @@ def _zeros(dim: int) -> Column:
 def node_features(nodes: DataFrame, vectors: DataFrame, dim: int, internal: str = "zero") -> DataFrame:
     """(fn_id, node_id, code_feat): a leaf's token vector, zeros if it has none.
 
-    Inner nodes have zeros (``zero``) or the mean over the known leaves below them (``mean``, A15). Means come from
-    running sums in pre-order: the sum at the end of a subtree less the sum before its node, so no node is joined with
-    all its descendants.
+    Inner nodes have zeros (``zero``) or the mean over the known leaves below them (``mean``, A15). With ``tokens`` (A16) inner
+    nodes without children count as leaves too, their type being the token. Means come from running sums in
+    pre-order: the sum at the end of a subtree less the sum before its node, so no node is joined with all its descendants.
     """
-    if internal not in ("zero", "mean"):
+    if internal not in ("zero", "mean", "tokens"):
         raise ValueError(f"unknown mode {internal}")
-    leaf = nodes.select("fn_id", "node_id", "subtree_end", "is_leaf", F.when(F.col("is_leaf"), F.col("code")).alias("token"))
+    token = F.when(F.col("is_leaf"), F.col("code"))
+    if internal == "tokens":
+        token = token.when(F.col("subtree_end") == F.col("node_id"), F.col("type"))
+        nodes = nodes.withColumn("is_leaf", F.col("subtree_end") == F.col("node_id")).withColumn("code", token)
+        token = F.col("code")
+    leaf = nodes.select("fn_id", "node_id", "subtree_end", "is_leaf", token.alias("token"))
     known = leaf.join(vectors, "token", "left")
     if internal == "zero":
         return known.select("fn_id", "node_id", F.coalesce("vector", _zeros(dim)).alias("code_feat"))
@@ -64,11 +69,20 @@ def node_features(nodes: DataFrame, vectors: DataFrame, dim: int, internal: str
     return both.select("fn_id", "node_id", F.when(F.col("is_leaf"), F.coalesce("vector", _zeros(dim))).when(below > 0, mean).otherwise(_zeros(dim)).alias("code_feat"))
 
 
-def node_init(code: DataFrame, type_ids: DataFrame, embedding: np.ndarray) -> DataFrame:
-    """(fn_id, node_id, h): the code vector with its type's row of ``embedding`` behind it; type 0 has zeros."""
-    rows = F.array(*[F.array(*[F.lit(float(x) if t else 0.0) for x in row]) for t, row in enumerate(embedding)])
-    of = F.coalesce(F.get(rows, F.col("type_id").cast("int")), F.array(*[F.lit(0.0)] * embedding.shape[1]))
-    return code.join(type_ids, ["fn_id", "node_id"]).select("fn_id", "node_id", F.concat("code_feat", of).alias("h"))
+def type_embedding(kinds: DataFrame, dim: int, seed: int = 3) -> DataFrame:
+    """(type_id, embedding): a normal vector of ``dim`` numbers for every type of the vocabulary, the same in every run.
+
+    Each number is drawn from hashes of the type's number (Box and Muller), so the table is as large as the vocabulary.
+    """
+    uniform = lambda k, part: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("type_id"), F.lit(k))), 1 + 12 * part, 12), 16, 10).cast("double") + 1) / float(16**12 + 1)
+    parts = [F.sqrt(-2 * F.log(uniform(k, 0))) * F.cos(uniform(k, 1) * (2 * np.pi)) * 0.5 for k in range(dim)]
+    return kinds.select("type_id").distinct().select("type_id", F.array(*parts).alias("embedding"))
+
+
+def node_init(code: DataFrame, type_ids: DataFrame, embedding: DataFrame, dim: int) -> DataFrame:
+    """(fn_id, node_id, h): the code vector with its type's vector of ``dim`` numbers behind it; unknown types have zeros."""
+    typed = code.join(type_ids, ["fn_id", "node_id"]).join(embedding, "type_id", "left")
+    return typed.select("fn_id", "node_id", F.concat("code_feat", F.coalesce("embedding", _zeros(dim))).alias("h"))
 
 
 def message_step(state: DataFrame, edges: DataFrame, weights: dict[str, tuple[np.ndarray, np.ndarray]], combine: str = "sum") -> DataFrame:
@@ -118,47 +132,71 @@ def random_weights(dim: int, kinds: list[str] = EDGE_TYPES, seed: int = 7) -> di
 def propagate(h: np.ndarray, edges: np.ndarray, weights: dict, steps: int) -> np.ndarray:
     """States after ``steps`` gated updates (G11); ``edges`` are rows (type, source, target)."""
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    by_type = [(k, own[:, 1], own[:, 2]) for k in range(len(weights["kinds"])) if len(own := edges[edges[:, 0] == k])]
     for _ in range(steps):
         m = np.zeros_like(h)
-        for k in range(len(weights["kinds"])):
-            own = edges[edges[:, 0] == k]
-            if len(own):
-                np.add.at(m, own[:, 2], h[own[:, 1]] @ weights["w"][k].T + weights["b"][k])
+        for k, source, target in by_type:
+            # messages are linear, so what goes to one node is added up before the product
+            to, at, n = np.unique(target, return_inverse=True, return_counts=True)
+            sums = np.zeros((len(to), h.shape[1]))
+            np.add.at(sums, at, h[source])
+            m[to] += sums @ weights["w"][k].T + n[:, None] * weights["b"][k]
         reset, update = (sigmoid(m @ weights["in"][i].T + h @ weights["rec"][i].T + weights["bias"][i]) for i in (0, 1))
         new = np.tanh(m @ weights["in"][2].T + reset * (h @ weights["rec"][2].T) + weights["bias"][2])
         h = (1 - update) * new + update * h
     return h
 
 
-def graph_states(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, weights: dict | None = None, pooled: bool = False) -> DataFrame:
-    """(fn_id, nodes, vector): the nodes' [state after ``steps`` updates, first state], one after another.
+def all_states(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Every node's [last state, first state], one after another."""
+    return np.concatenate([last, first], axis=1).ravel()
+
+
+def pooled_states(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum and maximum over the nodes."""
+    both = np.concatenate([last, first], axis=1)
+    return np.concatenate([both.sum(axis=0), both.max(axis=0)])
+
+
+def lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The rows of a column of lists of numbers, without making a Python number of any."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield values[i:j]
+
+
+def list_column(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+
+
+def graph_states(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, weights: dict | None = None, read: Callable = all_states) -> DataFrame:
+    """(fn_id, nodes, vector): what ``read`` makes of the nodes' states after ``steps`` updates and their first ones.
 
     ``state`` and ``edges`` must come from size-limited graphs; one graph's rows are one group.
     """
-    ship_package(state.sparkSession)
+    spark = state.sparkSession
+    ship_package(spark)
     weights = weights or random_weights(dim)
+    sent = spark.sparkContext.broadcast(weights)
     number = F.array_position(F.array(*[F.lit(k) for k in weights["kinds"]]), F.col("etype")) - 1
     s = state.groupBy("fn_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "h"))).alias("s"))
     e = edges.filter(F.col("etype").isin(weights["kinds"])).groupBy("fn_id").agg(F.collect_set(F.struct(number.cast("int").alias("k"), "src", "dst")).alias("e"))
-    graphs = s.join(e, "fn_id", "left").select(F.col("fn_id").cast("bigint"), "s.node_id", "s.h", F.col("e.k").alias("k"), F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
+    graphs = s.join(e, "fn_id", "left").select(F.col("fn_id").cast("bigint"), "s.node_id", F.flatten("s.h").alias("h"), *[F.coalesce(F.col(f"e.{c}"), F.array().cast("array<int>")).alias(c) for c in ("k", "src", "dst")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, vectors = [], [], []
-            for fn, nodes, h, k, src, dst in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first, place = np.array(h, np.float64), {n: i for i, n in enumerate(nodes)}
-                rows = [(t, place[a], place[b]) for t, a, b in zip(k or [], src or [], dst or [], strict=True) if a in place and b in place]
-                last = propagate(first, np.array(rows, np.int64).reshape(-1, 3), weights, steps)
-                both = np.concatenate([last, first], axis=1)
-                vector = np.concatenate([both.sum(axis=0), both.max(axis=0)]) if pooled else both.ravel()
-                ids.append(fn)
+            sizes, vectors = [], []
+            for nodes, h, k, src, dst in zip(*(lists(c) for c in batch.columns[1:]), strict=True):
+                first = h.astype(np.float64).reshape(len(nodes), -1)
+                order = np.argsort(nodes)
+                a, b = (np.minimum(np.searchsorted(nodes[order], x), len(nodes) - 1) for x in (src, dst))
+                inside = (nodes[order][a] == src) & (nodes[order][b] == dst)
+                rows = np.stack([k, order[a], order[b]], axis=1)[inside]
+                last = propagate(first, rows.astype(np.int64), sent.value, steps)
                 sizes.append(len(nodes))
-                vectors.append(vector.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(vectors, pa.list_(pa.float64()))], names=["fn_id", "nodes", "vector"])
+                vectors.append(read(last, first))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), list_column(vectors)], names=["fn_id", "nodes", "vector"])
 
     return graphs.mapInArrow(run, "fn_id bigint, nodes int, vector array<double>")
-
-
-def graph_vectors(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, weights: dict | None = None) -> DataFrame:
-    """(fn_id, nodes, vector): sum and maximum over the nodes of ``graph_states``."""
-    return graph_states(state, edges, dim, steps, weights, pooled=True)

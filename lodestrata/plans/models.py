@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import classifier_metrics, features, readout, training, trees
-from lodestrata.plans import graphs
+from lodestrata.functions.texts import name_of, sigmoid
+from lodestrata.operators import artifacts, classifier_metrics, features, readout, splits, training, trees
+from lodestrata.plans import corpus, graphs
 from lodestrata.session import materialize, table
 
+#: Numbers of a token's vector and of a type's embedding, as trained.
+CODE_DIM, TYPE_DIM = 100, 100
+#: Numbers of the hashed token vectors that SQL can say as well.
 DIM = 4
-STEP_TYPES = ["AST", "REV_AST", "NCS"]
+STEP_TYPES = graphs.RELATIONAL_TYPES
 
 
 def step_weights() -> dict:
@@ -47,15 +52,21 @@ def node_features_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("fn_id", "node_id", F.transform("code_feat", lambda x: F.round(x, 6)).alias("code_feat"))
 
 
+def code_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of hashed vectors over all childless nodes below each node, with the type as token where there is no text."""
+    out = features.node_features(*_hashed(spark, sf_dir), DIM, "tokens")
+    return out.select("fn_id", "node_id", F.transform("code_feat", lambda x: F.round(x, 6)).alias("code_feat"))
+
+
 def _message_step(combine: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes = materialize(trees.clean(table(spark, sf_dir, "ast_nodes")), "nodes")
         state = nodes.select("fn_id", "node_id", F.array(F.when(F.col("is_leaf"), 1.0).otherwise(0.0), (F.col("node_id") % 7) / 7.0).alias("h"))
-        edges = trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes))
+        edges = graphs.relational_edges(nodes)
         out = features.message_step(state, edges, step_weights(), combine)
         return out.select("fn_id", "node_id", F.transform("m", lambda x: F.round(x, 6)).alias("m"))
 
-    run.__doc__ = f"One step of messages along syntax and token edges, types combined by {combine} (G9, J10)."
+    run.__doc__ = f"One step of messages along syntax, token and data-flow edges, types combined by {combine} (G9, J10)."
     return run
 
 
@@ -64,38 +75,121 @@ def conv_weights(axis: str) -> dict:
     return readout.readout_weights(2 if axis == "nodes" else 4, 2, axis=axis)
 
 
-def _conv_readout(axis: str):
+def _conv_logits(axis: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes = materialize(trees.clean(table(spark, sf_dir, "ast_nodes")), "nodes")
         first = nodes.select("fn_id", "node_id", F.array(F.when(F.col("is_leaf"), 1.0).otherwise(0.0), (F.col("node_id") % 7) / 7.0).alias("h"))
-        edges = trees.ast_edges(nodes).unionByName(trees.next_token_edges(nodes))
+        edges = graphs.relational_edges(nodes)
         got = features.message_step(first, edges, step_weights(), "sum")
         both = first.withColumnRenamed("h", "x").join(got, ["fn_id", "node_id"], "left")
         h = F.coalesce("m", F.array(F.lit(0.0), F.lit(0.0)))
         states = both.select("fn_id", "node_id", (h if axis == "nodes" else F.concat(h, "x")).alias("h"), "x")
-        return readout.conv_readout(states, conv_weights(axis), axis).select("fn_id", F.round("logit", 6).alias("logit"))
+        return readout.conv_readout(states, conv_weights(axis), axis)
+
+    return run
+
+
+def _conv_readout(axis: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _conv_logits(axis)(spark, sf_dir).select("fn_id", F.round("logit", 6).alias("logit"))
 
     run.__doc__ = f"Logit of each function by the convolutional readout along {axis} (M8, M9)."
     return run
 
 
-def _graph_vectors(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, pooled: bool = True) -> DataFrame:
-    code = features.node_features(nodes, vectors, DIM, "zero")
-    kinds = trees.vocabulary(nodes, "type", ["fn_id", "node_id"], 1, "type_id").withColumnRenamed("term", "type")
-    type_ids = nodes.join(F.broadcast(kinds), "type", "left").select("fn_id", "node_id", F.coalesce("type_id", F.lit(0)).alias("type_id"))  # the grammar's types
-    embedding = np.random.default_rng(3).normal(0, 0.5, (200, DIM))
-    return features.graph_states(features.node_init(code, type_ids, embedding), edges, 2 * DIM, pooled=pooled)
+def conv_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and verdict at 0.5 of the convolutional readout along the nodes."""
+    prob = sigmoid(F.col("logit"))
+    return _conv_logits("nodes")(spark, sf_dir).select("fn_id", F.round(prob, 6).alias("prob"), (prob >= 0.5).cast("int").alias("predicted"))
 
 
-def graph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector of each function's graph after six gated updates."""
+def _type_ids(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(type, type_id), and (fn_id, node_id, type_id) with 0 for unknown types."""
+    kinds = materialize(trees.vocabulary(nodes, "type", ["fn_id", "node_id"], 1, "type_id").withColumnRenamed("term", "type"), "types")
+    return kinds, nodes.join(kinds, "type", "left").select("fn_id", "node_id", F.coalesce("type_id", F.lit(0)).alias("type_id"))
+
+
+def _initial(nodes: DataFrame, vectors: DataFrame, dim: int, type_dim: int) -> DataFrame:
+    """(fn_id, node_id, h): first states, a token's vector with a type's behind it."""
+    kinds, type_ids = _type_ids(nodes)
+    return features.node_init(features.node_features(nodes, vectors, dim, "zero"), type_ids, features.type_embedding(kinds, type_dim), type_dim)
+
+
+def message_step_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of messages along all seven edge types between first states of hashed token vectors and type embeddings."""
     nodes, vectors = _hashed(spark, sf_dir)
-    return _graph_vectors(nodes, trees.all_edges(nodes), vectors)
+    w = features.random_weights(2 * DIM)
+    weights = {k: (w["w"][i], w["b"][i]) for i, k in enumerate(w["kinds"])}
+    edges = trees.distinct_edges(trees.all_edges(nodes))
+    return features.message_step(_initial(nodes, vectors, DIM, DIM), edges, weights).select("fn_id", "node_id", F.transform("m", lambda x: F.round(x, 6)).alias("m"))
 
 
-def _labelled(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+class Corpus:
+    """What the graph models share: size-limited trees, trained token vectors, first states and edges, each written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.nodes = _nodes(spark, sf_dir)
+        self.vectors = materialize(features.word_vectors(trees.leaf_tokens(self.nodes), CODE_DIM), "vectors")
+        self.first = materialize(_initial(self.nodes, self.vectors, CODE_DIM, TYPE_DIM), "first")
+        self.edges = materialize(trees.all_edges(self.nodes), "edges")
+
+    def states(self, read: Callable, kinds: list[str] | None = None) -> DataFrame:
+        """(fn_id, nodes, vector) after six gated updates along edges of ``kinds`` (all by default)."""
+        weights = features.random_weights(CODE_DIM + TYPE_DIM, kinds or trees.EDGE_TYPES)
+        return features.graph_states(self.first, self.edges, CODE_DIM + TYPE_DIM, weights=weights, read=read)
+
+    def labelled(self, read: Callable, kinds: list[str] | None = None) -> DataFrame:
+        """(fn_id, vector, label, split, project) of the functions with a label and a split."""
+        return materialize(_labelled(self.states(read, kinds).select("fn_id", "vector"), self.spark, self.sf_dir), "states")
+
+
+def graph_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector of each function's graph after six gated updates of trained token vectors and type embeddings."""
+    return Corpus(spark, sf_dir).states(features.pooled_states)
+
+
+def graph_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each kept graph: token vectors and type numbers of its nodes in pre-order, distinct edges of each type, label and project."""
+    nodes = _nodes(spark, sf_dir)
+    vectors = materialize(features.word_vectors(trees.leaf_tokens(nodes), CODE_DIM), "vectors")
+    return samples(nodes, trees.distinct_edges(trees.all_edges(nodes)), vectors, _type_ids(nodes)[1], _labels(spark, sf_dir))
+
+
+def samples(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, type_ids: DataFrame, labels: DataFrame, dim: int = CODE_DIM) -> DataFrame:
+    """(fn_id, num_nodes, code_feat, type_ids, edges, label, split, project): featurised graphs of the functions in ``labels``."""
+    code = features.node_features(nodes, vectors, dim, "zero").join(type_ids, ["fn_id", "node_id"])
+    one = code.groupBy("fn_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "code_feat", "type_id"))).alias("n"))
+    by_type = edges.groupBy("fn_id", "etype").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("e")).groupBy("fn_id").agg(F.map_from_entries(F.collect_list(F.struct("etype", "e"))).alias("edges"))
+    graphs_ = one.join(by_type, "fn_id", "left").join(labels, "fn_id")
+    return graphs_.select("fn_id", F.size("n").alias("num_nodes"), F.col("n.code_feat").alias("code_feat"), F.col("n.type_id").alias("type_ids"), "edges", "label", "split", "project")
+
+
+def embedding_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every number of the token vocabulary: the trained one, else small hashed noise; zeros for 0, the padding (M5)."""
+    nodes = _nodes(spark, sf_dir)
+    vocabulary = graphs.token_vocabulary(spark, sf_dir)
+    return matrix(vocabulary, features.word_vectors(trees.leaf_tokens(nodes), CODE_DIM))
+
+
+def matrix(vocabulary: DataFrame, vectors: DataFrame, dim: int = CODE_DIM, deviation: float = 0.1) -> DataFrame:
+    """(token_id, token, trained, vector) of a vocabulary (token, token_id) and the two numbers 0 (padding) and 1 (unknown)."""
+    spark = vocabulary.sparkSession
+    special = spark.createDataFrame([(0, None), (1, None)], "token_id bigint, token string")
+    rows = vocabulary.select("token_id", "token").unionByName(special).join(vectors.select("token", "vector"), "token", "left")
+    # normal noise: the sum of twelve even numbers has deviation one
+    noise = lambda k: sum((F.conv(F.substring(F.md5(F.concat_ws(":", "token_id", F.lit(k))), 1 + 2 * i, 2), 16, 10).cast("double") for i in range(12)), F.lit(0.0)) / 256 - F.lit(12 * 127.5 / 256)
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda k: F.when(F.col("token_id") == 0, 0.0).otherwise(noise(k) * deviation))
+    return rows.select("token_id", "token", F.col("vector").isNotNull().alias("trained"), F.coalesce("vector", drawn).alias("vector"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "raw_functions").filter("target IS NOT NULL AND split IS NOT NULL")
-    return rows.join(labels.select("fn_id", F.col("target").alias("label"), "split", F.coalesce(F.lower(F.trim("project")), F.lit("")).alias("project")), "fn_id")
+    return labels.select("fn_id", F.col("target").alias("label"), "split", name_of("project").alias("project"))
+
+
+def _labelled(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.join(_labels(spark, sf_dir), "fn_id")
 
 
 def _fit_and_score(rows: DataFrame, estimator) -> DataFrame:
@@ -119,102 +213,120 @@ def _logistic():
 
 
 def metrics_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees on the 15 metrics of each function, scored on val and test."""
+    """Boosted trees on the 15 metrics of each function, ``ROUNDS`` of depth 6, scored on val and test."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     nodes = _nodes(spark, sf_dir)
     rows = _labelled(trees.function_metrics(nodes, trees.all_edges(nodes)), spark, sf_dir)
-    model = Pipeline(stages=[VectorAssembler(inputCols=trees.METRIC_NAMES, outputCol="features"), GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=1)])
-    return _fit_and_score(rows, model)
+    boosted = GBTClassifier(maxIter=ROUNDS, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=1, checkpointInterval=-1)
+    return _fit_and_score(rows, Pipeline(stages=[VectorAssembler(inputCols=trees.METRIC_NAMES, outputCol="features"), boosted]))
 
 
-def _graph_rows(spark: SparkSession, sf_dir: str, kinds: list[str]) -> DataFrame:
+def _with_raw(rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    nodes, vectors = _hashed(spark, sf_dir)
-    parts = {"AST": trees.ast_edges, "CFG": trees.control_flow_edges, "NCS": trees.next_token_edges, "DFG": trees.data_flow_edges}
-    edges = None
-    for name, f in parts.items():
-        if any(k.endswith(name) or k.startswith(name) for k in kinds):
-            own = f(nodes).filter(F.col("etype").isin(kinds))
-            edges = own if edges is None else edges.unionByName(own)
-    got = _graph_vectors(nodes, edges, vectors)
-    return _labelled(got.select("fn_id", array_to_vector("vector").alias("raw")), spark, sf_dir)
+    return rows.withColumn("raw", array_to_vector("vector")).drop("vector")
+
+
+def _graph_scores(data: Corpus, kinds: list[str] | None = None) -> DataFrame:
+    return _fit_and_score(_with_raw(data.labelled(features.pooled_states, kinds)), _logistic())
 
 
 def graph_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic readout over propagated graph vectors, scored on val and test."""
-    return _fit_and_score(_graph_rows(spark, sf_dir, trees.EDGE_TYPES), _logistic())
+    return _graph_scores(Corpus(spark, sf_dir))
 
 
-def _readout_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, vectors = _hashed(spark, sf_dir)
-    got = _graph_vectors(nodes, trees.all_edges(nodes), vectors, pooled=False)
-    return materialize(_labelled(got.select("fn_id", F.col("vector").alias("states")), spark, sf_dir), "states")
+#: Boosted trees.
+ROUNDS = 200
+#: Filters of the convolution along the nodes.
+CHANNELS = 50
+
+
+def _conv_scores(data: Corpus) -> DataFrame:
+    state = CODE_DIM + TYPE_DIM
+    weights = readout.readout_weights(state, state, channels=CHANNELS)
+
+    def read(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.concatenate([readout.conv_response(np.concatenate([last, first], axis=1), weights["both"]), readout.conv_response(last, weights["last"])])
+
+    return _fit_and_score(_with_raw(data.labelled(read)), _logistic())
 
 
 def conv_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic model over the responses of convolution filters along the propagated nodes, scored on val and test (M8, M9)."""
-    from pyspark.ml.functions import array_to_vector
+    return _conv_scores(Corpus(spark, sf_dir))
 
-    nodes, vectors = _hashed(spark, sf_dir)
-    state = 2 * DIM
-    got = materialize(_graph_vectors(nodes, trees.all_edges(nodes), vectors, pooled=False), "states")
-    one = got.select("fn_id", F.explode(F.sequence(F.lit(0), F.col("nodes") - 1)).alias("node_id"), "vector")
-    one = one.select("fn_id", "node_id", F.slice("vector", F.col("node_id") * (2 * state) + 1, 2 * state).alias("v"))
-    weights = readout.readout_weights(state, state, channels=8)
-    both = readout.conv_over_nodes(one, 2 * state, weights["both"])
-    last = readout.conv_over_nodes(one.withColumn("v", F.slice("v", 1, state)), state, weights["last"])
-    rows = both.join(last.withColumnRenamed("z", "y"), "fn_id").select("fn_id", array_to_vector(F.concat("z", "y")).alias("raw"))
-    return _fit_and_score(_labelled(rows, spark, sf_dir), _logistic())
+
+def _readout_scores(data: Corpus, settings: training.Settings | None = None) -> tuple[DataFrame, np.ndarray]:
+    dim, settings = 2 * (CODE_DIM + TYPE_DIM), settings or training.Settings()
+    rows = data.labelled(features.all_states).withColumnRenamed("vector", "states")
+    flat, _ = training.train(rows, dim, settings)
+    held = rows.filter("split <> 'train'")
+    return training.predict(held, flat, dim, settings).join(held.select("fn_id", "project", "label", "split"), "fn_id").select("fn_id", "project", "label", "split", "prob"), flat
 
 
 def readout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A perceptron summed over the propagated nodes, trained with early stopping on val, scored on val and test."""
-    rows = _readout_graphs(spark, sf_dir)
-    settings = training.Settings(epochs=8)
-    flat, _ = training.train(rows, 4 * DIM, settings)
-    held = rows.filter("split <> 'train'")
-    return training.predict(held, flat, 4 * DIM, settings).join(held.select("fn_id", "project", "label", "split"), "fn_id").select("fn_id", "project", "label", "split", "prob")
+    return _readout_scores(Corpus(spark, sf_dir))[0]
 
 
-def token_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic model over hashed token runs of each function, the sequence baseline, scored on val and test."""
+def _token_scores(rows: DataFrame) -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 
-    rows = _labelled(trees.leaf_tokens(_nodes(spark, sf_dir)), spark, sf_dir)
     stages = [NGram(n=3, inputCol="tokens", outputCol="runs"), HashingTF(inputCol="tokens", outputCol="one", numFeatures=4096), HashingTF(inputCol="runs", outputCol="three", numFeatures=4096)]
     stages += [VectorAssembler(inputCols=["one", "three"], outputCol="features"), LogisticRegression(maxIter=20, regParam=0.1)]
     return _fit_and_score(rows, Pipeline(stages=stages))
 
 
+def token_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic model over hashed token runs of each function, the sequence baseline, scored on val and test."""
+    return _token_scores(_labelled(trees.leaf_tokens(_nodes(spark, sf_dir)), spark, sf_dir))
+
+
 def _measured(scored: DataFrame, model: str) -> DataFrame:
     """Metrics on test at the threshold that is best on val."""
-    scored = materialize(scored, "scored").withColumn("g", F.lit(1))
-    best = classifier_metrics.best_threshold(scored.filter("split = 'val'"), ["g"])
-    test = classifier_metrics.apply_threshold(scored.filter("split = 'test'"), best, ["g"])
-    return classifier_metrics.project_metrics(test.withColumn("prob", F.col("predicted").cast("double"))).withColumn("model", F.lit(model))
+    return artifacts.measured(materialize(scored, "scored"))[1].filter("split = 'test'").drop("split").withColumn("model", F.lit(model))
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test metrics of the classifiers, for each project and combined."""
-    parts = [_measured(f(spark, sf_dir), name) for name, f in (("metrics", metrics_classifier_scores), ("graph", graph_classifier_scores), ("convolution", conv_classifier_scores), ("readout", readout_scores), ("tokens", token_classifier_scores))]
-    return reduce(DataFrame.unionByName, parts)
+    data = Corpus(spark, sf_dir)
+    scored = {
+        "metrics": metrics_classifier_scores(spark, sf_dir), "graph": _graph_scores(data), "convolution": _conv_scores(data),
+        "readout": _readout_scores(data)[0], "tokens": token_classifier_scores(spark, sf_dir),
+    }
+    return reduce(DataFrame.unionByName, [_measured(rows, name) for name, rows in scored.items()])
 
 
 def edge_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test metrics of the graph classifier with single edge types and with all."""
-    out = None
-    for name, kinds in [("AST", ["AST"]), ("CFG", ["CFG"]), ("NCS", ["NCS"]), ("DFG", ["DFG_R", "DFG_W", "DFG_C"]), ("all", trees.EDGE_TYPES)]:
-        own = _measured(_fit_and_score(_graph_rows(spark, sf_dir, kinds), _logistic()), name)
-        out = own if out is None else out.unionByName(own)
+    """Test metrics of the graph classifier with each single edge type and with all seven."""
+    data = Corpus(spark, sf_dir)
+    kinds = {k: [k] for k in trees.EDGE_TYPES if k != "REV_AST"} | {"all": trees.EDGE_TYPES}
+    out = reduce(DataFrame.unionByName, [_measured(_graph_scores(data, own), name) for name, own in kinds.items()])
     return out.filter(F.col("project") == classifier_metrics.COMBINED).withColumnRenamed("model", "edges").drop("project")
 
 
+def leakage_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, F1 and AUC on val of a model refitted on a random and on a commit-disjoint split of the same functions, and the gap."""
+    rows = corpus.cleaned(table(spark, sf_dir, "raw_functions")).filter("target IS NOT NULL").select("fn_id", "target", "commit_id", "project")
+    tokens = materialize(trees.leaf_tokens(_nodes(spark, sf_dir)).join(rows, "fn_id"), "tokens")
+    out = None
+    for by in ("random", "commit"):
+        part = splits.split_rows(tokens, {"split_by": by})
+        scored = materialize(_token_scores(part.withColumn("label", F.col("target")).withColumnRenamed("part", "split")), "scored").filter("split = 'val'").withColumn("g", F.lit(1))
+        best = classifier_metrics.best_threshold(scored, ["g"])
+        at = classifier_metrics.apply_threshold(scored, best, ["g"]).withColumn("prob", F.col("predicted").cast("double"))
+        own = classifier_metrics.project_metrics(at).filter(F.col("project") == classifier_metrics.COMBINED)
+        own = own.join(classifier_metrics.auc(scored, ["g"]).select("auc")).select(*[F.col(k).alias(f"{k}_{by}") for k in ("accuracy", "f1", "auc")])  # one row each
+        out = own if out is None else out.join(own)
+    return out.select("*", *[F.round(F.col(f"{k}_random") - F.col(f"{k}_commit"), 2).alias(f"{k}_gap") for k in ("accuracy", "f1", "auc")])
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each scored function: probability, threshold, verdict, nodes and edges of each type; an error where it has no graph."""
     scored = table(spark, sf_dir, "scored").filter("prob IS NOT NULL")
@@ -228,7 +340,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("fn_id", "prob", "threshold", "predicted", "num_nodes", *[F.col("edges")[k].alias(k.lower()) for k in trees.EDGE_TYPES], error)
 
 
-QUERIES = {f.__name__: f for f in (word_vectors, node_features_zero, node_features_mean, graph_vectors, metrics_classifier_scores, graph_classifier_scores, conv_classifier_scores, readout_scores, token_classifier_scores, model_table, edge_ablation, predictions)} | {
+QUERIES = {f.__name__: f for f in (
+    word_vectors, node_features_zero, node_features_mean, code_vectors, message_step_all, graph_vectors, graph_samples, embedding_matrix, conv_probabilities, metrics_classifier_scores, graph_classifier_scores,
+    conv_classifier_scores, readout_scores, token_classifier_scores, model_table, edge_ablation, leakage_refit, predictions,
+)} | {
     "conv_readout": _conv_readout("nodes"), "conv_readout_features": _conv_readout("features"),
     "message_step": _message_step("sum"), "message_step_mean": _message_step("mean"), "message_step_max": _message_step("max"), "message_step_concat": _message_step("concat"),
 }
@@ -249,7 +364,7 @@ def _named(cells: list[str], name: str) -> str:
     return ", ".join(f"CAST({c} AS DOUBLE) AS {name}{k}" for k, c in enumerate(cells))
 
 
-def _conv_sql(axis: str) -> str:
+def _conv_sql(axis: str, cells_out: str = "round(logit, 6) AS logit") -> str:
     weights, steps = conv_weights(axis), _step_sql("sum", digits=None)
     cells = ["coalesce(m[1], 0)", "coalesce(m[2], 0)", "h0", "h1"]
     own = {"both": cells, "last": cells[:2]} if axis == "nodes" else {"both": [*cells, *cells[2:]], "last": cells}
@@ -278,7 +393,7 @@ def _conv_sql(axis: str) -> str:
         hidden = _dense_sql([f"z{k}" for k in range(w["m1"].shape[1])], w["m1"], w["c1"])
         sql += f", y_{name} AS (SELECT fn_id, {_named(hidden, 'y')} FROM z_{name}), o_{name} AS (SELECT fn_id, {_named(_dense_sql([f'y{k}' for k in range(len(hidden))], w['m2'], w['c2'], relu=False), 'o')} FROM y_{name})"
     n = len(weights["both"]["c2"])
-    return f"{sql} SELECT b.fn_id, round(({' + '.join(f'b.o{k} * l.o{k}' for k in range(n))}) / {n}, 6) AS logit FROM o_both b JOIN o_last l ON l.fn_id = b.fn_id"
+    return f"{sql} SELECT fn_id, {cells_out} FROM (SELECT b.fn_id, ({' + '.join(f'b.o{k} * l.o{k}' for k in range(n))}) / {n} AS logit FROM o_both b JOIN o_last l ON l.fn_id = b.fn_id)"
 
 
 def _step_sql(combine: str, digits: int | None = 6) -> str:
@@ -289,12 +404,12 @@ def _step_sql(combine: str, digits: int | None = 6) -> str:
 
     cells = {
         "sum": [f"round(sum(m{j}), {digits})" if digits else f"sum(m{j})" for j in range(2)],
-        "mean": [f"round(sum(m{j}) / 3, 6)" for j in range(2)],
-        "max": [f"round(CASE WHEN count(*) < 3 THEN greatest(max(m{j}), 0) ELSE max(m{j}) END, 6)" for j in range(2)],
+        "mean": [f"round(sum(m{j}) / {len(STEP_TYPES)}, 6)" for j in range(2)],
+        "max": [f"round(CASE WHEN count(*) < {len(STEP_TYPES)} THEN greatest(max(m{j}), 0) ELSE max(m{j}) END, 6)" for j in range(2)],
         "concat": [f"round(coalesce(sum(CASE WHEN etype = '{k}' THEN m{j} END), 0), 6)" for k in STEP_TYPES for j in range(2)],
     }[combine]
     return f"""
-WITH {graphs._NODES}, edges AS ({graphs._AST} UNION ALL ({graphs._NCS})), state AS (
+WITH RECURSIVE {graphs._ROLES}, {graphs._SEEN}, edges AS ({graphs._AST} UNION ALL ({graphs._NCS}) UNION ALL ({graphs._DFG})), state AS (
     SELECT fn_id, node_id, CASE WHEN is_leaf THEN 1.0::DOUBLE ELSE 0 END AS h0, (node_id % 7) / CAST(7 AS DOUBLE) AS h1 FROM nodes
 ), sums AS (
     SELECT e.fn_id, dst, etype, count(*) AS w, sum(h0) AS x0, sum(h1) AS x1 FROM edges e JOIN state s ON s.fn_id = e.fn_id AND s.node_id = e.src GROUP BY e.fn_id, dst, etype
@@ -307,6 +422,15 @@ SELECT fn_id, node_id, [{", ".join(cells)}] AS m FROM typed GROUP BY fn_id, node
 ORACLE_SQL = {f"message_step{'' if c == 'sum' else '_' + c}": _step_sql(c) for c in ("sum", "mean", "max", "concat")} | {
     "conv_readout": _conv_sql("nodes"),
     "conv_readout_features": _conv_sql("features"),
+    "conv_probabilities": _conv_sql("nodes", "round(1 / (1 + exp(-logit)), 6) AS prob, CAST(1 / (1 + exp(-logit)) >= 0.5 AS INTEGER) AS predicted"),
+    "code_vectors": f"""
+WITH {_HASHED}, bare AS (
+    SELECT fn_id, node_id, subtree_end, CASE WHEN is_leaf THEN code WHEN subtree_end = node_id THEN type END AS token FROM nodes
+), below AS (
+    SELECT n.fn_id, n.node_id, {", ".join(f"avg(v.vector[{k + 1}]) AS a{k}" for k in range(DIM))} FROM nodes n
+    JOIN bare l ON l.fn_id = n.fn_id AND l.subtree_end = l.node_id AND l.node_id BETWEEN n.node_id AND n.subtree_end JOIN vectors v ON v.token = l.token GROUP BY n.fn_id, n.node_id
+)
+SELECT n.fn_id, n.node_id, [{", ".join(f"round(coalesce(a{k}, 0), 6)" for k in range(DIM))}] AS code_feat FROM nodes n LEFT JOIN below b ON b.fn_id = n.fn_id AND b.node_id = n.node_id""",
     "node_features_zero": f"WITH {_HASHED} SELECT fn_id, node_id, coalesce(vector, [0.0::DOUBLE, 0, 0, 0]) AS code_feat FROM nodes LEFT JOIN vectors ON is_leaf AND token = code",
     "node_features_mean": f"""
 WITH {_HASHED}, below AS (

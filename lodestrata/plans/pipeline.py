@@ -1,11 +1,24 @@
 """Resumable preparation of a corpus: each stage is a written table, and a stage whose table is complete is skipped.
 
-``python -m lodestrata.plans.pipeline IN OUT [--force] [--config FILE]`` reads ``IN/raw_functions.parquet`` and ``IN/ast_nodes.parquet``
-and writes functions, splits, nodes, edges, vocabularies, token sequences and metrics below OUT (L1, S9, S13, D13).
+``python -m lodestrata.plans.pipeline IN OUT [--force] [--config FILE]`` reads ``IN/raw_functions.parquet``, ``IN/ast_nodes.parquet`` and,
+if it is there, ``IN/parse_info.parquet``, and writes below OUT (L1, S9, S10, S13, D13):
+
+| table | content |
+|---|---|
+| functions | first copies of texts with a label, one spelling of projects and commits |
+| reasons | functions kept and dropped, by reason |
+| nodes, edges | trees of the kept functions, and their edges of all types, repeated ones too |
+| splits | train, val and test over the functions that have a kept tree |
+| type_vocabulary, token_vocabulary | numbers of types, and of tokens of train |
+| sequences | token numbers of each function, by split |
+| word_vectors, embedding_matrix | trained token vectors, and one vector for each number of the token vocabulary |
+| samples | featurised graphs, by split |
+| metrics | the 15 metrics of each kept function |
 """
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Callable
 
@@ -13,24 +26,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.config import load_config, merged
-from lodestrata.operators import splits, trees
-from lodestrata.plans.corpus import first_copies
+from lodestrata.operators import features, splits, trees
+from lodestrata.operators.artifacts import complete
+from lodestrata.plans import graphs, models
+from lodestrata.plans.corpus import cleaned, first_copies
 from lodestrata.session import table
 
-DEFAULTS = {"data": {"max_nodes": trees.MAX_NODES, "train_split": 0.75, "val_split": 0.125, "split_by": "random", "projects": []}}
-
-
-def complete(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to its end."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+DEFAULTS = {
+    "data": {"max_nodes": trees.MAX_NODES, "max_error_share": 0.2, "train_split": 0.75, "val_split": 0.125, "paper_split": False, "split_by": "random", "projects": []},
+    "embedding": {"word2vec_dim": models.CODE_DIM, "word2vec_min_count": 3, "word2vec_window": 5, "word2vec_epochs": 10},
+}
 
 
 class Stages:
     """Tables below one folder; made once, read again afterwards."""
 
     def __init__(self, spark: SparkSession, out: str, force: bool = False):
-        self.spark, self.out, self.force, self.made = spark, out.rstrip("/"), force, []
+        self.spark, self.out, self.force, self.made, self.failed = spark, out.rstrip("/"), force, [], {}
 
     def table(self, name: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{self.out}/{name}"
@@ -39,30 +51,61 @@ class Stages:
             self.made.append(name)
         return self.spark.read.parquet(path)
 
+    def attempt(self, name: str, make: Callable[[], DataFrame]) -> None:
+        """The same for a table that no other needs: if it fails, the reason is kept and the others go on."""
+        try:
+            self.table(name, make)
+        except Exception as e:  # noqa: BLE001
+            self.failed[name] = f"{type(e).__name__}: {e}"[:2000]
+
+    def record_failures(self) -> None:
+        """Write (stage, reason) of what failed, if anything did."""
+        if self.failed:
+            self.spark.createDataFrame(sorted(self.failed.items()), "stage string, reason string").coalesce(1).write.mode("overwrite").json(f"{self.out}/failures")
+
+
+def verdicts(functions: DataFrame, parsed: DataFrame | None, sizes: DataFrame, max_nodes: int, max_error_share: float) -> DataFrame:
+    """(fn_id, reason): 'kept', or the first reason to drop a function: no tree, unusable parse, too many nodes.
 
-def split_functions(rows: DataFrame, config: dict) -> DataFrame:
-    """Stratified by label, or without a commit on two sides where ``split_by`` is 'commit' (E4)."""
-    train, val = config["train_split"], config["val_split"]
-    if config.get("split_by", "random") == "commit":
-        return splits.group_disjoint(rows, "commit_id", "fn_id", train, val)
-    return splits.stratified(rows, "target", "fn_id", train, val)
+    ``parsed`` has the parser's figures, where there are any; functions it doesn't know have no unusable parse.
+    """
+    rows = functions.select("fn_id").join(sizes, "fn_id", "left")
+    parse = F.lit(False)
+    if parsed is not None:
+        rows = rows.join(parsed.dropDuplicates(["fn_id"]).select("fn_id", "error_bytes", "total_bytes", "has_function_definition", "reason"), "fn_id", "left")
+        share = F.when(F.col("total_bytes") > 0, F.col("error_bytes") / F.col("total_bytes")).otherwise(F.lit(0.0))
+        parse = F.coalesce(~F.col("has_function_definition") | (share > max_error_share) | (F.col("reason") == "parse"), F.lit(False))
+    return rows.select("fn_id", F.when(parse, "parse").when(F.col("num_nodes").isNull(), "empty").when(F.col("num_nodes") > max_nodes, "size").otherwise("kept").alias("reason"))
 
 
 def prepare(spark: SparkSession, source: str, out: str, config: dict | None = None, force: bool = False) -> list[str]:
     """Make what isn't there yet; returns the names of the stages that ran."""
-    data = merged(DEFAULTS, config or {})["data"]
+    config = merged(DEFAULTS, config or {})
+    data, embedding = config["data"], config["embedding"]
     s = Stages(spark, out, force)
-    raw = table(spark, source, "raw_functions").filter(F.col("func").rlike(r"\S") & F.col("target").isNotNull())
-    raw = raw.withColumn("project", F.coalesce(F.lower(F.regexp_replace("project", r"^\s+|\s+$", "")), F.lit(""))).withColumn("commit_id", F.coalesce(F.lower(F.trim("commit_id")), F.lit("")))
+    raw = cleaned(table(spark, source, "raw_functions")).filter(F.col("target").isNotNull())
     if data["projects"]:
         raw = raw.filter(F.col("project").isin(data["projects"]))
     functions = s.table("functions", lambda: first_copies(raw).drop("split"))
-    parts = s.table("splits", lambda: split_functions(functions, data).select("fn_id", "target", "project", "part"), ("part",))
-    nodes = s.table("nodes", lambda: trees.sized(trees.clean(table(spark, source, "ast_nodes")), data["max_nodes"]).join(functions.select("fn_id"), "fn_id", "left_semi"))
-    edges = s.table("edges", lambda: trees.distinct_edges(trees.all_edges(nodes)), ("etype",))
-    s.table("type_vocabulary", lambda: trees.vocabulary(nodes, "type", ["fn_id", "node_id"], 1, "type_id"))
-    train = nodes.filter("is_leaf AND code IS NOT NULL").join(parts.filter("part = 'train'").select("fn_id"), "fn_id", "left_semi")
-    s.table("token_vocabulary", lambda: trees.vocabulary(train, "code", ["fn_id", "start_byte", "node_id"], 2, "token_id"))
+    trees_ = trees.clean(table(spark, source, "ast_nodes"))
+    has_info = complete(spark, f"{source}/parse_info.parquet") or os.path.exists(f"{source}/parse_info.parquet")
+    sizes = trees_.groupBy("fn_id").agg(F.count(F.lit(1)).alias("num_nodes"))
+    why = s.table("verdicts", lambda: verdicts(functions, table(spark, source, "parse_info") if has_info else None, sizes, data["max_nodes"], data["max_error_share"]))
+    s.table("reasons", lambda: why.groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+    kept = functions.join(why.filter("reason = 'kept'").select("fn_id"), "fn_id", "left_semi")
+    nodes = s.table("nodes", lambda: trees_.join(kept.select("fn_id"), "fn_id", "left_semi"))
+    parts = s.table("splits", lambda: splits.split_rows(kept, data).select("fn_id", "target", "project", "part"), ("part",))
+    edges = s.table("edges", lambda: trees.all_edges(nodes), ("etype",))
+    labels = parts.select("fn_id", F.col("target").alias("label"), F.col("part").alias("split"), "project")
+    leaves = nodes.filter("is_leaf AND code IS NOT NULL").select("fn_id", "node_id", "start_byte", "code").join(labels, "fn_id")
+    types = s.table("type_vocabulary", lambda: trees.vocabulary(nodes, "type", ["fn_id", "node_id"], 1, "type_id").withColumnRenamed("term", "type"))
+    tokens = s.table("token_vocabulary", lambda: trees.vocabulary(leaves.filter("split = 'train'"), "code", ["fn_id", "start_byte", "node_id"], 2, "token_id").withColumnRenamed("term", "token"))
+    s.table("sequences", lambda: graphs.sequences(leaves, tokens, "label", "project", "split"), ("split",))
+    dim = embedding["word2vec_dim"]
+    vectors = s.table("word_vectors", lambda: features.word_vectors(trees.leaf_tokens(nodes), dim, embedding["word2vec_window"], embedding["word2vec_min_count"], embedding["word2vec_epochs"]))
+    s.table("embedding_matrix", lambda: models.matrix(tokens, vectors, dim))
+    type_ids = nodes.join(types, "type", "left").select("fn_id", "node_id", F.coalesce("type_id", F.lit(0)).alias("type_id"))
+    s.table("samples", lambda: models.samples(nodes, trees.distinct_edges(edges), vectors, type_ids, labels, dim), ("split",))
     s.table("metrics", lambda: trees.function_metrics(nodes, edges))
     return s.made
 

@@ -12,8 +12,9 @@ import pandas as pd
 import pytest
 
 from lodestrata import registry
-from lodestrata.functions import patterns
+from lodestrata.functions import patterns, texts
 from lodestrata.operators import classifier_metrics, features, ranking, readout, splits, training, trees
+from lodestrata.plans import corpus, graphs, models
 from lodestrata.sources import records
 from pyspark.sql import functions as F
 
@@ -41,9 +42,90 @@ def test_query_equals_sql(spark, name):
     assert got == Counter(tuple(plain(x) for x in r) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_other_queries_run(spark, name):
-    assert registry.queries()[name](spark, DATA).count() >= 0
+@pytest.fixture(scope="session")
+def trees_of(spark):
+    """Nodes and all edges of the smallest data, by function."""
+    nodes = trees.sized(trees.clean(spark.read.parquet(f"{DATA}/ast_nodes.parquet")))
+    edges = trees.all_edges(nodes).collect()
+    return {r["fn_id"] for r in nodes.select("fn_id").distinct().collect()}, edges
+
+
+def test_edge_counts_and_metrics_agree(spark, trees_of):
+    rows = graphs.edge_counts(spark, DATA).collect()
+    counts = {(r["fn_id"], r["etype"]): r["n"] for r in rows}
+    own = Counter((e["fn_id"], e["etype"]) for e in trees_of[1])
+    assert all(counts[k] == n for k, n in own.items()) and {f for f, _ in counts} >= trees_of[0] and len(rows) % 7 == 0
+    nodes = defaultdict(list)
+    for r in trees.clean(spark.read.parquet(f"{DATA}/ast_nodes.parquet")).collect():
+        nodes[r["fn_id"]].append(r)
+    for r in graphs.function_metrics(spark, DATA).collect():
+        mine = nodes[r["fn_id"]]
+        around = [n for n in mine if n["type"] in trees.LOOPS + trees.BRANCHES]
+        has = lambda *t: sum(n["type"] in t for n in mine)  # noqa: E731, B023
+        assert r["num_nodes"] == len(mine) and r["num_ast_edges"] == counts[r["fn_id"], "AST"] and r["num_cfg_edges"] == counts[r["fn_id"], "CFG"]
+        assert r["num_dfg_edges"] == sum(counts[r["fn_id"], k] for k in ("DFG_R", "DFG_W", "DFG_C"))
+        assert (r["num_loops"], r["num_branches"]) == (has(*trees.LOOPS), has(*trees.BRANCHES)) and r["cyclomatic"] == len(around) + 1
+        assert r["max_nesting"] == max(sum(a["node_id"] < n["node_id"] <= a["subtree_end"] for a in around) for n in mine)
+        assert r["num_calls"] == has("call_expression") and r["num_pointers"] == has("pointer_declarator", "pointer_expression") and r["num_identifiers"] == has("identifier")
+        assert r["num_alloc"] == sum(n["code"] in trees.ALLOCATORS for n in mine) and r["num_free"] == sum(n["code"] == "free" for n in mine)
+
+
+def test_edges_stay_inside(spark):
+    assert graphs.edge_bounds(spark, DATA).count() == 0
+
+
+def test_one_step_along_all_types(spark, trees_of):
+    nodes, vectors = models._hashed(spark, DATA)
+    first = {(r["fn_id"], r["node_id"]): np.array(r["h"]) for r in models._initial(nodes, vectors, models.DIM, models.DIM).collect()}
+    assert {len(h) for h in first.values()} == {2 * models.DIM} and len({tuple(h[models.DIM :]) for h in first.values()}) > 5
+    w = features.random_weights(2 * models.DIM)
+    expected = defaultdict(lambda: np.zeros(2 * models.DIM))
+    for f, k, a, b in {tuple(e[c] for c in ("fn_id", "etype", "src", "dst")) for e in trees_of[1]}:
+        i = trees.EDGE_TYPES.index(k)
+        expected[f, b] += w["w"][i] @ first[f, a] + w["b"][i]
+    got = {(r["fn_id"], r["node_id"]): r["m"] for r in models.message_step_all(spark, DATA).collect()}
+    assert set(got) == set(expected) and all(np.allclose(got[k], expected[k], atol=1e-5) for k in got)
+
+
+def held_out(spark, kept):
+    rows = spark.read.parquet(f"{DATA}/raw_functions.parquet").filter("target IS NOT NULL AND split IN ('val', 'test')").collect()
+    return {r["fn_id"]: (r["target"], r["split"]) for r in rows if r["fn_id"] in kept}
+
+
+def test_models_score_every_held_out_function(spark, trees_of, monkeypatch):
+    monkeypatch.setattr(models, "ROUNDS", 5)
+    data, expected = models.Corpus(spark, DATA), held_out(spark, trees_of[0])
+    scored = {
+        "metrics": models.metrics_classifier_scores(spark, DATA), "tokens": models.token_classifier_scores(spark, DATA), "graph": models._graph_scores(data),
+        "convolution": models._conv_scores(data), "readout": models._readout_scores(data, training.Settings(epochs=2))[0],
+    }
+    for name, df in scored.items():
+        rows = df.collect()
+        assert {r["fn_id"]: (r["label"], r["split"]) for r in rows} == expected and len(rows) == len(expected), name
+        assert all(0 <= r["prob"] <= 1 for r in rows), name
+    vectors = {r["fn_id"]: r for r in data.states(features.pooled_states).collect()}
+    assert set(vectors) == trees_of[0] and {len(r["vector"]) for r in vectors.values()} == {4 * (models.CODE_DIM + models.TYPE_DIM)}
+
+
+def test_ablation_has_every_type(spark):
+    rows = models.edge_ablation(spark, DATA).collect()
+    assert {r["edges"] for r in rows} == {"AST", "CFG", "NCS", "DFG_R", "DFG_W", "DFG_C", "all"} and len(rows) == 7
+
+
+def test_samples_and_embedding(spark, trees_of):
+    edges = {tuple(e[c] for c in ("fn_id", "etype", "src", "dst")) for e in trees_of[1]}
+    for r in models.graph_samples(spark, DATA).collect():
+        assert r["fn_id"] in trees_of[0] and len(r["code_feat"]) == len(r["type_ids"]) == r["num_nodes"]
+        assert {(r["fn_id"], k, a, b) for k, es in r["edges"].items() for a, b in es} == {e for e in edges if e[0] == r["fn_id"]}
+    rows = {r["token_id"]: r for r in models.embedding_matrix(spark, DATA).collect()}
+    assert sorted(rows) == list(range(len(rows))) and not any(rows[0]["vector"]) and any(rows[1]["vector"])
+    noise = np.array([r["vector"] for k, r in rows.items() if k and not r["trained"]])
+    assert abs(noise.mean()) < 0.01 and abs(noise.std() - 0.1) < 0.01
+
+
+def test_leakage_is_measured_on_two_splits(spark):
+    row = models.leakage_refit(spark, DATA).collect()
+    assert len(row) == 1 and row[0]["accuracy_gap"] == pytest.approx(row[0]["accuracy_random"] - row[0]["accuracy_commit"], abs=0.01)
 
 
 def tree(spec):
@@ -179,15 +261,140 @@ def test_splits_hold_their_invariants(spark):
     assert splits.group_disjoint(df.limit(0), "commit_id", "fn_id").count() == 0
 
 
-def test_size_batches(spark):
+def one_pass(sizes, batch_size, max_nodes):
+    """Sizes in ascending order, cut by one pass."""
+    batches, own = [], []
+    for size in sorted(sizes):
+        if own and (len(own) + 1 > batch_size or (len(own) + 1) * size > max_nodes):
+            batches.append(own)
+            own = []
+        own.append(size)
+    return [*batches, own] if own else batches
+
+
+@pytest.mark.parametrize("batch_size,max_nodes", [(128, 12_000), (5, 100), (1, 10), (7, 3)])
+def test_size_batches_are_those_of_one_pass(spark, batch_size, max_nodes):
     rng = random.Random(7)
-    rows = [(i, rng.choice([3, 40, 45, 500, 9000, 20000, None, 0])) for i in range(400)]
-    got = splits.size_batches(spark.createDataFrame(rows, "id bigint, size int"), "id", "size", 128, 12_000).collect()
+    rows = [(i, rng.choice([3, 4, 40, 45, 46, 500, 9000, 20000, None, 0, -1])) for i in range(400)]
+    got = splits.size_batches(spark.createDataFrame(rows, "id bigint, size int"), "id", "size", batch_size, max_nodes).collect()
     by = defaultdict(list)
     for r in got:
         by[r["batch_id"]].append(r["size"])
-    assert sorted(r["id"] for r in got) == [i for i, s in rows if s]
-    assert all(len(v) <= 128 and (len(v) == 1 or len(v) * max(v) <= 12_000) for v in by.values())
+    assert sorted(r["id"] for r in got) == [i for i, s in rows if s and s > 0]
+    assert [sorted(by[k]) for k in sorted(by)] == one_pass([s for _, s in rows if s and s > 0], batch_size, max_nodes) and sorted(by) == list(range(len(by)))
+
+
+def test_cuts_of_batches():
+    rng = random.Random(8)
+    for _ in range(300):
+        sizes = [rng.randint(1, 12) for _ in range(rng.randint(0, 40))]
+        batch_size, max_nodes = rng.randint(1, 6), rng.randint(1, 30)
+        by = defaultdict(list)
+        for size, batch, fit, first, each in splits.cut_batches(sorted(Counter(sizes).items()), batch_size, max_nodes):
+            for r in range(Counter(sizes)[size]):
+                by[batch if r < fit else first + (r - fit) // each].append(size)
+        assert [by[k] for k in sorted(by)] == one_pass(sizes, batch_size, max_nodes)
+
+
+def test_no_commit_spans_parts_of_the_given_data(spark):
+    """Whatever white space or letter case its name is written with."""
+    raw = spark.read.parquet("/root/testdata/sf0.01/raw_functions.parquet").collect()
+    names = {r["fn_id"]: (r["commit_id"] or "").strip().lower() for r in raw}
+    assert any((r["commit_id"] or "").strip() != (r["commit_id"] or "").strip(" ") for r in raw)
+    parts, of = defaultdict(set), {}
+    for r in corpus.commit_split(spark, "/root/testdata/sf0.01").collect():
+        of[r["fn_id"]] = r["part"]
+        if names[r["fn_id"]]:
+            parts[names[r["fn_id"]]].add(r["part"])
+    assert all(len(p) == 1 for p in parts.values())
+    assert set(of) == {r["fn_id"] for r in raw if (r["func"] or "").strip()}
+    seen = {names[r["fn_id"]] for r in raw if r["split"] == "train" and (r["func"] or "").strip()}
+    held = corpus.unseen_commit_holdout(spark, "/root/testdata/sf0.01").collect()
+    assert held and all(names[r["fn_id"]] and names[r["fn_id"]] not in seen for r in held)
+
+
+def test_white_space_of_any_kind(spark):
+    spaces = ["", " ", "\t\n", "\u00a0", "\u2003\u3000", "\x1c", "\u200b"]
+    rows = [(i, s, f"{s} Na me{s}") for i, s in enumerate(spaces)] + [(90, None, None)]
+    got = {r["i"]: r for r in spark.createDataFrame(rows, "i int, s string, n string").select("i", texts.has_text("s").alias("t"), texts.name_of("n").alias("n")).collect()}
+    assert [got[i]["t"] for i in range(len(spaces))] == [bool(s.strip()) for s in spaces] and not got[90]["t"]
+    assert [got[i]["n"] for i in range(len(spaces))] == [f"{s} Na me{s}".strip().lower() for s in spaces] and got[90]["n"] == ""
+
+
+def test_two_way_splits(spark):
+    df = spark.createDataFrame([(i, i % 3 == 0, f"c{i // 4}") for i in range(103)], "fn_id bigint, target boolean, commit_id string").withColumn("target", F.col("target").cast("int"))
+    for config in ({"paper_split": True}, {"paper_split": True, "split_by": "commit"}):
+        got = splits.split_rows(df, config).collect()
+        assert len(got) == 103 and {r["part"] for r in got} == {"train", "val"}
+    pair = Counter((r["target"], r["part"]) for r in splits.stratified_pair(df, "target", "fn_id").collect())
+    assert pair == {(1, "train"): 26, (1, "val"): 9, (0, "train"): 51, (0, "val"): 17}
+    assert Counter(r["part"] for r in splits.split_rows(df, {}).collect()).keys() == {"train", "val", "test"}
+    with pytest.raises(ValueError):
+        splits.split_rows(df, {"split_by": "other"})
+
+
+def test_roles_below_many_wrappers(spark):
+    """declaration > wrapper > ... > identifier writes at any depth; below a call it reads."""
+    rows = []
+    for fn, (top, depth) in enumerate([("declaration", d) for d in (0, 1, 2, 8, 9, 31)] + [("call_expression", d) for d in (0, 3, 9)]):
+        kinds = [top, *["pointer_declarator" if k % 2 else "array_declarator" for k in range(depth)], "identifier"]
+        rows += [(fn, k, t, "x" if t == "identifier" else t, k, 99, t == "identifier", k - 1 if k else None, len(kinds) - 1) for k, t in enumerate(kinds)]
+    rows += [(50, 0, "pointer_declarator", "p", 0, 9, False, None, 1), (50, 1, "identifier", "x", 1, 2, True, 0, 1)]
+    nodes = spark.createDataFrame(rows, "fn_id bigint, node_id int, type string, code string, start_byte int, end_byte int, is_leaf boolean, parent int, subtree_end int")
+    got = {r["fn_id"]: r["role"] for r in trees.identifiers(nodes).collect()}
+    assert got == {0: "write", 1: "write", 2: "write", 3: "write", 4: "write", 5: "write", 6: "read", 7: "read", 8: "read", 50: "write"}
+
+
+def test_edges_out_of_bounds(spark):
+    nodes = spark.createDataFrame([(1, k) for k in range(4)] + [(2, 0)], "fn_id bigint, node_id int")
+    edges = [(1, "AST", 0, 1), (1, "CFG", 0, 4), (1, "CFG", 9, 9), (1, "NCS", -1, 2), (2, "DFG_R", 0, 1), (3, "AST", 0, 0), (1, "OTHER", 0, 1), (1, None, 0, 1)]
+    got = {(r["fn_id"], r["etype"]): r["outside"] for r in trees.edges_outside(spark.createDataFrame(edges, "fn_id bigint, etype string, src int, dst int"), nodes).collect()}
+    assert got == {(1, "CFG"): 3, (1, "NCS"): 1, (2, "DFG_R"): 1, (3, "AST"): 2, (1, "OTHER"): 2, (1, None): 2}
+
+
+def test_vocabulary_by_first_appearance(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(5000), k, rng.choice([None, *"abcdefghij"]) and f"t{rng.randrange(900)}") for k in range(4000)]
+    got = {r["term"]: r["id"] for r in trees.vocabulary(spark.createDataFrame(rows, "fn_id bigint, node_id int, t string"), "t", ["fn_id", "node_id"], 2, "id").collect()}
+    assert got == {t: k for k, t in enumerate(dict.fromkeys(t for *_, t in sorted(rows, key=lambda r: r[:2]) if t is not None), 2)}
+    assert trees.vocabulary(spark.createDataFrame([], "fn_id bigint, node_id int, t string"), "t", ["fn_id", "node_id"], 2, "id").count() == 0
+
+
+def test_wide_convolution_equals_the_relational_one(spark):
+    rng = np.random.default_rng(6)
+    for width in (1, 4):
+        w = readout.branch_weights(width, 3, rng)
+        for n in range(1, 9):
+            v = rng.normal(0, 1, (n, width))
+            assert np.allclose(readout.conv_response(v, w), conv_by_hand(v, w))
+
+
+def test_states_of_graphs(spark):
+    rng = np.random.default_rng(8)
+    dim, graphs_ = 3, {1: [4, 0, 2], 2: [7], 3: [1, 5]}
+    edges = [(1, "A", 0, 4), (1, "A", 0, 4), (1, "B", 4, 2), (1, "A", 0, 9), (3, "B", 1, 5), (3, "C", 5, 1)]
+    h = {(g, n): rng.normal(0, 1, dim) for g, ns in graphs_.items() for n in ns}
+    state = spark.createDataFrame([(g, n, v.tolist()) for (g, n), v in h.items()], "fn_id bigint, node_id int, h array<double>")
+    w = features.random_weights(dim, ["A", "B"])
+    got = {r["fn_id"]: r for r in features.graph_states(state, spark.createDataFrame(edges, "fn_id bigint, etype string, src int, dst int"), dim, 2, w).collect()}
+    for g, ns in graphs_.items():
+        ns = sorted(ns)
+        rows = sorted({("AB".index(k), ns.index(a), ns.index(b)) for f, k, a, b in edges if f == g and k in "AB" and a in ns and b in ns})
+        first = np.array([h[g, n] for n in ns])
+        last = features.propagate(first, np.array(rows, np.int64).reshape(-1, 3), w, 2)
+        assert got[g]["nodes"] == len(ns) and np.allclose(got[g]["vector"], features.all_states(last, first))
+
+
+def test_training_goes_on_where_it_stopped(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 2, "train" if i % 3 else "val", (rng.normal(0, 1, (2, 2)) + i % 2).ravel().tolist()) for i in range(60)]
+    data = spark.createDataFrame(rows, "fn_id bigint, label int, split string, states array<double>")
+    whole, history = training.train(data, 2, training.Settings(hidden=3, epochs=4, patience=9))
+    training.train(data, 2, training.Settings(hidden=3, epochs=2, patience=9), str(tmp_path / "c"))
+    again, resumed = training.train(data, 2, training.Settings(hidden=3, epochs=4, patience=9), str(tmp_path / "c"))
+    assert np.allclose(whole, again) and np.allclose(history.loss, resumed.loss) and len(resumed.loss) == 4
+    s = training.Settings.of_config({"training": {"lr": 0.5, "class_weighting": True, "epochs": 7}, "model": {"mlp_hidden": 9}}, spark.createDataFrame([(1,), (0,), (0,)], "label int"))
+    assert (s.rate, s.hidden, s.epochs, s.positive_weight) == (0.5, 9, 7, 2.0) and training.Settings.of_config({}, epochs=0).epochs == training.Settings().epochs
 
 
 def test_patterns(spark):
