@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, which all executors share.
 
-    Only where that setting is absent (tests, local runs) a private temporary folder is made and set.
+    Only where that setting is absent and Spark runs on this machine alone (tests) a private temporary folder is made and set;
+    on a cluster its absence is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = getattr(spark, "_lodestrata_dir", None)
         if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             local = tempfile.mkdtemp(prefix="spark-lodestrata-")
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             shared = spark._lodestrata_dir = f"file://{local}"
