@@ -16,6 +16,7 @@ container that bears loss. Ties between classes: the longer one, then the one th
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,34 +34,66 @@ MAX_CAPACITY = 200_000
 
 
 def plan_patterns(size: np.ndarray, loss: np.ndarray, count: np.ndarray, limits: tuple[int, int, int]) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns (times, [(class, copies)]) that use up every class. Each class must fit into an empty container."""
+    """Patterns (times, [(class, copies)]) that use up every class. Each class must fit into an empty container.
+
+    Among classes that bear loss, and among those that don't, a longer one has the larger dot product with any room left. So
+    each choice is between the longest of either kind that fits, which is found in the order of lengths, where used-up
+    classes are skipped over: the work grows with the items of the patterns, not with the classes looked at.
+    """
+    cap, max_segments, max_loss = limits
     # an item that bears more loss than a container may hold takes up all of that limit
-    vec = np.stack([size, np.ones_like(size), np.minimum(size, limits[2]) * loss], axis=1).astype(np.float64) / np.array(limits, np.float64)
-    count = count.astype(np.int64).copy()
+    bears = np.minimum(size, max_loss) * loss
+    vec = np.stack([size, np.ones_like(size), bears], axis=1).astype(np.float64) / np.array(limits, np.float64)
     weight = (vec * count[:, None]).sum(axis=0)
-    weight = weight / max(weight.max(), 1e-12)
-    order = np.lexsort((-loss, -size))  # ties: the longer one first
-    vec = vec[order]
-    left = count[order]
-    out = []
-    while left.any():
-        live = np.flatnonzero(left)
-        v, have = vec[live], left[live].copy()
-        room, used = np.ones(3), {}
-        fits = np.ones(len(live), bool)
-        while True:
-            fits &= (have > 0) & (v <= room + 1e-9).all(axis=1)
-            if not fits.any():
+    w = (weight / max(weight.max(), 1e-12) / np.array(limits, np.float64) ** 2).tolist()
+    left = [int(n) for n in count]
+    kinds = []  # for each kind: its classes by length, their lengths, and where to look on below each one
+    for k in (0, 1):
+        own = np.flatnonzero((loss == k) & (count > 0))
+        own = own[np.argsort(size[own], kind="stable")]
+        kinds.append((own.tolist(), size[own].tolist(), list(range(len(own)))))
+
+    def longest(kind: int, limit: int) -> int:
+        """Place of the longest class of a kind, of at most ``limit``, that isn't used up; -1 if there is none."""
+        _, lengths, below = kinds[kind]
+        k = bisect_right(lengths, limit) - 1
+        path = []
+        while k >= 0 and below[k] != k:
+            path.append(k)
+            k = below[k]
+        for p in path:
+            below[p] = k
+        return k
+
+    out, todo = [], sum(1 for n in left if n)
+    while todo:
+        nodes, segments, room = cap, max_segments, max_loss
+        used: dict[int, int] = {}
+        while segments:
+            choices = []
+            for kind, limit in ((0, nodes), (1, nodes if room == max_loss else min(nodes, room))):
+                k = longest(kind, limit)
+                if k >= 0:
+                    classes, lengths, _ = kinds[kind]
+                    n, b = lengths[k], min(lengths[k], max_loss) * kind
+                    choices.append((w[0] * nodes * n + w[1] * segments + w[2] * room * b, n, kind, k, b, classes[k]))
+            if not choices:
                 break
-            at = np.flatnonzero(fits)
-            best = at[np.argmax(v[at] @ (weight * room))]
-            used[best] = used.get(best, 0) + 1
-            have[best] -= 1
-            room = room - v[best]
-        times = min(int(left[live[k]]) // n for k, n in used.items())
-        for k, n in used.items():
-            left[live[k]] -= n * times
-        out.append((times, [(int(order[live[k]]), n) for k, n in used.items()]))
+            _, n, kind, k, b, c = max(choices)
+            nodes, segments, room = nodes - n, segments - 1, room - b
+            used[c] = used.get(c, 0) + 1
+            if used[c] == left[c]:  # used up by this container, which is thus filled once
+                kinds[kind][2][k] = k - 1
+                todo -= 1
+        times = min(left[c] // n for c, n in used.items())
+        for c, n in used.items():
+            left[c] -= n * times
+            if not left[c] and times > 1:  # used up by the repetitions
+                kind = int(loss[c])
+                k = bisect_left(kinds[kind][1], int(size[c]))
+                kinds[kind][2][k] = k - 1
+                todo -= 1
+        out.append((times, list(used.items())))
     return out
 
 

@@ -93,6 +93,37 @@ def test_packing(spark, segments, loss):
             assert len(boxes) <= -(-sum(sizes.values()) // cap) + 2
 
 
+def test_patterns_follow_the_dot_product():
+    """The choice between the longest of either kind is the largest dot product over all classes that fit."""
+    rng = random.Random(16)
+    for _ in range(200):
+        cap = rng.randint(1, 40)
+        limits = (cap, rng.randint(1, 12), rng.randint(1, cap))
+        classes = sorted({(rng.randint(1, cap), rng.randint(0, 1)) for _ in range(rng.randint(1, 12))})
+        size, loss = (np.array([c[k] for c in classes], np.int64) for k in (0, 1))
+        count = np.array([rng.choice([1, 1, 2, 7, 100]) for _ in classes], np.int64)
+        got = packing.plan_patterns(size, loss, count, limits)
+        assert sum(times * np.bincount([c for c, n in used for _ in range(n)], minlength=len(classes)) for times, used in got).tolist() == count.tolist()
+        vec = np.stack([size, np.ones_like(size), np.minimum(size, limits[2]) * loss], axis=1) / np.array(limits)
+        weight = (vec * count[:, None]).sum(axis=0)
+        left = count.copy()
+        for times, used in got:
+            own, room, have = Counter(), np.ones(3), left.copy()
+            while True:
+                fits = [k for k in range(len(classes)) if have[k] and (vec[k] <= room + 1e-9).all()]
+                if not fits:
+                    break
+                score = {k: vec[k] @ (weight * room) for k in fits}
+                # what was chosen is among the best
+                k = next(k for k in sorted(fits, key=lambda k: (own[k] >= dict(used).get(k, 0), -score[k])))
+                assert own[k] < dict(used)[k] and score[k] >= max(score.values()) - 1e-9 * max(score.values())
+                own[k] += 1
+                have[k] -= 1
+                room = room - vec[k]
+            assert own == Counter(dict(used))
+            left -= times * np.bincount(list(own.elements()), minlength=len(classes))
+
+
 def test_packing_empty(spark):
     graphs = spark.createDataFrame([], "fn_id bigint, num_nodes int, label int")
     budgets = spark.createDataFrame([("s", 64)], "budget_name string, max_nodes int")
