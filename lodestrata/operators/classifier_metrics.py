@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.ranking import number_cell, spread_next, spread_rank, spread_sums
+from lodestrata.session import materialize
 
 COMBINED = "Combined"
 #: Beyond this many distinct probabilities the candidates come from an even grid of their quantiles.
@@ -86,7 +87,7 @@ def candidate_sweep(scored: DataFrame, keys: list[str]) -> DataFrame:
     ones, the midpoints of as many even quantiles, which lie between neighbours of known ranks. Candidates are merged into
     the probabilities' order by running sums instead of being joined with every row.
     """
-    h = histogram(scored, keys)
+    h = materialize(histogram(scored, keys), "histogram")  # all that follows reads this instead of the rows
     cell = number_cell(F.col("prob"), 0, 1)
     totals = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     ranked = spread_next(spread_rank(h.select(*keys, "prob"), keys, ["prob"], cell, "r"), keys, "prob", cell)
@@ -102,7 +103,7 @@ def candidate_sweep(scored: DataFrame, keys: list[str]) -> DataFrame:
     grid = grid.withColumn("q2", F.lead("q").over(Window.partitionBy(*keys).orderBy("k")))  # MAX_CANDIDATES rows a key
     coarse = grid.filter("q2 IS NOT NULL").select(*keys, ((F.col("q") + F.col("q2")) / 2).alias("thr"))
     half = totals.select(*keys, F.lit(0.5).alias("thr"))
-    thr = plain.unionByName(coarse).unionByName(half).distinct()
+    thr = materialize(plain.unionByName(coarse).unionByName(half).distinct(), "candidates")
     zero = F.lit(0).cast("bigint")
     events = h.select(*keys, F.col("prob").alias("x"), F.lit(1).alias("kind"), "p", "n").unionByName(thr.select(*keys, F.col("thr").alias("x"), F.lit(0).alias("kind"), zero.alias("p"), zero.alias("n")))
     e = spread_sums(events, keys, ["x", "kind"], number_cell(F.col("x"), 0, 1), ["p", "n"]).filter("kind = 0")

@@ -58,17 +58,6 @@ def conv_over_nodes(states: DataFrame, width: int, w: dict) -> DataFrame:
     return pooled.groupBy("fn_id").agg(F.array(*[F.max(c) for c in second]).alias("z"))
 
 
-def conv_response(v: np.ndarray, w: dict) -> np.ndarray:
-    """The same for one graph's vectors (nodes, width), where vectors are too wide for expressions."""
-    n, width = v.shape
-    padded = np.concatenate([np.zeros((1, width)), v, np.zeros((1, width))])
-    taps = w["first"].reshape(len(w["b1"]), 3, width)
-    first = np.maximum(sum(padded[t : t + n] @ taps[:, t].T for t in range(3)) + w["b1"], 0)
-    after = np.concatenate([first, np.zeros((2, first.shape[1]))])  # responses aren't negative
-    pooled = np.maximum(np.maximum(after[:n], after[1 : n + 1]), after[2 : n + 2])[: max(n, MIN_NODES) - 1 : 2]
-    return np.maximum(pooled @ w["second"].T + w["b2"], 0).max(axis=0)
-
-
 def conv_over_features(states: DataFrame, width: int, w: dict) -> DataFrame:
     """(fn_id, z): filters that slide over each node's vector instead; the largest response over all nodes at each place left."""
     if width < 3:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.texts import name_of, sigmoid
-from lodestrata.operators import artifacts, classifier_metrics, features, readout, splits, training, trees
+from lodestrata.operators import artifacts, classifier_metrics, features, networks, readout, splits, training, trees
 from lodestrata.plans import corpus, graphs
 from lodestrata.session import materialize, table
 
@@ -156,9 +156,9 @@ def graph_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(nodes, trees.distinct_edges(trees.all_edges(nodes)), vectors, _type_ids(nodes)[1], _labels(spark, sf_dir))
 
 
-def samples(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, type_ids: DataFrame, labels: DataFrame, dim: int = CODE_DIM) -> DataFrame:
+def samples(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, type_ids: DataFrame, labels: DataFrame, dim: int = CODE_DIM, internal: str = "zero") -> DataFrame:
     """(fn_id, num_nodes, code_feat, type_ids, edges, label, split, project): featurised graphs of the functions in ``labels``."""
-    code = features.node_features(nodes, vectors, dim, "zero").join(type_ids, ["fn_id", "node_id"])
+    code = features.node_features(nodes, vectors, dim, internal).join(type_ids, ["fn_id", "node_id"])
     one = code.groupBy("fn_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "code_feat", "type_id"))).alias("n"))
     by_type = edges.groupBy("fn_id", "etype").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("e")).groupBy("fn_id").agg(F.map_from_entries(F.collect_list(F.struct("etype", "e"))).alias("edges"))
     graphs_ = one.join(by_type, "fn_id", "left").join(labels, "fn_id")
@@ -241,31 +241,48 @@ def graph_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Boosted trees.
 ROUNDS = 200
-#: Filters of the convolution along the nodes.
-CHANNELS = 50
+#: Rate of the networks, whose gradients aren't scaled as the summed perceptron's are.
+NETWORK_RATE = 0.003
 
 
-def _conv_scores(data: Corpus) -> DataFrame:
-    state = CODE_DIM + TYPE_DIM
-    weights = readout.readout_weights(state, state, channels=CHANNELS)
+def _trained_scores(rows: DataFrame, dim: int, settings: training.Settings | None = None, net: networks.Network | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(fn_id, project, label, split, prob) of val and test rows by a network trained on train rows (fn_id, label, split, project, states), and its parameters."""
+    settings = settings or training.Settings()
+    flat, _ = training.train(rows, dim, settings, net=net)
+    held = rows.filter("split <> 'train'")
+    return training.predict(held, flat, dim, settings, net).join(held.select("fn_id", "project", "label", "split"), "fn_id").select("fn_id", "project", "label", "split", "prob"), flat
 
-    def read(last: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return np.concatenate([readout.conv_response(np.concatenate([last, first], axis=1), weights["both"]), readout.conv_response(last, weights["last"])])
 
-    return _fit_and_score(_with_raw(data.labelled(read)), _logistic())
+def _readout_scores(data: Corpus, settings: training.Settings | None = None) -> tuple[DataFrame, np.ndarray]:
+    return _trained_scores(data.labelled(features.all_states).withColumnRenamed("vector", "states"), 2 * (CODE_DIM + TYPE_DIM), settings)
+
+
+def _conv_scores(data: Corpus, settings: training.Settings | None = None) -> tuple[DataFrame, np.ndarray]:
+    state = CODE_DIM + TYPE_DIM
+    net = networks.CompositeReadout(state, state)
+    return _trained_scores(data.labelled(features.all_states).withColumnRenamed("vector", "states"), 2 * state, settings or training.Settings(rate=NETWORK_RATE), net)
 
 
 def conv_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic model over the responses of convolution filters along the propagated nodes, scored on val and test (M8, M9)."""
-    return _conv_scores(Corpus(spark, sf_dir))
+    """The composite model: trained convolutions along the propagated nodes, two branches, scored on val and test (M8, M9)."""
+    return _conv_scores(Corpus(spark, sf_dir))[0]
 
 
-def _readout_scores(data: Corpus, settings: training.Settings | None = None) -> tuple[DataFrame, np.ndarray]:
-    dim, settings = 2 * (CODE_DIM + TYPE_DIM), settings or training.Settings()
-    rows = data.labelled(features.all_states).withColumnRenamed("vector", "states")
-    flat, _ = training.train(rows, dim, settings)
-    held = rows.filter("split <> 'train'")
-    return training.predict(held, flat, dim, settings).join(held.select("fn_id", "project", "label", "split"), "fn_id").select("fn_id", "project", "label", "split", "prob"), flat
+def _token_states(data: Corpus, max_tokens: int = graphs.MAX_TOKENS) -> DataFrame:
+    """(fn_id, label, split, project, states): the trained vectors of a function's leaves in source order, zeros for rare tokens, cut to ``max_tokens`` as the model takes them (M7)."""
+    leaves = data.nodes.filter("is_leaf AND code IS NOT NULL").select("fn_id", "start_byte", "node_id", F.col("code").alias("token"))
+    known = leaves.join(data.vectors, "token", "left").withColumn("v", F.coalesce("vector", F.array_repeat(F.lit(0.0), CODE_DIM)))
+    one = known.groupBy("fn_id").agg(F.array_sort(F.collect_list(F.struct("start_byte", "node_id", "v"))).alias("s"))
+    return materialize(_labelled(one.select("fn_id", F.flatten(F.slice("s.v", F.lit(1), F.lit(max_tokens))).alias("states")), data.spark, data.sf_dir), "tokens")
+
+
+def _token_conv_scores(data: Corpus, settings: training.Settings | None = None) -> tuple[DataFrame, np.ndarray]:
+    return _trained_scores(_token_states(data), CODE_DIM, settings or training.Settings(rate=NETWORK_RATE), networks.TokenConvolution(CODE_DIM))
+
+
+def token_conv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained filters over runs of three to five tokens, scored on val and test."""
+    return _token_conv_scores(Corpus(spark, sf_dir))[0]
 
 
 def readout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,18 +306,24 @@ def token_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(scored: DataFrame, model: str) -> DataFrame:
-    """Metrics on test at the threshold that is best on val."""
-    return artifacts.measured(materialize(scored, "scored"))[1].filter("split = 'test'").drop("split").withColumn("model", F.lit(model))
+    """Metrics on val and test at the threshold that is best on val."""
+    return artifacts.measured(materialize(scored, "scored"))[1].withColumn("model", F.lit(model))
+
+
+#: Models that are compared by their metrics on val, as they have no part in choosing a checkpoint there.
+BASELINES = ["metrics", "tokens", "token_convolution"]
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test metrics of the classifiers, for each project and combined."""
+    """Metrics of the classifiers on val and test, for each project and combined; ``headline`` marks the rows that stand in the results' table:
+    graph models on test, baselines on val (E13)."""
     data = Corpus(spark, sf_dir)
     scored = {
-        "metrics": metrics_classifier_scores(spark, sf_dir), "graph": _graph_scores(data), "convolution": _conv_scores(data),
-        "readout": _readout_scores(data)[0], "tokens": token_classifier_scores(spark, sf_dir),
+        "metrics": metrics_classifier_scores(spark, sf_dir), "graph": _graph_scores(data), "convolution": _conv_scores(data)[0],
+        "readout": _readout_scores(data)[0], "tokens": token_classifier_scores(spark, sf_dir), "token_convolution": _token_conv_scores(data)[0],
     }
-    return reduce(DataFrame.unionByName, [_measured(rows, name) for name, rows in scored.items()])
+    rows = reduce(DataFrame.unionByName, [_measured(rows, name) for name, rows in scored.items()])
+    return rows.withColumn("headline", F.col("split") == F.when(F.col("model").isin(BASELINES), "val").otherwise("test"))
 
 
 def edge_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +331,7 @@ def edge_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = Corpus(spark, sf_dir)
     kinds = {k: [k] for k in trees.EDGE_TYPES if k != "REV_AST"} | {"all": trees.EDGE_TYPES}
     out = reduce(DataFrame.unionByName, [_measured(_graph_scores(data, own), name) for name, own in kinds.items()])
-    return out.filter(F.col("project") == classifier_metrics.COMBINED).withColumnRenamed("model", "edges").drop("project")
+    return out.filter((F.col("project") == classifier_metrics.COMBINED) & (F.col("split") == "test")).withColumnRenamed("model", "edges").drop("project", "split")
 
 
 def leakage_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +365,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     word_vectors, node_features_zero, node_features_mean, code_vectors, message_step_all, graph_vectors, graph_samples, embedding_matrix, conv_probabilities, metrics_classifier_scores, graph_classifier_scores,
-    conv_classifier_scores, readout_scores, token_classifier_scores, model_table, edge_ablation, leakage_refit, predictions,
+    conv_classifier_scores, readout_scores, token_classifier_scores, token_conv_scores, model_table, edge_ablation, leakage_refit, predictions,
 )} | {
     "conv_readout": _conv_readout("nodes"), "conv_readout_features": _conv_readout("features"),
     "message_step": _message_step("sum"), "message_step_mean": _message_step("mean"), "message_step_max": _message_step("max"), "message_step_concat": _message_step("concat"),

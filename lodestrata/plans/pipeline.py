@@ -12,6 +12,7 @@ if it is there, ``IN/parse_info.parquet``, and writes below OUT (L1, S9, S10, S1
 | type_vocabulary, token_vocabulary | numbers of types, and of tokens of train |
 | sequences | token numbers of each function, by split |
 | word_vectors, embedding_matrix | trained token vectors, and one vector for each number of the token vocabulary |
+| featurizer | how inner nodes are featurised, and the vectors' length |
 | samples | featurised graphs, by split |
 | metrics | the 15 metrics of each kept function |
 """
@@ -34,7 +35,7 @@ from lodestrata.session import table
 
 DEFAULTS = {
     "data": {"max_nodes": trees.MAX_NODES, "max_error_share": 0.2, "train_split": 0.75, "val_split": 0.125, "paper_split": False, "split_by": "random", "projects": []},
-    "embedding": {"word2vec_dim": models.CODE_DIM, "word2vec_min_count": 3, "word2vec_window": 5, "word2vec_epochs": 10},
+    "embedding": {"word2vec_dim": models.CODE_DIM, "word2vec_min_count": 3, "word2vec_window": 5, "word2vec_epochs": 10, "internal_code": "zero"},
 }
 
 
@@ -105,11 +106,20 @@ def prepare(spark: SparkSession, source: str, out: str, config: dict | None = No
     vectors = s.table("word_vectors", lambda: features.word_vectors(trees.leaf_tokens(nodes), dim, embedding["word2vec_window"], embedding["word2vec_min_count"], embedding["word2vec_epochs"]))
     s.table("embedding_matrix", lambda: models.matrix(tokens, vectors, dim))
     type_ids = nodes.join(types, "type", "left").select("fn_id", "node_id", F.coalesce("type_id", F.lit(0)).alias("type_id"))
-    s.table("samples", lambda: models.samples(nodes, trees.distinct_edges(edges), vectors, type_ids, labels, dim), ("split",))
+    mode = embedding["internal_code"]
+    s.table("featurizer", lambda: spark.createDataFrame([(mode, dim)], "internal_code string, dim int").coalesce(1))
+    s.table("samples", lambda: models.samples(nodes, trees.distinct_edges(edges), vectors, type_ids, labels, dim, mode), ("split",))
     s.table("metrics", lambda: trees.function_metrics(nodes, edges))
     return s.made
 
 
+def load_featurizer(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, str]:
+    """(token vectors, type vocabulary, mode of inner nodes) of a prepared corpus; the mode is 'mean' where none was written."""
+    vectors, types = (spark.read.parquet(f"{out}/{name}") for name in ("word_vectors", "type_vocabulary"))
+    mode = spark.read.parquet(f"{out}/featurizer").first()["internal_code"] if complete(spark, f"{out}/featurizer") else "mean"
+    return vectors, types, mode
+
+
 def main(args: list[str]) -> int:
     force = "--force" in args
     config = load_config(args[args.index("--config") + 1]) if "--config" in args else None

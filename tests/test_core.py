@@ -13,7 +13,7 @@ import pytest
 
 from lodestrata import registry
 from lodestrata.functions import patterns, texts
-from lodestrata.operators import classifier_metrics, features, ranking, readout, splits, training, trees
+from lodestrata.operators import classifier_metrics, features, networks, ranking, readout, splits, training, trees
 from lodestrata.plans import corpus, graphs, models
 from lodestrata.sources import records
 from pyspark.sql import functions as F
@@ -97,7 +97,7 @@ def test_models_score_every_held_out_function(spark, trees_of, monkeypatch):
     data, expected = models.Corpus(spark, DATA), held_out(spark, trees_of[0])
     scored = {
         "metrics": models.metrics_classifier_scores(spark, DATA), "tokens": models.token_classifier_scores(spark, DATA), "graph": models._graph_scores(data),
-        "convolution": models._conv_scores(data), "readout": models._readout_scores(data, training.Settings(epochs=2))[0],
+        "convolution": models._conv_scores(data, training.Settings(epochs=2))[0], "token_convolution": models._token_conv_scores(data, training.Settings(epochs=2))[0], "readout": models._readout_scores(data, training.Settings(epochs=2))[0],
     }
     for name, df in scored.items():
         rows = df.collect()
@@ -360,15 +360,6 @@ def test_vocabulary_by_first_appearance(spark):
     assert trees.vocabulary(spark.createDataFrame([], "fn_id bigint, node_id int, t string"), "t", ["fn_id", "node_id"], 2, "id").count() == 0
 
 
-def test_wide_convolution_equals_the_relational_one(spark):
-    rng = np.random.default_rng(6)
-    for width in (1, 4):
-        w = readout.branch_weights(width, 3, rng)
-        for n in range(1, 9):
-            v = rng.normal(0, 1, (n, width))
-            assert np.allclose(readout.conv_response(v, w), conv_by_hand(v, w))
-
-
 def test_states_of_graphs(spark):
     rng = np.random.default_rng(8)
     dim, graphs_ = 3, {1: [4, 0, 2], 2: [7], 3: [1, 5]}
@@ -385,6 +376,46 @@ def test_states_of_graphs(spark):
         assert got[g]["nodes"] == len(ns) and np.allclose(got[g]["vector"], features.all_states(last, first))
 
 
+@pytest.mark.parametrize("net,dim", [(networks.TokenConvolution(3, 4, (1, 2, 3)), 3), (networks.CompositeReadout(2, 3, 4, 3, 2), 5), (training.SummedPerceptron(3, 4, 0.5), 3)])
+def test_gradients_of_networks(net, dim):
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 3, 4, 7):
+        flat, x, label = rng.normal(0, 0.5, sum(int(np.prod(s)) for s in net.shapes)), rng.normal(0, 1, (n, dim)), n % 2
+        loss, g = net.gradient(x, label, net.unpack(flat), 2.0)
+        step = 1e-6
+        for k in range(len(flat)):
+            moved = flat.copy()
+            moved[k] += step
+            assert (net.gradient(x, label, net.unpack(moved), 2.0)[0] - loss) / step == pytest.approx(g[k], abs=2e-3), (n, k)
+
+
+def test_composite_readout_equals_the_relational_one():
+    """Its branches respond like the fixed filters of ``conv_over_nodes``."""
+    rng = np.random.default_rng(12)
+    net = networks.CompositeReadout(3, 2, 4, 3, 2)
+    params = net.unpack(rng.normal(0, 1, sum(int(np.prod(s)) for s in net.shapes)))
+    for n in range(1, 9):
+        x = rng.normal(0, 1, (n, 5))
+        w = {"first": params[0].T, "b1": params[1], "second": params[2].T, "b2": params[3]}
+        z = conv_by_hand(x, w)
+        assert np.allclose(net._branch(x, params[:8])[0], np.maximum(z @ params[4] + params[5], 0) @ params[6] + params[7])
+
+
+@pytest.mark.parametrize("net", [networks.TokenConvolution(2, 4, (2, 3)), networks.CompositeReadout(1, 1, 4, 4, 2)])
+def test_networks_learn_an_order(spark, net):
+    """Whether a rise or a fall stands somewhere in a row; sums over places can't tell."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(240):
+        x = rng.normal(0, 0.2, (rng.integers(6, 12), 2))
+        at, label = rng.integers(0, len(x) - 1), i % 2
+        x[at], x[at + 1] = ([-1.5, 1.5], [1.5, -1.5]) if label else ([1.5, -1.5], [-1.5, 1.5])
+        rows.append((i, label, "train" if i % 5 else "val", x.ravel().tolist()))
+    data = spark.createDataFrame(rows, "fn_id bigint, label int, split string, states array<double>")
+    _, history = training.train(data, 2, training.Settings(epochs=20, rate=0.05, patience=20), net=net)
+    assert max(history.auc) > 90 and history.loss[-1] < history.loss[0]
+
+
 def test_training_goes_on_where_it_stopped(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [(i, i % 2, "train" if i % 3 else "val", (rng.normal(0, 1, (2, 2)) + i % 2).ravel().tolist()) for i in range(60)]

@@ -22,7 +22,7 @@ def test_config_layers(tmp_path):
         load_config(str(tmp_path / "none.json"))
 
 
-STAGES = ["functions", "verdicts", "reasons", "nodes", "splits", "edges", "type_vocabulary", "token_vocabulary", "sequences", "word_vectors", "embedding_matrix", "samples", "metrics"]
+STAGES = ["functions", "verdicts", "reasons", "nodes", "splits", "edges", "type_vocabulary", "token_vocabulary", "sequences", "word_vectors", "embedding_matrix", "featurizer", "samples", "metrics"]
 
 
 @pytest.mark.parametrize("by,paper", [("random", False), ("commit", True)])
@@ -44,6 +44,7 @@ def test_prepare_resumes(spark, tmp_path, by, paper):
     for r in read("samples").collect():
         assert r["num_nodes"] == len(r["code_feat"]) == len(r["type_ids"]) and {len(v) for v in r["code_feat"]} == {6}
         assert len(r["edges"].get("AST", [])) == r["num_nodes"] - 1
+    assert pipeline.load_featurizer(spark, out)[2] == "zero" and pipeline.load_featurizer(spark, out)[0].count() > 0
     numbers = {r["token_id"]: r for r in read("embedding_matrix").collect()}
     assert set(numbers) == {0, 1} | {r["token_id"] for r in read("token_vocabulary").collect()} and numbers[0]["vector"] == [0.0] * 6
     known = {r["token"]: r["vector"] for r in read("word_vectors").collect()}
