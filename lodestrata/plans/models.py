@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.texts import name_of, sigmoid
 from lodestrata.operators import artifacts, classifier_metrics, features, networks, readout, splits, training, trees
 from lodestrata.plans import corpus, graphs
-from lodestrata.session import materialize, table
+from lodestrata.session import materialize, table, work_dir
 
 #: Numbers of a token's vector and of a type's embedding, as trained.
 CODE_DIM, TYPE_DIM = 100, 100
@@ -220,7 +220,8 @@ def metrics_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nodes = _nodes(spark, sf_dir)
     rows = _labelled(trees.function_metrics(nodes, trees.all_edges(nodes)), spark, sf_dir)
-    boosted = GBTClassifier(maxIter=ROUNDS, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=1, checkpointInterval=-1)
+    work_dir(spark)  # every tenth tree's errors are checkpointed there
+    boosted = GBTClassifier(maxIter=ROUNDS, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=1, checkpointInterval=10)
     return _fit_and_score(rows, Pipeline(stages=[VectorAssembler(inputCols=trees.METRIC_NAMES, outputCol="features"), boosted]))
 
 
