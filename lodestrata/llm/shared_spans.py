@@ -10,8 +10,10 @@ Anchors are packed for each batch and bucket of the hash (6 bytes each), so that
 one class throughout, told by two independent 64-bit hashes: the class takes part once, its members are added at the end. An anchor held by more than ``WIDE``
 classes (boilerplate shorter than a span) emits no pairs: its texts are regrouped by windows extended around that
 anchor to nearly ``min_chars`` characters, one grouping for each way to lay out the rest to its left and right, and
-groupings with the same members are joined once. A grouping that is wide even so is laid out again, to whole spans, so
-that only texts that share one are paired. An
+groupings with the same members are joined once. A grouping that is wide even so is laid out again, to whole spans of
+``min_chars`` characters, told by two independent 64-bit hashes: what shares one is in the result without any text being sent
+for its pairs, and covers that place of its text. So a text that hundreds of others share a head with travels once, not
+once for each of them. An
 anchor that is wide within one batch of a task goes that way at once and leaves only a mark in its bucket, so that no
 bucket gathers the texts of a hot anchor.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,8 @@ LAYOUTS = 14
 BUCKET_BYTES = 16 << 20
 #: Hashed before a text, so that the second hash starts from another state.
 CHECK_SEED = 9
+#: Of the second hash of whole spans; fixed values.
+PRIME, CHECK_BASES = (1 << 31) - 1, (1_103_515_245, 1_664_525_077)
 #: Characters hashed at a time within a task.
 BLOCK_CHARS = 1_000_000
 
@@ -85,6 +90,17 @@ class Cover:
     def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self._inverse[start])
 
+    def checks(self, code: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """A second hash of the spans of ``min_chars`` characters at ``start``: polynomials modulo a prime with two bases, 62 bits."""
+        out, step = np.zeros(len(start), np.uint64), 4096  # spans at a time
+        for base in CHECK_BASES:
+            weights = np.array([pow(base, self.min_chars - 1 - k, PRIME) for k in range(self.min_chars)], np.uint64)
+            for i in range(0, len(start), step):
+                rows = np.lib.stride_tricks.sliding_window_view(code, self.min_chars)[start[i : i + step]] + np.uint64(1)
+                value = (rows * weights % np.uint64(PRIME)).sum(axis=1) % np.uint64(PRIME)
+                out[i : i + step] = (out[i : i + step] << np.uint64(31)) | value
+        return out
+
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -245,20 +261,29 @@ def match_anchors(index: DataFrame, buckets: int, wide: int) -> DataFrame:
 
 
 def _members(windows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of (id, same, check, key): the classes of each key, and each key's number and digests of classes where there are several."""
-    members = materialize(windows.groupBy("key", "same", "check").agg(F.min("id").alias("id")), name)
+    """Of (id, same, check, key, key2): the classes of each key, and each key's number and digests of classes where there are several."""
+    members = materialize(windows.groupBy("key", "key2", "same", "check").agg(F.min("id").alias("id")), name)
     digest = [F.sum(F.xxhash64(F.lit(k), "same", "check").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
-    return members, materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *digest).filter("n > 1"), f"{name}-kinds")
+    return members, materialize(members.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n"), *digest).filter("n > 1"), f"{name}-kinds")
 
 
 def _pairs_within(members: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Pairs of classes of a key; of keys with the same members, which give the same pairs, one stays."""
-    m = members.join(kinds.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key")
-    a, b = (m.select("key", F.col("id").alias(f"id_{x}"), F.struct("same", "check").alias(f"class_{x}")) for x in "ab")
-    return a.join(b, "key").filter("class_a < class_b").select(*_PAIRS).distinct()
+    """(id_a, same_a, check_a, id_b, same_b, check_b): pairs of classes of a key; of keys with the same members, which give the same pairs, one stays."""
+    m = members.join(kinds.groupBy("n", "s1", "s2").agg(F.min(F.struct("key", "key2")).alias("k")).select("k.*"), ["key", "key2"])
+    a, b = (m.select("key", "key2", F.struct("same", "check").alias(f"class_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "same", "check")]) for x in "ab")
+    return a.join(b, ["key", "key2"]).filter("class_a < class_b").select(*[f"{c}_{x}" for x in "ab" for c in ("id", "same", "check")]).distinct()
+
+
+class Refined(NamedTuple):
+    """What becomes of wide anchors: ``pairs`` (id_a, id_b) still to be compared; of the others, ``found`` pairs of classes (same_a, check_a, same_b, check_b)
+    and the places (same, check, lo) of their spans of ``min_chars`` characters that stand in several classes. The last two are null where there are none."""
+
+    pairs: DataFrame
+    found: DataFrame | None
+    places: DataFrame | None
 
 
-def refine(hot: DataFrame, used: DataFrame, min_chars: int, wide: int) -> DataFrame:
+def refine(hot: DataFrame, used: DataFrame, min_chars: int, wide: int) -> Refined:
     """Pairs of classes that share a window of nearly ``min_chars`` characters around a wide anchor.
 
     Windows that are wide as well are laid out once more, to all windows of ``min_chars`` characters around them; what shares
@@ -275,30 +300,38 @@ def refine(hot: DataFrame, used: DataFrame, min_chars: int, wide: int) -> DataFr
                 for doc, same, check, wanted, within, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     h, _, place = anchors_of([text], cover)
                     at = place[np.isin((h & np.uint64((1 << 48) - 1)).astype(np.int64), np.array(wanted, np.int64))]
-                    sums, out = cover.sums(code_points(text)), [np.zeros(0, np.uint64)]
+                    code = code_points(text)
+                    sums, near, starts = cover.sums(code), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                     for i in range(LAYOUTS):
                         left, right = min(i * step, slack), max(0, slack - (i + 1) * step + 1)
                         ok = at[(at >= left) & (at + cover.w + right <= len(text))]
                         key = cover.hashes(sums, ok - left, ok + cover.w + right) + np.uint64(i)
                         if not exact:
-                            out.append(key)
+                            near.append(key)
                             continue
                         ok, rest = ok[np.isin(key.view(np.int64), np.array(within, np.int64))], slack - left - right
-                        for j in range(rest + 1):
-                            fits = ok[(ok >= left + j) & (ok + cover.w + right + rest - j <= len(text))]
-                            out.append(cover.hashes(sums, fits - left - j, fits + cover.w + right + rest - j))
-                    got = np.unique(np.concatenate(out)).view(np.int64)
-                    yield _batch({k: pa.array(np.full(len(got), v), pa.int64()) for k, v in (("id", doc), ("same", same), ("check", check))} | {"key": pa.array(got, pa.int64())})
-
-        return rows.select("id", "same", "check", "keys", "within", "text").mapInArrow(run, "id bigint, same bigint, check bigint, key bigint")
+                        first = (ok[:, None] - left - np.arange(rest + 1)).ravel()
+                        starts.append(first[(first >= 0) & (first + min_chars <= len(text))])
+                    if exact:
+                        lo = np.unique(np.concatenate(starts))
+                        got, second = cover.hashes(sums, lo, lo + min_chars).view(np.int64), cover.checks(code, lo).view(np.int64) if len(lo) else lo
+                    else:
+                        got = np.unique(np.concatenate(near)).view(np.int64)
+                        lo = second = np.zeros(len(got), np.int64)
+                    yield _batch({k: pa.array(np.full(len(got), v), pa.int64()) for k, v in (("id", doc), ("same", same), ("check", check))} | {"key": pa.array(got, pa.int64()), "key2": pa.array(second, pa.int64()), "lo": pa.array(lo, pa.int64())})
+
+        return rows.select("id", "same", "check", "keys", "within", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("id", "same", "check", "key", "key2", "lo")))
 
     members, kinds = _members(windows(keys.withColumn("within", F.lit(None).cast("array<bigint>")).join(used, "id"), False), "refined")
-    pairs = _pairs_within(members, kinds.filter(F.col("n") <= wide))
+    pairs = _pairs_within(members, kinds.filter(F.col("n") <= wide)).select(*_PAIRS)
     still = kinds.filter(F.col("n") > wide).select("key")
     if still.isEmpty():
-        return pairs
+        return Refined(pairs, None, None)
     within = members.join(still, "key").groupBy("id").agg(F.collect_set("key").alias("within"))  # likewise
-    return pairs.unionByName(_pairs_within(*_members(windows(keys.join(within, "id").join(used, "id"), True), "exact")))
+    whole = materialize(windows(keys.join(within, "id").join(used, "id"), True), "whole")
+    members, kinds = _members(whole, "exact")
+    places = whole.join(kinds.select("key", "key2"), ["key", "key2"]).select("same", "check", "lo").distinct()
+    return Refined(pairs, _pairs_within(members, kinds).select(*_CLASSES), places)
 
 
 def common_spans(a: str, b: str, cover: Cover) -> list[tuple[int, int, int]]:
@@ -321,8 +354,20 @@ def common_spans(a: str, b: str, cover: Cover) -> list[tuple[int, int, int]]:
     return out
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, wide: int = WIDE) -> DataFrame:
-    """(same_a, check_a, same_b, check_b, start_a, start_b, chars): every maximal common span of two different texts (classes of equal texts)."""
+_CLASSES = ("same_a", "check_a", "same_b", "check_b")
+
+
+class Shared(NamedTuple):
+    """``spans``: (same_a, check_a, same_b, check_b, start_a, start_b, chars), every maximal common span of two different texts that were compared.
+    ``found`` and ``places`` as in ``Refined``: pairs and places of spans that many texts share, which needed no comparison."""
+
+    spans: DataFrame
+    found: DataFrame | None
+    places: DataFrame | None
+
+
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, wide: int = WIDE) -> Shared:
+    """The common spans of different texts (classes of equal texts)."""
     spark = docs.sparkSession
     ship_package(spark)
     used = _used(docs, id_col, text_col, min_chars)
@@ -330,10 +375,11 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chars = used.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(parallelism(spark), chars * len(cover.d) // cover.v * 8 // BUCKET_BYTES)
     matched = materialize(match_anchors(anchor_index(used, min_chars, buckets, wide), buckets, wide), "anchors")
-    pairs = matched.filter("key IS NULL").select(*_PAIRS)
+    pairs, found, places = matched.filter("key IS NULL").select(*_PAIRS), None, None
     hot = matched.filter("key IS NOT NULL")
     if not hot.isEmpty():
-        pairs = materialize(pairs.unionByName(refine(hot, used, min_chars, wide)).distinct(), "pairs")
+        refined, found, places = refine(hot, used, min_chars, wide)
+        pairs = materialize(pairs.unionByName(refined).distinct(), "pairs")
     needed = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct()
     texts = used.join(needed, "id", "left_semi")
     for x in "ab":
@@ -349,29 +395,32 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield _batch({k: pa.array(c, pa.int64()) for k, c in zip(names, columns, strict=True)})
 
     names = (*_CLASSES, "start_a", "start_b", "chars")
-    return pairs.select(*_CLASSES, "text_a", "text_b").mapInArrow(extend, ", ".join(f"{k} bigint" for k in names))
-
-
-_CLASSES = ("same_a", "check_a", "same_b", "check_b")
+    return Shared(pairs.select(*_CLASSES, "text_a", "text_b").mapInArrow(extend, ", ".join(f"{k} bigint" for k in names)), found, places)
 
 
 def members_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     return _used(docs, id_col, text_col, min_chars).drop("text")
 
 
-def sharing_pairs(spans: DataFrame, members: DataFrame) -> DataFrame:
+def sharing_pairs(shared: Shared, members: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), the smaller id first: texts with a common span, and equal texts."""
     of = lambda x: members.select(F.col("same").alias(f"same_{x}"), F.col("check").alias(f"check_{x}"), F.col("id").alias(x))
-    between = spans.select(*_CLASSES).distinct().join(of("a"), ["same_a", "check_a"]).join(of("b"), ["same_b", "check_b"]).select("a", "b")
+    classes = shared.spans.select(*_CLASSES)
+    if shared.found is not None:
+        classes = classes.unionByName(shared.found)
+    between = classes.distinct().join(of("a"), ["same_a", "check_a"]).join(of("b"), ["same_b", "check_b"]).select("a", "b")
     one = lambda x: members.select("same", "check", F.col("id").alias(x))
     within = one("a").join(one("b"), ["same", "check"]).filter("a < b").select("a", "b")
     return between.unionByName(within).filter("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
-def shared_part(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def shared_part(shared: Shared, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, chars, shared_chars) of every document: how much of it stands elsewhere in spans of ``min_chars``."""
-    side = lambda x: spans.select(F.col(f"same_{x}").alias("same"), F.col(f"check_{x}").alias("check"), F.col(f"start_{x}").alias("lo"), "chars")
-    sides = side("a").unionByName(side("b")).groupBy("same", "check", "lo").agg((F.col("lo") + F.max("chars")).alias("hi"))
+    side = lambda x: shared.spans.select(F.col(f"same_{x}").alias("same"), F.col(f"check_{x}").alias("check"), F.col(f"start_{x}").alias("lo"), "chars")
+    sides = side("a").unionByName(side("b"))
+    if shared.places is not None:
+        sides = sides.unionByName(shared.places.withColumn("chars", F.lit(min_chars).cast("bigint")))
+    sides = sides.groupBy("same", "check", "lo").agg((F.col("lo") + F.max("chars")).alias("hi"))
     before = Window.partitionBy("same", "check").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     covered = sides.withColumn("upto", F.coalesce(F.max("hi").over(before), F.lit(0)))
     covered = covered.groupBy("same", "check").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "upto"))).alias("covered"))
@@ -379,5 +428,5 @@ def shared_part(spans: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     copies = members.groupBy("same", "check").agg(F.count_distinct("id").alias("copies"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("chars"), F.xxhash64(text_col).alias("same"), F.xxhash64(F.lit(CHECK_SEED), text_col).alias("check"))
     joined = texts.join(covered, ["same", "check"], "left").join(copies, ["same", "check"], "left")
-    shared = F.when(F.col("copies") > 1, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0)))
-    return joined.select("doc_id", "chars", F.when(F.col("chars") >= min_chars, shared).otherwise(F.lit(0)).cast("bigint").alias("shared_chars"))
+    part = F.when(F.col("copies") > 1, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0)))
+    return joined.select("doc_id", "chars", F.when(F.col("chars") >= min_chars, part).otherwise(F.lit(0)).cast("bigint").alias("shared_chars"))

@@ -557,10 +557,26 @@ def test_shared_spans(spark, min_chars, wide):
 
 def test_shared_spans_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert shared_spans.shared_spans(df).count() == 0
+    assert shared_spans.shared_spans(df).spans.count() == 0
     assert spark.range(0).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).count() == 0
 
 
+def test_texts_with_a_common_head_are_not_sent_for_each_pair(spark):
+    """Many different texts with one long head: all 3,160 pairs come out, few by comparing texts (what some share beyond the head); every text's part is its head."""
+    rng = random.Random(17)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    head = letters(500)
+    rows = [(i, head + letters(rng.randint(100, 400))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shared = shared_spans.shared_spans(df, wide=8)
+    assert shared.spans.count() < 80
+    assert {tuple(r) for r in shared_spans.sharing_pairs(shared, shared_spans.members_of(df)).collect()} == {(a, b) for a in range(80) for b in range(a + 1, 80)}
+    for r in shared_spans.shared_part(shared, df).collect():
+        t = rows[r["doc_id"]][1]
+        longest = max(next((k for k, (x, y) in enumerate(zip(t, o)) if x != y), min(len(t), len(o))) for i, o in rows if i != r["doc_id"])
+        assert r["shared_chars"] == longest >= 500
+
+
 @pytest.mark.parametrize("period", sorted(shared_spans.COVERS))
 def test_covers(period):
     d = shared_spans.COVERS[period]
@@ -586,5 +602,8 @@ def test_head_just_too_short_makes_no_pairs(spark):
     matched = shared_spans.match_anchors(shared_spans.anchor_index(used, 300, 2, 3), 2, 3)
     hot = matched.filter("key IS NOT NULL")
     assert not hot.isEmpty()
-    got = {tuple(sorted((r["id_a"], r["id_b"]))) for r in shared_spans.refine(hot, used, 300, 3).collect()}
-    assert got == {(50, 51), (50, 52), (51, 52)}
+    pairs, found, places = shared_spans.refine(hot, used, 300, 3)
+    ids = {(r["same"], r["check"]): r["id"] for r in used.collect()}
+    assert {tuple(sorted((r["id_a"], r["id_b"]))) for r in pairs.collect()} <= {(50, 51), (50, 52), (51, 52)}
+    assert {tuple(sorted((ids[r["same_a"], r["check_a"]], ids[r["same_b"], r["check_b"]]))) for r in found.collect()} == {(50, 51), (50, 52), (51, 52)}
+    assert {(ids[r["same"], r["check"]], r["lo"]) for r in places.collect()} == {(i, k) for i in (50, 51, 52) for k in (0, 1)}
