@@ -4,7 +4,7 @@
 |---|---|
 | prepare_data | the stages of ``lodestrata.plans.pipeline`` |
 | train | the summed perceptron: parameters, threshold, metrics |
-| train_baselines | boosted trees and the token model: thresholds and metrics |
+| train_baselines | boosted trees and the sequence models: thresholds and metrics |
 | run_imbalanced, run_ablation, run_cve, run_leakage_check | one table each |
 | predict | a record for every scored function |
 | reproduce | all of these; what fails is recorded in OUT/failures and the rest goes on |
@@ -26,7 +26,10 @@ from lodestrata.operators import artifacts, training
 from lodestrata.plans import models, pipeline
 
 TABLES = {"run_imbalanced": "imbalanced_metrics", "run_ablation": "edge_ablation", "run_cve": "holdout_summary", "run_leakage_check": "leakage_refit", "predict": "predictions"}
-BASELINES = {"metrics": "metrics_classifier_scores", "tokens": "token_classifier_scores"}
+BASELINES = {
+    "metrics": "metrics_classifier_scores", "tokens": "token_classifier_scores", "token_convolution": "token_conv_scores",
+    "recurrent": "recurrent_scores", "recurrent_attention": "recurrent_attention_scores",
+}
 
 
 def _saved(spark: SparkSession, root: str, model: str, scored: DataFrame, parameters=None) -> DataFrame:

@@ -286,6 +286,20 @@ def token_conv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_conv_scores(Corpus(spark, sf_dir))[0]
 
 
+def _recurrent_scores(data: Corpus, attention: bool, settings: training.Settings | None = None) -> tuple[DataFrame, np.ndarray]:
+    return _trained_scores(_token_states(data), CODE_DIM, settings or training.Settings(rate=NETWORK_RATE), networks.MemorySequence(CODE_DIM, attention=attention))
+
+
+def recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained memory cells over a function's tokens in both directions, their mean, scored on val and test."""
+    return _recurrent_scores(Corpus(spark, sf_dir), False)[0]
+
+
+def recurrent_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with attention in place of the mean."""
+    return _recurrent_scores(Corpus(spark, sf_dir), True)[0]
+
+
 def readout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A perceptron summed over the propagated nodes, trained with early stopping on val, scored on val and test."""
     return _readout_scores(Corpus(spark, sf_dir))[0]
@@ -366,7 +380,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     word_vectors, node_features_zero, node_features_mean, code_vectors, message_step_all, graph_vectors, graph_samples, embedding_matrix, conv_probabilities, metrics_classifier_scores, graph_classifier_scores,
-    conv_classifier_scores, readout_scores, token_classifier_scores, token_conv_scores, model_table, edge_ablation, leakage_refit, predictions,
+    conv_classifier_scores, readout_scores, token_classifier_scores, token_conv_scores, recurrent_scores, recurrent_attention_scores, model_table, edge_ablation, leakage_refit, predictions,
 )} | {
     "conv_readout": _conv_readout("nodes"), "conv_readout_features": _conv_readout("features"),
     "message_step": _message_step("sum"), "message_step_mean": _message_step("mean"), "message_step_max": _message_step("max"), "message_step_concat": _message_step("concat"),

@@ -97,7 +97,7 @@ def test_models_score_every_held_out_function(spark, trees_of, monkeypatch):
     data, expected = models.Corpus(spark, DATA), held_out(spark, trees_of[0])
     scored = {
         "metrics": models.metrics_classifier_scores(spark, DATA), "tokens": models.token_classifier_scores(spark, DATA), "graph": models._graph_scores(data),
-        "convolution": models._conv_scores(data, training.Settings(epochs=2))[0], "token_convolution": models._token_conv_scores(data, training.Settings(epochs=2))[0], "readout": models._readout_scores(data, training.Settings(epochs=2))[0],
+        "convolution": models._conv_scores(data, training.Settings(epochs=2))[0], "token_convolution": models._token_conv_scores(data, training.Settings(epochs=2))[0], "readout": models._readout_scores(data, training.Settings(epochs=2))[0], "recurrent": models._recurrent_scores(data, True, training.Settings(epochs=1))[0],
     }
     for name, df in scored.items():
         rows = df.collect()
@@ -376,7 +376,7 @@ def test_states_of_graphs(spark):
         assert got[g]["nodes"] == len(ns) and np.allclose(got[g]["vector"], features.all_states(last, first))
 
 
-@pytest.mark.parametrize("net,dim", [(networks.TokenConvolution(3, 4, (1, 2, 3)), 3), (networks.CompositeReadout(2, 3, 4, 3, 2), 5), (training.SummedPerceptron(3, 4, 0.5), 3)])
+@pytest.mark.parametrize("net,dim", [(networks.TokenConvolution(3, 4, (1, 2, 3)), 3), (networks.CompositeReadout(2, 3, 4, 3, 2), 5), (networks.MemorySequence(2, 3), 2), (networks.MemorySequence(2, 2, 2, True), 2), (training.SummedPerceptron(3, 4, 0.5), 3)])
 def test_gradients_of_networks(net, dim):
     rng = np.random.default_rng(11)
     for n in (1, 2, 3, 4, 7):
@@ -401,7 +401,7 @@ def test_composite_readout_equals_the_relational_one():
         assert np.allclose(net._branch(x, params[:8])[0], np.maximum(z @ params[4] + params[5], 0) @ params[6] + params[7])
 
 
-@pytest.mark.parametrize("net", [networks.TokenConvolution(2, 4, (2, 3)), networks.CompositeReadout(1, 1, 4, 4, 2)])
+@pytest.mark.parametrize("net", [networks.TokenConvolution(2, 4, (2, 3)), networks.CompositeReadout(1, 1, 4, 4, 2), networks.MemorySequence(2, 6, 1, True)])
 def test_networks_learn_an_order(spark, net):
     """Whether a rise or a fall stands somewhere in a row; sums over places can't tell."""
     rng = np.random.default_rng(13)

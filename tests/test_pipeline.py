@@ -64,6 +64,7 @@ def test_verdicts_in_order(spark):
 def test_commands(spark, tmp_path, monkeypatch):
     source = "/root/testdata/sf0.001"
     monkeypatch.setattr(models, "ROUNDS", 3)
+    monkeypatch.setattr(cli, "BASELINES", {k: cli.BASELINES[k] for k in ("metrics", "tokens")})
     assert cli.run(spark, "train_baselines", source, str(tmp_path)) == {}
     root = str(tmp_path / "models")
     assert 0 <= artifacts.load_threshold(spark, root, "tokens") <= 1 and artifacts.load_threshold(spark, root, "tokens", "nowhere") == 0.5
