@@ -86,10 +86,15 @@ def imbalance(df: DataFrame, label_col: str, id_col: str, positive_share: float,
 
 
 def unseen_group_holdout(rows: DataFrame, split_col: str, label_col: str, group_col: str, strata_col: str, id_col: str, per_stratum: int = 56, seed: str = "holdout") -> DataFrame:
-    """Positives of the test split whose group has no row in train, the first ``per_stratum`` of each stratum in hash order."""
+    """Positives of the test split whose group has no row in train, the first ``per_stratum`` of each stratum in hash order.
+
+    Where there is no test split at all, those of val.
+    """
+    held = rows.agg(F.coalesce(F.max(F.when(F.col(split_col) == "test", "test")), F.lit("val")).alias("__held"))  # one row
     named = rows.filter(F.col(group_col).isNotNull() & (stripped(group_col) != ""))
     seen = named.filter(F.col(split_col) == "train").select(group_col).distinct()
-    pool = named.filter((F.col(split_col) == "test") & (F.col(label_col) == 1)).join(seen, group_col, "left_anti")
+    pool = named.filter(F.col(split_col).isin("val", "test") & (F.col(label_col) == 1)).join(F.broadcast(held), F.col(split_col) == F.col("__held")).drop("__held")
+    pool = pool.join(seen, group_col, "left_anti")
     return ranked_in(pool, [strata_col], id_col, seed, "__r").filter(F.col("__r") <= per_stratum).drop("__r")
 
 

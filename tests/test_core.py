@@ -321,6 +321,15 @@ def test_white_space_of_any_kind(spark):
     assert [got[i]["n"] for i in range(len(spaces))] == [f"{s} Na me{s}".strip().lower() for s in spaces] and got[90]["n"] == ""
 
 
+def test_holdout_of_val_where_there_is_no_test(spark):
+    rows = [(1, "val", 1, "a"), (2, "val", 1, "b"), (3, "train", 1, "b"), (4, "val", 0, "c"), (5, "val", 1, " "), (6, "val", 1, None), (7, "val", 1, "d"), (8, "val", 1, "d")]
+    df = spark.createDataFrame(rows, "fn_id bigint, split string, target int, commit_id string").withColumn("project", F.lit("p"))
+    held = lambda d, k: {r["fn_id"] for r in splits.unseen_group_holdout(d, "split", "target", "commit_id", "project", "fn_id", k).collect()}
+    assert held(df, 9) == {1, 7, 8} and len(held(df, 2)) == 2
+    assert held(df.unionByName(spark.createDataFrame([(9, "test", 1, "e", "p")], df.schema)), 9) == {9}
+    assert held(df.limit(0), 9) == set()
+
+
 def test_two_way_splits(spark):
     df = spark.createDataFrame([(i, i % 3 == 0, f"c{i // 4}") for i in range(103)], "fn_id bigint, target boolean, commit_id string").withColumn("target", F.col("target").cast("int"))
     for config in ({"paper_split": True}, {"paper_split": True, "split_by": "commit"}):
