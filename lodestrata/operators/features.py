@@ -167,8 +167,9 @@ def lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def list_column(rows: list[np.ndarray]) -> pa.Array:
+    """A column of lists of 32-bit numbers."""
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.float32) if rows else np.zeros(0, np.float32)))
 
 
 def graph_states(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, weights: dict | None = None, read: Callable = all_states) -> DataFrame:
@@ -199,4 +200,4 @@ def graph_states(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, w
                 vectors.append(read(last, first))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), list_column(vectors)], names=["fn_id", "nodes", "vector"])
 
-    return graphs.mapInArrow(run, "fn_id bigint, nodes int, vector array<double>")
+    return graphs.mapInArrow(run, "fn_id bigint, nodes int, vector array<float>")
