@@ -359,10 +359,10 @@ def leakage_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = materialize(_token_scores(part.withColumn("label", F.col("target")).withColumnRenamed("part", "split")), "scored").filter("split = 'val'").withColumn("g", F.lit(1))
         best = classifier_metrics.best_threshold(scored, ["g"])
         at = classifier_metrics.apply_threshold(scored, best, ["g"]).withColumn("prob", F.col("predicted").cast("double"))
-        own = classifier_metrics.project_metrics(at).filter(F.col("project") == classifier_metrics.COMBINED)
-        own = own.join(classifier_metrics.auc(scored, ["g"]).select("auc")).select(*[F.col(k).alias(f"{k}_{by}") for k in ("accuracy", "f1", "auc")])  # one row each
-        out = own if out is None else out.join(own)
-    return out.select("*", *[F.round(F.col(f"{k}_random") - F.col(f"{k}_commit"), 2).alias(f"{k}_gap") for k in ("accuracy", "f1", "auc")])
+        own = classifier_metrics.project_metrics(at).filter(F.col("project") == classifier_metrics.COMBINED).withColumn("g", F.lit(1))
+        own = own.join(classifier_metrics.auc(scored, ["g"]), "g").select("g", *[F.col(k).alias(f"{k}_{by}") for k in ("accuracy", "f1", "auc")])
+        out = own if out is None else out.join(own, "g")
+    return out.drop("g").select("*", *[F.round(F.col(f"{k}_random") - F.col(f"{k}_commit"), 2).alias(f"{k}_gap") for k in ("accuracy", "f1", "auc")])
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,22 @@ def test_spread_rank_is_row_number(spark):
     assert len(got) == 500
 
 
+def test_spread_sums_are_running_sums(spark):
+    rng = random.Random(19)
+    rows = [(i, rng.choice(["x", None, "y"]), rng.randint(-5, 500) / 4, rng.randint(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, k string, x double, v bigint")
+    cell = ranking.number_cell(F.col("x"), 0, 100, 16)
+    got = ranking.spread_sums(df, ["k"], ["x", "id"], cell, ["v"]).collect()
+    after = {r["id"]: r["next"] for r in ranking.spread_next(df, ["k"], "x", cell).collect()}
+    assert len(got) == len(after) == 400
+    for r in got:
+        own = sorted((x, i, v) for i, k, x, v in rows if k == r["k"])
+        assert r["before_v"] == sum(v for x, i, v in own if (x, i) < (r["x"], r["id"]))
+    for key in ("x", None, "y"):
+        own = sorted((x, i) for i, k, x, _ in rows if k == key)
+        assert sorted((x, after[i]) for x, i in own if after[i] is not None) == sorted(zip([x for x, _ in own], [x for x, _ in own[1:]]))
+
+
 def test_splits_hold_their_invariants(spark):
     rng = random.Random(6)
     rows = [(i, i % 2, f"c{rng.randint(0, 60)}" if rng.random() < 0.8 else rng.choice(["", None]), f"p{i % 3}") for i in range(300)]

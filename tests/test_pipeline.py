@@ -71,6 +71,8 @@ def test_commands(spark, tmp_path, monkeypatch):
     assert {r["split"] for r in spark.read.parquet(f"{root}/tokens/combined/metrics").collect()} <= {"val", "test"}
     with pytest.raises(FileNotFoundError):
         artifacts.load_parameters(spark, root, "tokens")
+    assert cli.run(spark, "train", source, str(tmp_path), {"training": {"epochs": 1}}) == {}
+    assert len(artifacts.load_parameters(spark, root, "readout")) == 400 * 16 + 16 + 16 + 1 and spark.read.parquet(f"{tmp_path}/train").first()["model"] == "readout"
     with pytest.raises(ValueError):
         cli.run(spark, "nothing", source, str(tmp_path))
     monkeypatch.setitem(metrics.QUERIES, "class_weight", lambda *_: 1 / 0)
