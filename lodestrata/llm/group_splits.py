@@ -105,9 +105,11 @@ def deal_ranges(ranges: list[tuple[int, int, int]], shares: list[tuple[str, int]
 def assign_splits(df: DataFrame, groups: DataFrame, targets: DataFrame, id_col: str = "fn_id", label_col: str = "target") -> DataFrame:
     """(id, group_key, split, label) for every row; records without entity have the key 'fn:<id>'.
 
-    Raises an error where ``targets`` has no split or more than ``MAX_SPLITS``.
+    A split given twice has its larger share, a null share is none, a null split is left out. Raises an error where
+    ``targets`` has no split or more than ``MAX_SPLITS``.
     """
-    shares = sorted((r["split"], r["share_permille"]) for r in targets.select("split", "share_permille").limit(MAX_SPLITS + 1).collect())
+    one = targets.filter(F.col("split").isNotNull()).groupBy("split").agg(F.coalesce(F.max("share_permille"), F.lit(0)).alias("share"))
+    shares = sorted((r["split"], r["share"]) for r in one.limit(MAX_SPLITS + 1).collect())
     if not 0 < len(shares) <= MAX_SPLITS:
         raise ValueError(f"1 to {MAX_SPLITS} splits, not {len(shares)} or more")
     keyed = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).join(groups, "id", "left")

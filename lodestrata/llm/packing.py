@@ -11,7 +11,8 @@ search, without any item passing through the driver or gathering in one task.
 Defined results: rows of one id are one item (the largest length counts); null, zero or negative lengths, null ids ->
 no item; an item is split only if it is longer than one container may hold, into full pieces and a rest. Only items
 with a label bear loss; one that bears more than ``max_loss`` by itself isn't split for that but is the only one in its
-container that bears loss. Ties between classes: the longer one, then the one that bears loss. An empty table gives no containers.
+container that bears loss. Ties between classes: the longer one, then the one that bears loss. Budgets without a name or a positive
+capacity are none, one given twice has its smaller capacity. An empty table gives no containers.
 """
 
 from __future__ import annotations
@@ -111,7 +112,8 @@ def pack(items: DataFrame, budgets: DataFrame, max_segments: int | None = None,
     """
     spark = items.sparkSession
     ship_package(spark)
-    rows = budgets.filter(F.col("max_nodes") > 0).select("budget_name", F.col("max_nodes").cast("bigint")).distinct().limit(MAX_BUDGETS + 1).collect()
+    named = budgets.filter(F.col("budget_name").isNotNull() & (F.col("max_nodes") > 0)).groupBy("budget_name").agg(F.min("max_nodes").cast("bigint").alias("max_nodes"))
+    rows = named.limit(MAX_BUDGETS + 1).collect()
     if len(rows) > MAX_BUDGETS or any(r[1] > MAX_CAPACITY for r in rows):
         raise ValueError(f"at most {MAX_BUDGETS} budgets of at most {MAX_CAPACITY}")
     limits = {r[0]: (r[1], max_segments or r[1], max_loss or (max(1, r[1] * loss_permille // 1000) if loss_permille else r[1])) for r in rows}
@@ -167,7 +169,8 @@ def fill_report(placed: DataFrame, budgets: DataFrame) -> DataFrame:
     one = placed.groupBy("budget_name", "container_id").agg(F.count(F.lit(1)).alias("items"), F.sum("nodes").alias("nodes"))
     total = one.groupBy("budget_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("nodes").alias("nodes"))
     room = F.col("containers") * F.col("max_nodes")
-    return total.join(budgets.select("budget_name", "max_nodes"), "budget_name").select("budget_name", "containers", "items", "nodes", ((room - F.col("nodes")) * 1000 / room).alias("unused_permille"))
+    caps = budgets.groupBy("budget_name").agg(F.min(F.when(F.col("max_nodes") > 0, F.col("max_nodes"))).alias("max_nodes"))
+    return total.join(caps, "budget_name").select("budget_name", "containers", "items", "nodes", ((room - F.col("nodes")) * 1000 / room).alias("unused_permille"))
 
 
 def limit_report(placed: DataFrame, items: DataFrame) -> DataFrame:

@@ -124,6 +124,14 @@ def test_patterns_follow_the_dot_product():
             left -= times * np.bincount(list(own.elements()), minlength=len(classes))
 
 
+def test_odd_budgets(spark):
+    graphs = spark.createDataFrame([(1, 70, 1), (2, 5, None)], "fn_id bigint, num_nodes int, label int")
+    budgets = spark.createDataFrame([("s", 64), ("s", 64), ("s", 128), (None, 64), ("none", 0), ("null", None)], "budget_name string, max_nodes int")
+    placed = packing.pack(packing.items_of(graphs, "fn_id", "num_nodes", "label"), budgets)
+    assert sorted((r["budget_name"], r["id"], r["nodes"]) for r in placed.collect()) == [("s", 1, 6), ("s", 1, 64), ("s", 2, 5)]
+    assert [(r["budget_name"], r["nodes"], r["containers"]) for r in packing.fill_report(placed, budgets).collect()] == [("s", 75, 2)]
+
+
 def test_packing_empty(spark):
     graphs = spark.createDataFrame([], "fn_id bigint, num_nodes int, label int")
     budgets = spark.createDataFrame([("s", 64)], "budget_name string, max_nodes int")
@@ -354,6 +362,16 @@ def test_group_splits(spark):
     assert group_splits.assign_splits(empty, group_splits.entity_groups(group_splits.named_commits(empty)), targets).count() == 0
 
 
+def test_odd_split_targets(spark):
+    df = spark.createDataFrame([(i, None, i % 2) for i in range(200)], "fn_id bigint, commit_id string, target int")
+    groups = group_splits.entity_groups(group_splits.named_commits(df))
+    schema = "split string, share_permille int"
+    targets = spark.createDataFrame([("a", 750), ("a", 100), ("b", 250), ("c", None), (None, 900), ("d", 0)], schema)
+    assert Counter(r["split"] for r in group_splits.assign_splits(df, groups, targets).collect()) == {"a": 150, "b": 50}
+    with pytest.raises(ValueError):
+        group_splits.assign_splits(df, groups, spark.createDataFrame([], schema))
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = list(range(n))
