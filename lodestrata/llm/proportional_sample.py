@@ -70,9 +70,11 @@ def plan_sample(rows: DataFrame, targets: DataFrame, one_in: int = 10, seed: str
     """The usable rows of the wanted categories with their ranks (fn_id, project, target, rank), the report per category, and the sample's size.
 
     Report: (project, target, share_permille, min_rows, usable, needed, seats, met). A category's usable rows are its largest rank.
+    Of a category given twice the larger share and minimum hold, null ones are zero; rows without project or target are no category.
     """
     spark = rows.sparkSession
-    wanted = targets.select("project", "target", "share_permille", "min_rows").limit(MAX_CATEGORIES + 1)
+    named = targets.filter(F.col("project").isNotNull() & F.col("target").isNotNull()).groupBy("project", "target")
+    wanted = named.agg(*[F.coalesce(F.max(F.greatest(c, F.lit(0))), F.lit(0)).cast("int").alias(c) for c in ("share_permille", "min_rows")]).limit(MAX_CATEGORIES + 1)
     if wanted.count() > MAX_CATEGORIES:
         raise ValueError(f"more than {MAX_CATEGORIES} categories")
     usable = rows.filter(F.col("func").rlike(r"(?U)\S") & F.col("target").isNotNull()).select("fn_id", clean_project(F.col("project")).alias("project"), "target")

@@ -169,6 +169,10 @@ def test_sample_nulls_and_empty(spark):
     drawn = proportional_sample.draw(usable, report).collect()
     assert len(drawn) == total == sum(r["seats"] for r in by.values())
     assert len({r["fn_id"] for r in drawn}) == total and all(rows[r["fn_id"]][1] in ("x", "y") for r in drawn)
+    again = targets.unionByName(targets).unionByName(spark.createDataFrame([("a", 0, 100, None), (None, 0, 500, 1), ("a", None, 5, 5), ("d", 1, None, None)], targets.schema))
+    _, more, _ = proportional_sample.plan_sample(spark.createDataFrame(rows, schema), again)
+    got = {(r["project"], r["target"]): r for r in more.collect()}
+    assert {k: r for k, r in got.items() if k != ("d", 1)} == by and got["d", 1]["met"] and got["d", 1]["seats"] == 0
     odd = spark.createDataFrame([(None, "x", 0, "a", 0, 0)] * 20 + [(7, "x", 0, "a", 0, 0)] * 20, schema)
     usable, report, total = proportional_sample.plan_sample(odd, targets)
     assert total == 4 and proportional_sample.draw(usable, report).count() == 4
