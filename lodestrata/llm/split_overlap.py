@@ -336,11 +336,18 @@ def overlaps(df: DataFrame, id_col: str = "fn_id", text_col: str = "func", split
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+
+        def read(text: str) -> tuple[np.ndarray, list[int]]:
+            words = hashes(words_of(text, FOLDED))
+            return words, canonical(np.unique(gram_hashes(words, SEGMENT)), sent.value).tolist()
+
         for batch in batches:
-            rows = []
+            rows, known = [], {}  # a text of the batch is read once, whatever its pairs
             for *ids, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ha, hb = hashes(words_of(ta, FOLDED)), hashes(words_of(tb, FOLDED))
-                a, b = (canonical(np.unique(gram_hashes(h, SEGMENT)), sent.value).tolist() for h in (ha, hb))
+                for text in (ta, tb):
+                    if text not in known:
+                        known[text] = read(text)
+                (ha, a), (hb, b) = known[ta], known[tb]
                 d = banded_indels(a, b, (len(a) + len(b)) * (1000 - min_permille) // (1000 + min_permille))
                 if d is not None:
                     edits = banded_distance(ha, hb, d + abs(len(ha) - len(hb))) if aligned else None
