@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.trees import EDGE_TYPES
-from lodestrata.session import ship_package
+from lodestrata.session import materialize, parallelism, ship_package
 
 
 def word_vectors(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int = 3, epochs: int = 10, seed: int = 1) -> DataFrame:
@@ -130,20 +131,36 @@ def random_weights(dim: int, kinds: list[str] = EDGE_TYPES, seed: int = 7) -> di
 
 
 def propagate(h: np.ndarray, edges: np.ndarray, weights: dict, steps: int) -> np.ndarray:
-    """States after ``steps`` gated updates (G11); ``edges`` are rows (type, source, target)."""
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    by_type = [(k, own[:, 1], own[:, 2]) for k in range(len(weights["kinds"])) if len(own := edges[edges[:, 0] == k])]
+    """States after ``steps`` gated updates (G11), in the precision of ``h``; ``edges`` are rows (type, source, target)."""
+    dim = h.shape[1]
+    w, b, into, rec, bias = (weights[k].astype(h.dtype, copy=False) for k in ("w", "b", "in", "rec", "bias"))
+    into, rec_gates, rec_new, bias = into.reshape(3 * dim, dim).T, rec[:2].reshape(2 * dim, dim).T, rec[2].T, bias.ravel()
+    by_type = []
+    for k in range(len(weights["kinds"])):
+        own = edges[edges[:, 0] == k]
+        if len(own):
+            own = own[np.argsort(own[:, 2], kind="stable")]
+            to, starts, n = np.unique(own[:, 2], return_index=True, return_counts=True)
+            by_type.append((w[k].T, n[:, None].astype(h.dtype) * b[k], own[:, 1], to, starts if len(to) < len(own) else None))
     for _ in range(steps):
         m = np.zeros_like(h)
-        for k, source, target in by_type:
+        for to_message, constant, source, to, starts in by_type:
             # messages are linear, so what goes to one node is added up before the product
-            to, at, n = np.unique(target, return_inverse=True, return_counts=True)
-            sums = np.zeros((len(to), h.shape[1]))
-            np.add.at(sums, at, h[source])
-            m[to] += sums @ weights["w"][k].T + n[:, None] * weights["b"][k]
-        reset, update = (sigmoid(m @ weights["in"][i].T + h @ weights["rec"][i].T + weights["bias"][i]) for i in (0, 1))
-        new = np.tanh(m @ weights["in"][2].T + reset * (h @ weights["rec"][2].T) + weights["bias"][2])
-        h = (1 - update) * new + update * h
+            sums = h[source] if starts is None else np.add.reduceat(h[source], starts, axis=0)
+            m[to] += sums @ to_message + constant
+        g = m @ into + bias
+        gates = g[:, : 2 * dim]
+        gates += h @ rec_gates
+        # the logistic function by way of tanh
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        new = h @ rec_new
+        new *= gates[:, :dim]
+        new += g[:, 2 * dim :]
+        np.tanh(new, out=new)
+        h = new + gates[:, dim:] * (h - new)
     return h
 
 
@@ -155,7 +172,7 @@ def all_states(last: np.ndarray, first: np.ndarray) -> np.ndarray:
 def pooled_states(last: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum and maximum over the nodes."""
     both = np.concatenate([last, first], axis=1)
-    return np.concatenate([both.sum(axis=0), both.max(axis=0)])
+    return np.concatenate([both.sum(axis=0, dtype=np.float64), both.max(axis=0)])
 
 
 def lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -201,3 +218,122 @@ def graph_states(state: DataFrame, edges: DataFrame, dim: int, steps: int = 6, w
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), list_column(vectors)], names=["fn_id", "nodes", "vector"])
 
     return graphs.mapInArrow(run, "fn_id bigint, nodes int, vector array<float>")
+
+
+#: Functions of one pack, and the most nodes whose states are made at once.
+PACK, AT_ONCE = 64, 4096
+_PACKED = "pack int, fn_id array<bigint>, nodes array<int>, token array<int>, type array<int>, k array<int>, src array<int>, dst array<int>, vectors array<float>, types array<float>"
+
+
+def _numbers(names: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each name among the known ones; -1 for others."""
+    return pc.fill_null(pc.index_in(names, value_set=known, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+def flat_lists(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All items of a column of lists, and the rows' lengths."""
+    column = column.combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pack(left: pa.Table, right: pa.Table) -> pa.Table:
+    left = left.sort_by("fn_id")
+    nodes, sizes = flat_lists(left["node_id"])
+    nodes = nodes.to_numpy(zero_copy_only=False).astype(np.int64)
+    where = np.repeat(np.arange(len(sizes)) << 32, sizes) + nodes + (1 << 31)  # ascending: nodes are in order inside their function
+    k, counts = flat_lists(left["k"])
+    graph = np.repeat(np.arange(len(counts)) << 32, counts) + (1 << 31)
+    ends = []
+    for c in ("src", "dst"):
+        wanted = graph + flat_lists(left[c])[0].to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(where, wanted), len(where) - 1)
+        ends.append((at, where[at] == wanted))
+    inside = ends[0][1] & ends[1][1]
+    (src, _), (dst, _) = ends
+    order = np.flatnonzero(inside)
+    order = order[np.argsort(src[order], kind="stable")]
+    is_type = right["is_type"].combine_chunks()
+    parts = {}
+    for name, own in (("token", right.filter(pc.invert(is_type))), ("type", right.filter(is_type))):
+        own = own.sort_by("term")
+        known = pa.array(own["term"].to_pylist(), pa.string())
+        parts[name] = _numbers(flat_lists(left[name])[0], known), flat_lists(own["vector"])[0].to_numpy(zero_copy_only=False)
+    row = [left["pack"][0].as_py(), left["fn_id"].to_pylist(), sizes, parts["token"][0], parts["type"][0], k.to_numpy(zero_copy_only=False)[order], src[order], dst[order], parts["token"][1], parts["type"][1]]
+    kinds = [pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 6, *[pa.list_(pa.float32())] * 2]
+    return pa.table([pa.array([x.astype(np.int32) if isinstance(x, np.ndarray) and x.dtype.kind == "i" else x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+
+def packed(functions: DataFrame, terms: list[tuple[str, DataFrame]], pack: Callable[[pa.Table, pa.Table], pa.Table], schema: str, by: list[str] | None = None) -> DataFrame:
+    """Functions by ``PACK``, each pack with the vectors of the terms that it holds, so that no vector is sent or kept for each place it stands at.
+
+    ``functions`` must be a written table, with a column of lists of terms for each of ``terms``: the column's name and (term, vector
+    array<float>). ``pack`` gets a pack's functions and its (of_pack, is_type, term, vector), ``is_type`` marking all but the first list. Packs don't mix values of ``by``.
+    """
+    spark = functions.sparkSession
+    ship_package(spark)
+    tasks = max(parallelism(spark), 6 * spark.sparkContext.defaultParallelism)
+    keys = [*(by or []), "pack"]
+    rows = functions.withColumn("pack", F.pmod(F.xxhash64("fn_id"), F.lit(max(1, -(-functions.count() // PACK)))).cast("int"))
+    held = None
+    for i, (name, vectors) in enumerate(terms):
+        distinct = rows.select(*keys, F.explode(F.array_distinct(name)).alias("term")).distinct()
+        own = distinct.join(vectors, "term").select(*keys, F.lit(i > 0).alias("is_type"), "term", "vector")
+        held = own if held is None else held.unionByName(own)
+    of = [f"of_{k}" for k in keys]
+    held = held.select(*[F.col(k).alias(o) for k, o in zip(keys, of, strict=True)], "is_type", "term", "vector")
+    both = rows.repartition(tasks, *keys).groupBy(*keys).cogroup(held.repartition(tasks, *of).groupBy(*of))
+    return both.applyInArrow(pack, schema)
+
+
+def packed_graphs(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, types: DataFrame) -> DataFrame:
+    """Packs of whole, size-limited graphs: their nodes in order with the numbers of their token and type among the pack's vectors
+    (-1 for unknown ones), distinct edges inside them by type's number and places, and the vectors.
+
+    ``vectors`` is (token, vector), ``types`` (type, vector).
+    """
+    number = F.array_position(F.array(*[F.lit(k) for k in EDGE_TYPES]), F.col("etype")) - 1
+    slim = nodes.select("fn_id", F.struct("node_id", F.when(F.col("is_leaf"), F.col("code")).alias("token"), "type").alias("n"))
+    s = slim.groupBy("fn_id").agg(F.array_sort(F.collect_list("n")).alias("s"))
+    e = edges.filter(F.col("etype").isin(EDGE_TYPES)).groupBy("fn_id").agg(F.collect_set(F.struct(number.cast("int").alias("k"), "src", "dst")).alias("e"))
+    lists_ = [F.coalesce(F.col(f"e.{c}"), F.array().cast("array<int>")).alias(c) for c in ("k", "src", "dst")]
+    graphs = s.join(e, "fn_id", "left").select(F.col("fn_id").cast("bigint"), "s.node_id", "s.token", "s.type", *lists_)
+    terms = [(name, df.select(F.col(name).alias("term"), F.col("vector").cast("array<float>"))) for name, df in (("token", vectors), ("type", types))]
+    return packed(materialize(graphs, "graphs"), terms, _pack, _PACKED)
+
+
+def rows_of(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Rows of ``table`` by number, zeros for -1."""
+    out = np.zeros((len(numbers), table.shape[1]), table.dtype)
+    known = numbers >= 0
+    out[known] = table[numbers[known]]
+    return out
+
+
+def packed_states(packs: DataFrame, code_dim: int, type_dim: int, weights: dict, steps: int = 6, read: Callable = all_states) -> DataFrame:
+    """(fn_id, nodes, vector) as of ``graph_states``, of ``packed_graphs``, in 32 bits; only edges of the weights' ``kinds`` count."""
+    spark = packs.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(weights)
+    numbers = np.full(len(EDGE_TYPES), -1)
+    numbers[[EDGE_TYPES.index(k) for k in weights["kinds"]]] = range(len(weights["kinds"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = {k: v if k == "kinds" else v.astype(np.float32) for k, v in sent.value.items()}
+        for batch in batches:
+            for row in zip(batch.column("fn_id").to_pylist(), *(lists(batch.column(c)) for c in ("nodes", "token", "type", "k", "src", "dst", "vectors", "types")), strict=True):
+                fn, sizes, token, kind, k, src, dst, vectors, types = row
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                edges = np.stack([numbers[k], src, dst], axis=1)[numbers[k] >= 0]
+                out, i = [], 0
+                while i < len(sizes):
+                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + AT_ONCE, "right")) - 1)
+                    a, z = bounds[i], bounds[j]
+                    first = np.concatenate([rows_of(vectors.reshape(-1, code_dim), token[a:z]), rows_of(types.reshape(-1, type_dim), kind[a:z])], axis=1)
+                    own = edges[slice(*np.searchsorted(edges[:, 1], [a, z]))] - [0, a, a]
+                    last = propagate(first, own, w, steps)
+                    out += [read(last[p:q], first[p:q]) for p, q in zip(bounds[i:j] - a, bounds[i + 1 : j + 1] - a, strict=True)]
+                    i = j
+                yield pa.RecordBatch.from_arrays([pa.array(fn, pa.int64()), pa.array(sizes, pa.int32()), list_column(out)], names=["fn_id", "nodes", "vector"])
+
+    return packs.mapInArrow(run, "fn_id bigint, nodes int, vector array<float>")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -125,19 +125,23 @@ def message_step_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Corpus:
-    """What the graph models share: size-limited trees, trained token vectors, first states and edges, each written once."""
+    """What the graph and sequence models share: size-limited trees, trained token vectors, packs of graphs, each written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.nodes = _nodes(spark, sf_dir)
-        self.vectors = materialize(features.word_vectors(trees.leaf_tokens(self.nodes), CODE_DIM), "vectors")
-        self.first = materialize(_initial(self.nodes, self.vectors, CODE_DIM, TYPE_DIM), "first")
-        self.edges = materialize(trees.all_edges(self.nodes), "edges")
+        self.vectors = materialize(features.word_vectors(trees.leaf_tokens(self.nodes), CODE_DIM).withColumn("vector", F.col("vector").cast("array<float>")), "vectors")
+
+    @cached_property
+    def packs(self) -> DataFrame:
+        """The graphs with their token vectors and type embeddings; models of sequences don't ask for them."""
+        kinds = materialize(trees.vocabulary(self.nodes, "type", ["fn_id", "node_id"], 1, "type_id").withColumnRenamed("term", "type"), "types")
+        types = kinds.join(features.type_embedding(kinds, TYPE_DIM), "type_id").select("type", F.col("embedding").alias("vector"))
+        return materialize(features.packed_graphs(self.nodes, trees.all_edges(self.nodes), self.vectors, types), "packs")
 
     def states(self, read: Callable, kinds: list[str] | None = None) -> DataFrame:
         """(fn_id, nodes, vector) after six gated updates along edges of ``kinds`` (all by default)."""
-        weights = features.random_weights(CODE_DIM + TYPE_DIM, kinds or trees.EDGE_TYPES)
-        return features.graph_states(self.first, self.edges, CODE_DIM + TYPE_DIM, weights=weights, read=read)
+        return features.packed_states(self.packs, CODE_DIM, TYPE_DIM, features.random_weights(CODE_DIM + TYPE_DIM, kinds or trees.EDGE_TYPES), read=read)
 
     def labelled(self, read: Callable, kinds: list[str] | None = None) -> DataFrame:
         """(fn_id, vector, label, split, project) of the functions with a label and a split."""

@@ -553,3 +553,14 @@ def test_convolution_reads_null_vectors_as_zeros(spark):
     for f in (readout.conv_over_nodes, readout.conv_over_features):
         got = {r["fn_id"]: r["z"] for r in f(spark.createDataFrame(rows, "fn_id long, node_id int, v array<double>"), 3, w | ({"first": w["first"][:, :3]} if f is readout.conv_over_features else {})).collect()}
         assert got[1] == got[2]
+
+
+def test_packed_states_are_those_of_graphs(spark):
+    data = models.Corpus(spark, DATA)
+    first = models._initial(data.nodes, data.vectors.withColumn("vector", F.col("vector").cast("array<double>")), models.CODE_DIM, models.TYPE_DIM)
+    for kinds in (trees.EDGE_TYPES, ["DFG_C"]):
+        w = features.random_weights(models.CODE_DIM + models.TYPE_DIM, kinds)
+        expected = {r["fn_id"]: r for r in features.graph_states(first, trees.all_edges(data.nodes), models.CODE_DIM + models.TYPE_DIM, weights=w).collect()}
+        got = {r["fn_id"]: r for r in data.states(features.all_states, kinds).collect()}
+        assert set(got) == set(expected)
+        assert all(got[k]["nodes"] == expected[k]["nodes"] and np.allclose(got[k]["vector"], expected[k]["vector"], atol=1e-4) for k in got)
