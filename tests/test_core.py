@@ -555,6 +555,38 @@ def test_convolution_reads_null_vectors_as_zeros(spark):
         assert got[1] == got[2]
 
 
+@pytest.mark.parametrize("net", [networks.TokenConvolution(3, 5, (1, 3, 4))])
+def test_batches_of_records_are_sums_over_them(net):
+    rng = np.random.default_rng(21)
+    params = net.unpack(rng.normal(0, 0.5, sum(int(np.prod(s)) for s in net.shapes)))
+    sizes, table = rng.integers(1, 9, 150), rng.normal(0, 1, (20, 3))
+    numbers, labels = rng.integers(-1, 20, sizes.sum()), rng.integers(0, 2, 150)
+    records = networks.Records(table, sizes, numbers)
+    loss, g = net.gradients(records, labels, params, 2.0)
+    own = [net.gradient(records[i], labels[i], params, 2.0) for i in range(150)]
+    assert loss == pytest.approx(sum(x for x, _ in own)) and np.allclose(g, sum(x for _, x in own))
+    assert np.allclose(net.logits(records, params), [net.logit(records[i], params) for i in range(150)])
+    assert np.array_equal(records[3], [table[k] if k >= 0 else np.zeros(3) for k in numbers[records.bounds[3] : records.bounds[4]]])
+
+
+def test_packs_hold_each_vector_once(spark, trees_of):
+    """Sequences are the leaves' vectors in source order, though no vector is kept twice in a pack."""
+    data = models.Corpus(spark, DATA)
+    vectors = {r["token"]: np.float32(r["vector"]) for r in data.vectors.collect()}
+    leaves = {r["fn_id"]: r["tokens"] for r in trees.leaf_tokens(data.nodes).collect()}
+    packs, seen = models._token_packs(data, 40).collect(), set()
+    for p in packs:
+        table, at = np.float32(p["vectors"]).reshape(-1, models.CODE_DIM), 0
+        assert len(np.unique(table, axis=0)) == len(table) < len(p["token"])
+        for fn, n in zip(p["fn_id"], p["sizes"], strict=True):
+            expected = [vectors.get(t, np.zeros(models.CODE_DIM)) for t in leaves[fn][:40]]
+            assert np.array_equal(networks.rows_of(table, np.array(p["token"][at : at + n])), expected)
+            seen.add(fn)
+            at += n
+    labelled = {r["fn_id"] for r in spark.read.parquet(f"{DATA}/raw_functions.parquet").filter("target IS NOT NULL AND split IS NOT NULL").collect()}
+    assert seen == labelled & set(leaves) and sum(len(p["fn_id"]) for p in packs) == len(seen)
+
+
 def test_packed_states_are_those_of_graphs(spark):
     data = models.Corpus(spark, DATA)
     first = models._initial(data.nodes, data.vectors.withColumn("vector", F.col("vector").cast("array<double>")), models.CODE_DIM, models.TYPE_DIM)
