@@ -555,7 +555,7 @@ def test_convolution_reads_null_vectors_as_zeros(spark):
         assert got[1] == got[2]
 
 
-@pytest.mark.parametrize("net", [networks.TokenConvolution(3, 5, (1, 3, 4))])
+@pytest.mark.parametrize("net", [networks.TokenConvolution(3, 5, (1, 3, 4)), networks.MemorySequence(3, 4), networks.MemorySequence(3, 3, 2, True)])
 def test_batches_of_records_are_sums_over_them(net):
     rng = np.random.default_rng(21)
     params = net.unpack(rng.normal(0, 0.5, sum(int(np.prod(s)) for s in net.shapes)))
