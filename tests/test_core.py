@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestrata import registry
+from lodestrata import registry, session
 from lodestrata.functions import patterns, texts
 from lodestrata.operators import classifier_metrics, features, networks, ranking, readout, splits, training, trees
 from lodestrata.plans import corpus, graphs, models
@@ -596,3 +596,12 @@ def test_packed_states_are_those_of_graphs(spark):
         got = {r["fn_id"]: r for r in data.states(features.all_states, kinds).collect()}
         assert set(got) == set(expected)
         assert all(got[k]["nodes"] == expected[k]["nodes"] and np.allclose(got[k]["vector"], expected[k]["vector"], atol=1e-4) for k in got)
+
+
+def test_models_leave_no_copies_of_states(spark):
+    """Training reads the written states; an ablation's vectors go when its scores are written."""
+    data, spark_dir = models.Corpus(spark, DATA), session.work_dir(spark).removeprefix("file://")
+    before = set(os.listdir(spark_dir))
+    models._readout_scores(data, training.Settings(epochs=1))[0].collect()
+    added = {n.split("-")[1] for n in set(os.listdir(spark_dir)) - before}
+    assert "states" in added and not added & {"train", "val"}
