@@ -303,6 +303,17 @@ def packed_graphs(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, types:
     return packed(materialize(graphs, "graphs"), terms, _pack, _PACKED)
 
 
+def apart(targets: np.ndarray, token: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes whose states must be made, and the place of each node's state among theirs: nodes that no edge reaches differ by token and type alone."""
+    reached = np.zeros(len(token), bool)
+    reached[targets] = True
+    active, idle = np.flatnonzero(reached), np.flatnonzero(~reached)
+    _, at, same = np.unique((token[idle].astype(np.int64) << 32) + kind[idle], return_index=True, return_inverse=True)
+    place = np.empty(len(token), np.int64)
+    place[active], place[idle] = np.arange(len(active)), len(active) + same
+    return np.concatenate([active, idle[at]]), place
+
+
 def packed_states(packs: DataFrame, code_dim: int, type_dim: int, weights: dict, steps: int = 6, read: Callable = all_states) -> DataFrame:
     """(fn_id, nodes, vector) as of ``graph_states``, of ``packed_graphs``, in 32 bits; only edges of the weights' ``kinds`` count."""
     spark = packs.sparkSession
@@ -324,7 +335,8 @@ def packed_states(packs: DataFrame, code_dim: int, type_dim: int, weights: dict,
                     a, z = bounds[i], bounds[j]
                     first = np.concatenate([rows_of(vectors.reshape(-1, code_dim), token[a:z]), rows_of(types.reshape(-1, type_dim), kind[a:z])], axis=1)
                     own = edges[slice(*np.searchsorted(edges[:, 1], [a, z]))] - [0, a, a]
-                    last = propagate(first, own, w, steps)
+                    kept, place = apart(own[:, 2], token[a:z], kind[a:z])
+                    last = propagate(first[kept], np.stack([own[:, 0], place[own[:, 1]], place[own[:, 2]]], axis=1), w, steps)[place]
                     out += [read(last[p:q], first[p:q]) for p, q in zip(bounds[i:j] - a, bounds[i + 1 : j + 1] - a, strict=True)]
                     i = j
                 yield pa.RecordBatch.from_arrays([pa.array(fn, pa.int64()), pa.array(sizes, pa.int32()), list_column(out)], names=["fn_id", "nodes", "vector"])

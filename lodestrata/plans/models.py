@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.texts import name_of, sigmoid
 from lodestrata.operators import artifacts, classifier_metrics, features, networks, readout, splits, training, trees
 from lodestrata.plans import corpus, graphs
-from lodestrata.session import materialize, table, work_dir
+from lodestrata.session import materialize, scratch, table, work_dir
 
 #: Numbers of a token's vector and of a type's embedding, as trained.
 CODE_DIM, TYPE_DIM = 100, 100
@@ -353,7 +354,16 @@ def edge_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test metrics of the graph classifier with each single edge type and with all seven."""
     data = Corpus(spark, sf_dir)
     kinds = {k: [k] for k in trees.EDGE_TYPES if k != "REV_AST"} | {"all": trees.EDGE_TYPES}
-    out = reduce(DataFrame.unionByName, [_measured(_graph_scores(data, own), name) for name, own in kinds.items()])
+
+    def one(name: str) -> DataFrame:
+        with scratch(spark):  # a model's vectors go when its scores are written
+            scored = materialize(_graph_scores(data, kinds[name]), "scored", keep=True)
+        return _measured(scored, name)
+
+    data.packs  # noqa: B018  # written before the models ask for it
+    with ThreadPoolExecutor(3) as pool:  # the small jobs of one model's fit run beside the states of the next
+        parts = list(pool.map(one, kinds))
+    out = reduce(DataFrame.unionByName, parts)
     return out.filter((F.col("project") == classifier_metrics.COMBINED) & (F.col("split") == "test")).withColumnRenamed("model", "edges").drop("project", "split")
 
 

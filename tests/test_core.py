@@ -598,6 +598,16 @@ def test_packed_states_are_those_of_graphs(spark):
         assert all(got[k]["nodes"] == expected[k]["nodes"] and np.allclose(got[k]["vector"], expected[k]["vector"], atol=1e-4) for k in got)
 
 
+def test_unreached_nodes_share_their_states():
+    rng = np.random.default_rng(31)
+    token, kind, edges = np.array([1, -1, 1, 1, 2, -1, 1]), np.array([0, 0, 0, 1, 0, 0, 0]), np.array([[0, 2, 6], [0, 0, 6], [1, 5, 3]])
+    kept, place = features.apart(edges[:, 2], token, kind)
+    assert sorted(kept.tolist()) == [0, 1, 3, 4, 6] and place[0] == place[2] and place[1] == place[5] and place[6] not in place[:6]
+    first, w = rng.normal(0, 1, (3, 4))[token] * (1 + kind[:, None]), features.random_weights(4, ["AST", "CFG"])
+    less = features.propagate(first[kept], np.stack([edges[:, 0], place[edges[:, 1]], place[edges[:, 2]]], axis=1), w, 3)
+    assert np.allclose(less[place], features.propagate(first, edges, w, 3))
+
+
 def test_models_leave_no_copies_of_states(spark):
     """Training reads the written states; an ablation's vectors go when its scores are written."""
     data, spark_dir = models.Corpus(spark, DATA), session.work_dir(spark).removeprefix("file://")
@@ -605,3 +615,6 @@ def test_models_leave_no_copies_of_states(spark):
     models._readout_scores(data, training.Settings(epochs=1))[0].collect()
     added = {n.split("-")[1] for n in set(os.listdir(spark_dir)) - before}
     assert "states" in added and not added & {"train", "val"}
+    before = set(os.listdir(spark_dir))
+    assert models.edge_ablation(spark, DATA).count() == 7
+    assert not {n.split("-")[1] for n in set(os.listdir(spark_dir)) - before} & {"states", "training"}
