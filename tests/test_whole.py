@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.ml.feature import Word2Vec
 
-from lodestrata.operators import trees
+from lodestrata import session
+from lodestrata.operators import classifier_metrics, features, networks, training, trees
 from lodestrata.plans import graphs, metrics, models
 
 DATA = "/root/testdata/sf0.001"
@@ -59,3 +64,53 @@ def test_result_cells_hold_every_project(spark, tmp_path):
     own = [(y, x >= 0.5) for _, p, y, x, s in rows if s == "test" and p == "project3"]
     tp, wrong = sum(y == 1 and hit for y, hit in own), sum((y == 1) != hit for y, hit in own)
     assert got["test", "project3"] == f"{100 * (len(own) - wrong) / len(own):.2f}/{200 * tp / (2 * tp + wrong):.2f}"
+
+
+def test_model_table_makes_states_once(spark, monkeypatch):
+    """All three graph models read one table of states, and none of the intermediate tables stays behind."""
+    made, states, trained = [], features.packed_states, models._trained_scores
+    monkeypatch.setattr(features, "packed_states", lambda *args, **kw: made.append(1) or states(*args, **kw))
+    monkeypatch.setattr(models, "_trained_scores", lambda rows, dim, s, net=None: trained(rows, dim, training.Settings(epochs=1), net))
+    monkeypatch.setattr(models, "ROUNDS", 2)
+    folder = session.work_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    rows = models.model_table(spark, DATA).collect()
+    assert len(made) == 1
+    whole = {(r["model"], r["split"]): r["tp"] + r["tn"] + r["fp"] + r["fn"] for r in rows if r["project"] == classifier_metrics.COMBINED}
+    kept = {r["fn_id"] for r in trees.sized(trees.clean(spark.read.parquet(f"{DATA}/ast_nodes.parquet"))).select("fn_id").distinct().collect()}
+    labelled = spark.read.parquet(f"{DATA}/raw_functions.parquet").filter("target IS NOT NULL AND split IN ('val', 'test')").collect()
+    of_split = Counter(r["split"] for r in labelled if r["fn_id"] in kept)
+    assert whole == {(m, s): n for m in ("metrics", "tokens", "graph", "convolution", "readout", "token_convolution") for s, n in of_split.items()}
+    assert all(r["headline"] == (r["split"] == ("val" if r["model"] in models.BASELINES else "test")) for r in rows)
+    assert {n.split("-")[1] for n in set(os.listdir(folder)) - before if n.startswith("lodestrata-")} == {"measured"}
+
+
+@pytest.mark.parametrize("net", [networks.CompositeReadout(2, 1, 4, 3, 2), training.SummedPerceptron(3, 4, 0.5)])
+def test_graphs_side_by_side_are_sums_over_them(net):
+    rng = np.random.default_rng(23)
+    assert isinstance(net, networks.Batched)
+    params = net.unpack(rng.normal(0, 0.5, sum(int(np.prod(s)) for s in net.shapes)))
+    sizes, labels = rng.integers(1, 9, 150), rng.integers(0, 2, 150)
+    records = networks.Records(rng.normal(0, 1, (sizes.sum(), 3)), sizes)
+    loss, g = net.gradients(records, labels, params, 2.0)
+    own = [net.gradient(records[i], labels[i], params, 2.0) for i in range(150)]
+    assert loss == pytest.approx(sum(x for x, _ in own)) and np.allclose(g, sum(x for _, x in own))
+    assert np.allclose(net.logits(records, params), [net.logit(records[i], params) for i in range(150)])
+
+
+def test_states_as_bytes_are_those_as_lists():
+    rng = np.random.default_rng(24)
+    rows = [rng.normal(0, 1, 3 * n).astype(np.float32) for n in (2, 1, 5)]
+    for column in (features.byte_column(rows), features.byte_column(rows).cast(pa.large_binary()), features.list_column(rows)):
+        for i in range(3):
+            records = features.written_states(column.slice(i), 3)
+            assert records.sizes.tolist() == [len(r) // 3 for r in rows[i:]] and np.array_equal(records.table.ravel(), np.concatenate(rows[i:]))
+    assert len(features.written_states(features.byte_column([]), 3)) == 0
+
+
+def test_vectors_of_written_states_are_those_of_packs(spark):
+    data = models.Corpus(spark, DATA)
+    expected = {r["fn_id"]: r["vector"] for r in data.states(features.pooled_states).collect()}
+    rows = features.pooled_rows(data.nodes_labelled.select("fn_id", "states", "label", "split"), 2 * (models.CODE_DIM + models.TYPE_DIM)).collect()
+    assert rows and all(r["vector"] == expected[r["fn_id"]] for r in rows)
+    assert {(r["fn_id"], r["label"], r["split"]) for r in rows} == {(r["fn_id"], r["target"], r["split"]) for r in spark.read.parquet(f"{DATA}/raw_functions.parquet").filter("target IS NOT NULL AND split IS NOT NULL").collect() if r["fn_id"] in expected}
