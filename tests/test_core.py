@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lodestrata import registry, session
@@ -618,3 +619,39 @@ def test_models_leave_no_copies_of_states(spark):
     before = set(os.listdir(spark_dir))
     assert models.edge_ablation(spark, DATA).count() == 7
     assert not {n.split("-")[1] for n in set(os.listdir(spark_dir)) - before} & {"states", "training"}
+
+
+def test_packs_go_through_networks_together(monkeypatch):
+    """Short packs are joined up to the most places at once, each with its own vectors, and no record or label is left out."""
+    rng, seen = np.random.default_rng(41), []
+    packs = [(rng.integers(1, 5, n), rng.normal(0, 1, (k, 2)).astype(np.float32)) for n, k in ((3, 4), (2, 1), (4, 6), (1, 2))]
+    tokens = [rng.integers(-1, len(table), sizes.sum()) for sizes, table in packs]
+    columns = {"fn_id": [list(range(10 * i, 10 * i + len(s))) for i, (s, _) in enumerate(packs)], "label": [[i % 2] * len(s) for i, (s, _) in enumerate(packs)]}
+    columns |= {"sizes": [s.tolist() for s, _ in packs], "token": [t.tolist() for t in tokens], "vectors": [v.ravel().tolist() for _, v in packs]}
+    kinds = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float32())]
+    batch = pa.record_batch([pa.array(v, t) for v, t in zip(columns.values(), kinds, strict=True)], names=list(columns))
+    expected = [x for (sizes, table), t in zip(packs, tokens, strict=True) for x in np.split(networks.rows_of(table, t), np.cumsum(sizes)[:-1])]
+    for places, parts in ((1000, 1), (int(packs[0][0].sum() + packs[1][0].sum()), None), (0, 4)):
+        monkeypatch.setattr(training, "PLACES", places)
+        got = list(training._records(iter([batch, batch.slice(0, 0)]), 2))
+        assert parts in (len(got), None) and all(sum(r.sizes) <= places or len(r) <= 4 for _, r in got)
+        assert all(np.array_equal(x, y) for x, y in zip([r[i] for _, r in got for i in range(len(r))], expected, strict=True))
+        assert [f for own, _ in got for f in own["fn_id"].to_pylist()] == sum(columns["fn_id"], []) and [y for own, _ in got for y in own["label"].to_pylist()] == sum(columns["label"], [])
+        seen.append(len(got))
+    assert seen[0] < seen[1] <= seen[2]
+
+
+def test_memory_cells_in_both_directions():
+    """Both directions at once give the states of one cell after another, and the input's products are those of the different tokens alone."""
+    rng = np.random.default_rng(42)
+    sizes, gates, back = np.array([2, 5, 1, 3]), rng.normal(0, 1, (4, 2, 11, 3)), rng.normal(0, 1, (4, 2, 3, 3))
+    steps, squash = networks.Steps(sizes), lambda x: 1 / (1 + np.exp(-x))
+    states, _ = networks.memory_cells(gates.copy(), steps, back)
+    for j, at in enumerate((steps.on, steps.back)):
+        for first, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+            h = c = np.zeros(3)
+            for k in range(first, first + n) if j == 0 else range(first + n - 1, first - 1, -1):
+                i, f, o, new = (gates[g, j, at[k]] + h @ back[g, j] for g in range(4))
+                c = squash(i) * np.tanh(new) + squash(f) * c
+                h = squash(o) * np.tanh(c)
+                assert np.allclose(states[j, at[k]], h)
