@@ -655,3 +655,20 @@ def test_memory_cells_in_both_directions():
                 c = squash(i) * np.tanh(new) + squash(f) * c
                 h = squash(o) * np.tanh(c)
                 assert np.allclose(states[j, at[k]], h)
+
+
+def test_states_reach_their_files_without_shuffle_or_sort(spark):
+    """The largest table isn't copied on its way; labels come with the packs, packs don't mix parts, and functions without label have no states."""
+    plans, data = [], models.Corpus(spark, DATA)
+    labelled = {r["fn_id"]: (r["target"], r["split"]) for r in spark.read.parquet(f"{DATA}/raw_functions.parquet").filter("target IS NOT NULL AND split IS NOT NULL").collect()}
+    packs, fns = data.packs.select("part", "fn_id", "label", "split").collect(), {r["fn_id"] for r in data.nodes.select("fn_id").distinct().collect()}
+    of = {f: p["part"] for p in packs for f in p["fn_id"]}
+    assert of == {f: "none" if f not in labelled else s if (s := labelled[f][1]) in ("train", "val") else "rest" for f in fns} and sum(len(p["fn_id"]) for p in packs) == len(of)
+    writer, whole = models.materialize, lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(models, "materialize", lambda df, name, **kw: plans.append((name, whole(df))) or writer(df, name, **kw))
+        states = data.nodes_labelled
+    assert plans[-1][0] == "states" and not any(x in plans[-1][1] for x in ("Join", "Sort", "Repartition", "Aggregate"))
+    assert {r["fn_id"]: (r["label"], r["split"]) for r in states.select("fn_id", "label", "split").collect()} == {f: labelled[f] for f in fns & set(labelled)}
+    assert {r["part"] for r in states.select("part").distinct().collect()} == {p for p in of.values() if p != "none"}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
